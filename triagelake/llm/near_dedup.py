@@ -166,12 +166,6 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()).filter(mask), pa.array(b, pa.int64()).filter(mask)], names=["a", "b"])
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [shingles(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e.astype("<u8").tobytes() for e, _ in found], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in found], pa.binary())], names=["id", "e", "c"])
-
-
 def tile_links(ids: list[int], labels: list[int], bags: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
     """Links of SIMILARITY or more that unite the classes of a tile's members, exactly."""
     n = len(ids)
@@ -217,8 +211,7 @@ def tile_links(ids: list[int], labels: list[int], bags: list[tuple[np.ndarray, n
 
 def _tiles(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.drop_duplicates("id").sort_values("id")
-    bags = [(np.frombuffer(e, "<u8").astype(np.uint64), np.frombuffer(c, "<i4").astype(np.int64)) for e, c in zip(pdf["e"], pdf["c"])]
-    links = tile_links(pdf["id"].tolist(), pdf["label"].tolist(), bags) if pdf["label"].nunique() > 1 else []
+    links = tile_links(pdf["id"].tolist(), pdf["label"].tolist(), [shingles(t) for t in pdf["text"]]) if pdf["label"].nunique() > 1 else []
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
@@ -249,34 +242,60 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_BASE) - F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 3))
     texts = docs.select(own.alias("id"), F.col(text_col).alias("text"))
     sketches = save(texts.mapInArrow(_sketch, "id long, key binary, bands array<long>"), f"{folder}/sketches")
-    reps = sketches.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("rep"))
-    member = sketches.select("id", "key").join(reps, "key", "left").select("id", F.coalesce("rep", "id").alias("rep"))
-    member = save(member, f"{folder}/members")
-    first = sketches.where(F.col("key").isNotNull()).join(member.where("id = rep").select("id").distinct(), "id", "left_semi")
-    rows = save(first.select("id", F.explode("bands").alias("band")).distinct(), f"{folder}/bands")
+    # only bags that occur more than once are joined, from a written table: a hot bag's partition can be split
+    reps = sketches.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "rep")
+    reps = save(reps, f"{folder}/reps")
+    member = save(sketches.join(reps, "key", "left").select("id", F.coalesce("rep", "id").alias("rep"), "bands"), f"{folder}/members")
+    rows = save(member.where("id = rep").select("id", F.explode("bands").alias("band")).distinct(), f"{folder}/bands")
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("centre")).where("n > 1")
     buckets = save(rows.join(shared, "band"), f"{folder}/buckets")
+    wanted = save(texts_of(texts, buckets.select("id").distinct(), f"{folder}/wanted"), f"{folder}/texts")
     votes = buckets.where("id <> centre").groupBy("id", "centre").agg(F.count(F.lit(1)).alias("v"))
     best = votes.groupBy("id").agg(F.max_by("centre", F.struct("v", -F.col("centre"))).alias("a")).select("a", F.col("id").alias("b"))
     best = save(best, f"{folder}/best")
-    needed = best.select(F.col("a").alias("id")).union(best.select(F.col("b").alias("id"))).distinct()
-    wanted = save(texts.join(needed, "id", "left_semi").dropDuplicates(["id"]), f"{folder}/texts")
     pairs = best.join(wanted.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(wanted.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     links = save(pairs.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long"), f"{folder}/links-1")
     found = components(links, f"{folder}/cc-1")
 
     labelled = buckets.select("band", "id").join(found, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("band", "n")
+    mixed = labelled.groupBy("band").agg(
+        F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.expr("bit_xor(xxhash64(id))").alias("s")
+    ).where("x <> y")
+    # one bucket for each set of members, and no bucket of two that were compared before
+    mixed = mixed.groupBy("n", "a", "b", "s").agg(F.min("band").alias("band"))
+    mixed = mixed.join(best.withColumn("n", F.lit(2).cast("long")), ["n", "a", "b"], "left_anti").select("band", "n")
     open_ = save(labelled.join(mixed, "band"), f"{folder}/open")
     blocks = F.ceil(F.col("n") / (TILE // 2)).cast("int")
     tiles = open_.withColumn("g", F.when(F.col("n") <= TILE, 1).otherwise(blocks)).withColumn("me", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
     tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     tiles = tiles.select("band", F.least("me", "other").alias("i"), F.greatest("me", "other").alias("j"), "id", "label")
-    bags = save(texts.join(open_.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_bags, "id long, e binary, c binary"), f"{folder}/bags")
-    more = tiles.join(bags, "id").groupBy("band", "i", "j").applyInPandas(_tiles, "a long, b long")
+    more = tiles.join(wanted, "id").groupBy("band", "i", "j").applyInPandas(_tiles, "a long, b long")
     more = save(more.distinct(), f"{folder}/links-2")
     final = components(links.union(more), f"{folder}/cc-2")
-    return member.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("id", "rep", F.coalesce("label", "rep").alias("class"))
+    return member.select("id", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("id", "rep", F.coalesce("label", "rep").alias("class"))
+
+
+def texts_of(texts: DataFrame, ids: DataFrame, path: str) -> DataFrame:
+    """One text of each of the ids. A bitmap of hashed ids of bounded size is shared first, so that
+    texts that are surely not wanted are not shuffled; the exact join follows."""
+    spark = texts.sparkSession
+    ids = save(ids, path)
+    bits = min(30, max(20, int(np.ceil(np.log2(16 * max(1, ids.count()))))))
+    at = F.pmod(F.xxhash64("id"), F.lit(1 << bits)) + 1
+    maps = ids.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    whole = np.zeros(1 << (bits - 3), np.uint8)
+    for r in maps.collect():
+        whole[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = spark.sparkContext.broadcast(whole)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = batch.column("at").to_numpy()
+            hit = (shared.value[c >> 3] >> (c & 7).astype(np.uint8)) & 1 > 0
+            yield batch.select(["id", "text"]).filter(pa.array(hit))
+
+    near = texts.withColumn("at", at - 1).mapInArrow(run, "id long, text string")
+    return near.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
