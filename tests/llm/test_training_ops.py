@@ -241,7 +241,7 @@ def test_dart_minhash_estimates_weighted_jaccard():
     rng = np.random.default_rng(8)
     e = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
     a, b = rng.integers(1, 5, len(e)).astype(float) * 0.75, rng.integers(1, 5, len(e)).astype(float) * 0.75
-    x, y = near_dedup.dart_minhash(e, a, 4000), near_dedup.dart_minhash(e, b, 4000)
+    x, y = near_dedup.dart_minhash([(e, a), (e, b)], 4000)
     assert abs((x == y).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.03
 
 
@@ -294,7 +294,7 @@ def test_lm_beats_unigrams_and_scores_each_token_once(spark):
     held = [r for r in got if r["held_out"]]
     assert held and sum(r["score"] for r in held) > 1.4 * sum(r["base_score"] for r in held)
     model = lm_score.Model(np.ones(lm_score.IDS)).freeze()
-    for n in (1, 31, 32, 33, 56, 57, 200):
+    for n in (1, 11, 12, 13, 24, 25, 200):
         _, outs, ok, _ = model.windows([np.arange(n)])
         assert sorted(outs[ok].tolist()) == list(range(n))
 

@@ -40,6 +40,8 @@ from .common import prepare, read, save, scratch
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 6
 TILE = 1024
+#: Documents sketched together, and about how many of their shingles.
+GROUP_DOCS, GROUP_SHINGLES = 128, 50_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _NULL_BASE = -(2**62)
 
@@ -50,21 +52,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_WORDS: dict[bytes, int] = {}
+class WordHashes(dict):
+    """word -> 8 hash bytes; a bounded cache."""
 
+    def __missing__(self, word: bytes) -> bytes:
+        h = hashlib.blake2b(word, digest_size=8).digest()
+        if len(self) < 300_000 and len(word) < 64:
+            self[word] = h
+        return h
 
-def word_hash(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes, cached up to a bound."""
-    cache = _WORDS
-    out = []
-    for w in words:
-        h = cache.get(w)
-        if h is None:
-            h = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-            if len(cache) < 200_000 and len(w) < 64:
-                cache[w] = h
-        out.append(h)
-    return np.array(out, np.uint64)
+
+_STATE: dict = {}
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    import triagelake.llm.near_dedup as home  # the worker's own module: its cache outlives a task
+
+    cache = home._STATE.setdefault("words", WordHashes())
+    return np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u8").astype(np.uint64)
 
 
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +77,7 @@ def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     words = (text or "").lower().encode().split()
     if not words:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    w = word_hash(words)
+    w = word_hashes(words)
     n = min(SHINGLE, len(w))
     h = np.full(len(w) - n + 1, np.uint64(n))
     for j in range(n):
@@ -91,66 +96,71 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both / total if total else 0.0
 
 
-def dart_minhash(elements: np.ndarray, weights: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
-    """k dart ids. Weights are positive; a fraction of a unit region keeps the darts inside it."""
-    whole = np.ceil(weights).astype(np.int64)
-    index = np.repeat(np.arange(len(elements)), whole)
-    unit = np.arange(len(index)) - np.repeat(np.cumsum(whole) - whole, whole)
-    share = np.minimum(1.0, weights[index] - unit)
-    region = mix64(elements[index] + (unit.astype(np.uint64) + np.uint64(1)) * _A)
-    total = float(np.sum(weights))
-    limit = (k * np.log(k) + 2 * k) / total
-    out, best = np.zeros(k, np.uint64), np.full(k, np.inf)
-    rank, alive, n = np.zeros(len(region)), np.arange(len(region)), 0
-    darts_id: list[np.ndarray] = []
-    darts_rank: list[np.ndarray] = []
-    while True:
-        while len(alive):
+def dart_minhash(bags: list[tuple[np.ndarray, np.ndarray]], k: int = BANDS * ROWS) -> np.ndarray:
+    """k dart ids for each bag (elements, positive weights); a fraction of a unit region keeps the darts inside it."""
+    out, todo, factor = np.zeros((len(bags), k), np.uint64), np.arange(len(bags)), 1.0
+    while len(todo):
+        some = [bags[i] for i in todo]
+        elements, weights = np.concatenate([e for e, _ in some]), np.concatenate([w for _, w in some]).astype(np.float64)
+        bag = np.repeat(np.arange(len(some)), [len(e) for e, _ in some])
+        limits = factor * (k * np.log(k) + 2 * k) / np.bincount(bag, weights, len(some))
+        whole = np.ceil(weights).astype(np.int64)
+        index = np.repeat(np.arange(len(elements)), whole)
+        unit = np.arange(len(index)) - np.repeat(np.cumsum(whole) - whole, whole)
+        share = np.minimum(1.0, weights[index] - unit)
+        region = mix64(elements[index] + (unit.astype(np.uint64) + np.uint64(1)) * _A)
+        bag = bag[index]
+        limit, rank, n = limits[bag], np.zeros(len(region)), 0
+        ids, ranks, slots = [], [], []
+        while len(region):
             n += 1
-            dart = mix64(region[alive] ^ np.uint64(n * int(_C) & 0xFFFFFFFFFFFFFFFF))
+            dart = mix64(region ^ np.uint64(n * int(_C) & 0xFFFFFFFFFFFFFFFF))
             # the gap to the next dart of a region is exponential: darts are a Poisson process in rank
-            rank[alive] += -np.log(((dart >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
-            inside = rank[alive] <= limit
-            hit = inside.copy()
-            if (share[alive] < 1).any():
-                hit &= (mix64(dart ^ _B) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < share[alive]
-            darts_id.append(dart[hit])
-            darts_rank.append(rank[alive][hit])
-            alive = alive[inside]
-        ids, ranks = np.concatenate(darts_id), np.concatenate(darts_rank)
-        slot = (mix64(ids + _A) % np.uint64(k)).astype(np.int64)
-        order = np.lexsort((ids, ranks))[::-1]
-        out[slot[order]], best[slot[order]] = ids[order], ranks[order]
-        if np.isfinite(best).all():
-            return out
-        # a coordinate stayed empty: throw again over twice the ranks, which adds the later darts
-        limit *= 2
-        darts_id, darts_rank = [], []
-        rank, alive, n = np.zeros(len(region)), np.arange(len(region)), 0
-
-
-def bands(signature: np.ndarray) -> np.ndarray:
-    rows = signature.reshape(BANDS, ROWS)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64) * _A
+            rank = rank - np.log(((dart >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+            inside = rank <= limit
+            region, rank, limit, share, bag, dart = (x[inside] for x in (region, rank, limit, share, bag, dart))
+            hit = slice(None)
+            if (share < 1).any():
+                hit = (mix64(dart ^ _B) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < share
+            ids.append(dart[hit])
+            ranks.append(rank[hit])
+            slots.append(bag[hit] * k + (mix64(ids[-1] + _A) % np.uint64(k)).astype(np.int64))
+        flat, order, slot = np.concatenate(ids), np.concatenate(ranks), np.concatenate(slots)
+        best = np.full(len(some) * k, np.inf)
+        np.minimum.at(best, slot, order)
+        first = order == best[slot]
+        got = np.zeros(len(some) * k, np.uint64)
+        np.maximum.at(got, slot[first], flat[first])
+        done = np.isfinite(best).reshape(-1, k).all(1)
+        out[todo[done]] = got.reshape(-1, k)[done]
+        # where a coordinate stayed empty, throw over twice the ranks: that adds the later darts
+        todo, factor = todo[~done], factor * 2
+    return out
+
+
+def bands(signatures: np.ndarray) -> np.ndarray:
+    rows = signatures.reshape(-1, BANDS, ROWS)
+    h = np.repeat((np.arange(1, BANDS + 1, dtype=np.uint64) * _A)[None], len(rows), 0)
     for j in range(ROWS):
-        h = mix64(h * _A + rows[:, j])
+        h = mix64(h * _A + rows[:, :, j])
     return h.astype(np.int64)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, keys, out = [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            e, c = shingles(text)
-            if not len(e):
-                ids.append(doc)
-                keys.append(None)
-                out.append([])
-                continue
-            ids.append(doc)
-            keys.append(bag_key(e, c))
-            out.append(bands(dart_minhash(e, c.astype(np.float64))))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["id", "key", "bands"])
+        bags = [shingles(text) for text in batch.column(1).to_pylist()]
+        keys = [bag_key(e, c) if len(e) else None for e, c in bags]
+        found: list = [[] for _ in bags]
+        real = [i for i, (e, _) in enumerate(bags) if len(e)]
+        part, size = [], 0
+        for n, i in enumerate(real):
+            part.append(i)
+            size += len(bags[i][0])
+            if size > GROUP_SHINGLES or len(part) == GROUP_DOCS or n + 1 == len(real):
+                for j, b in zip(part, bands(dart_minhash([bags[j] for j in part]))):
+                    found[j] = b
+                part, size = [], 0
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["id", "key", "bands"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
