@@ -9,7 +9,7 @@ anchors at different places, so a window occurs at most as often as its anchor's
 2. A second pass emits only windows whose anchor is estimated repeated in every row of the
    sketch; each block of words sends the first place of a window and settles the others itself,
    so a window that stands in a third of all documents sends one row a block. Exact groups of the
-   96-bit window hashes then tell the earliest place; all later ones are removals.
+   95-bit window hashes then tell the earliest place; all later ones are removals.
    The sketch only overestimates, so no repeated window is lost; beyond ``MAX_BITS`` it lets
    more windows through, never fewer.
 3. Removals meet their document by id, and words under them are dropped.
@@ -31,34 +31,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NULL_ID, prepare, read, scratch, save
+from .common import NULL_ID, prepare, read, scratch
 from .near_dedup import mix64
+from .near_dedup import word_hashes as hashes
 
 WINDOW, GRAM = 20, 5
 DEPTH = 2
 MIN_BITS, MAX_BITS = 20, 29
 #: Words of a block whose windows are settled together.
 BLOCK_WORDS = 1_000_000
+#: Marks rows of settled windows; no second hash has this value.
+SETTLED = 2**31 - 1
 _A, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x94D049BB133111EB)
 _BASE1, _BASE2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
-_STATE: dict = {}
-
-
-class WordHashes(dict):
-    """word -> 8 hash bytes; a bounded cache."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        h = hashlib.blake2b(word, digest_size=8).digest()
-        if len(self) < 300_000 and len(word) < 64:
-            self[word] = h
-        return h
-
-
-def hashes(words: list[bytes]) -> np.ndarray:
-    import triagelake.llm.substring_dedup as home
-
-    cache = home._STATE.setdefault("words", WordHashes())
-    return np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u8").astype(np.uint64)
 
 
 def rolling(w: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
@@ -148,7 +133,7 @@ def _emit(bits: int, shared):
                 at = np.flatnonzero(often)
                 if len(at):
                     h1s.append(rolling(w, WINDOW, _BASE1)[at])
-                    h2s.append(rolling(w, WINDOW, _BASE2)[at] >> np.uint64(32))
+                    h2s.append(rolling(w, WINDOW, _BASE2)[at] % np.uint64(SETTLED))
                     docs.append(np.full(len(at), i))
                     starts.append(at)
             if not h1s:
@@ -161,19 +146,15 @@ def _emit(bits: int, shared):
             later[order] = same
             own = np.array(ids, np.int64)
             send = ~later
-            n = int(send.sum())
             d = own[doc[send]]
-            rest = (start[send].astype(np.int64) << 32) | h2[send].astype(np.int64)
-            for i in range(0, n, 65536):
-                j = min(n, i + 65536)
-                yield pa.RecordBatch.from_arrays([pa.array(h1[send][i:j].astype(np.int64)), pa.array(d[i:j, 0]), pa.array(d[i:j, 1]), pa.array(rest[i:j]), pa.nulls(j - i, pa.binary())], names=["h", "d", "t", "rest", "settled"])
-            gone_doc, gone_at = doc[later], start[later]
-            if len(gone_doc):
-                edges = np.flatnonzero(np.append(True, gone_doc[1:] != gone_doc[:-1]))
-                packed = [g.astype("<u4").tobytes() for g in np.split(gone_at, edges[1:])]
-                who = own[gone_doc[edges]]
-                m = len(packed)
-                yield pa.RecordBatch.from_arrays([pa.array(mix64(who[:, 0].astype(np.uint64) ^ who[:, 1].astype(np.uint64)).astype(np.int64)), pa.array(who[:, 0]), pa.array(who[:, 1]), pa.array(np.full(m, -1)), pa.array(packed, pa.binary())], names=["h", "d", "t", "rest", "settled"])
+            rest = (h2[send].astype(np.int64) << 32) | start[send].astype(np.int64)
+            # rows settled here go along to their document, marked by a second hash that no window has
+            who = own[doc[later]]
+            h = np.concatenate([h1[send].astype(np.int64), mix64(who[:, 0].astype(np.uint64) ^ who[:, 1].astype(np.uint64)).astype(np.int64)])
+            d = np.concatenate([d, who])
+            rest = np.concatenate([rest, (SETTLED << 32) | start[later].astype(np.int64)])
+            for i in range(0, len(h), 65536):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d[i : i + 65536, 0], d[i : i + 65536, 1], rest[i : i + 65536], h[i : i + 65536])], names=["d", "t", "rest", "h"])
 
         block: dict[tuple[int, int], np.ndarray] = {}
         size = 0
@@ -203,7 +184,7 @@ def covered(n: int, starts: np.ndarray) -> np.ndarray:
 
 
 def repeated_starts(docs: DataFrame, folder: str, text_col: str = "text") -> DataFrame:
-    """(d, t, starts, settled): starts of windows of each document whose words also start earlier. docs: d, t, text."""
+    """(d, t, starts): starts of windows of each document whose words also start earlier. docs: d, t, text."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     bits = min(MAX_BITS, max(MIN_BITS, int(np.ceil(np.log2(max(1, size // 12))))))
@@ -216,12 +197,12 @@ def repeated_starts(docs: DataFrame, folder: str, text_col: str = "text") -> Dat
         part = np.frombuffer(bytes(r["bits"]), np.uint8)
         whole[at : at + 4096] = part[: len(whole) - at]
     shared = spark.sparkContext.broadcast(whole)
-    sent = docs.mapInArrow(_emit(bits, shared), "h long, d long, t long, rest long, settled binary")
-    low = F.col("rest").bitwiseAND(F.lit(0xFFFFFFFF))
-    place = F.rank().over(W.partitionBy("h", low).orderBy("d", "t", "rest"))
-    gone = sent.withColumn("k", place).where((F.col("k") > 1) | F.col("settled").isNotNull())
-    start = F.when(F.col("settled").isNull(), F.shiftright("rest", 32).cast("int"))
-    return gone.groupBy("d", "t").agg(F.collect_list(start).alias("starts"), F.collect_list("settled").alias("settled"))
+    sent = docs.mapInArrow(_emit(bits, shared), "d long, t long, rest long, h long")
+    # dealt by h before the second hash is taken out of ``rest``: in this order of columns rows compress best
+    sent = sent.repartition("h").withColumn("h2", F.shiftright("rest", 32))
+    place = F.rank().over(W.partitionBy("h", "h2").orderBy("d", "t", "rest"))
+    gone = sent.withColumn("k", place).where((F.col("k") > 1) | (F.col("h2") == SETTLED))
+    return gone.groupBy("d", "t").agg(F.collect_list(F.col("rest").bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int")).alias("starts"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -231,7 +212,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     folder = scratch(spark, "substrings")
     keyed = docs.withColumns({"__d": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "__t": F.xxhash64(F.col(text_col))})
     gone = repeated_starts(keyed.select(F.col("__d").alias("d"), F.col("__t").alias("t"), F.col(text_col).alias("text")), folder)
-    joined = keyed.join(gone.withColumnsRenamed({"d": "__d", "t": "__t", "starts": "__starts", "settled": "__settled"}), ["__d", "__t"], "left").drop("__d", "__t")
+    joined = keyed.join(gone.withColumnsRenamed({"d": "__d", "t": "__t", "starts": "__starts"}), ["__d", "__t"], "left").drop("__d", "__t")
     new = ["n_words", "n_removed", "kept_sha256"]
     carried = [f for f in docs.schema if f.name not in [*new, text_col]]
     names = [f.name for f in carried]
@@ -240,14 +221,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n, gone_n, sha = [], [], [], []
-            for text, a, b in zip(batch.column(text_col).to_pylist(), batch.column("__starts"), batch.column("__settled").to_pylist()):
+            for text, a in zip(batch.column(text_col).to_pylist(), batch.column("__starts")):
                 words = (text or "").encode().split()
                 n.append(len(words))
-                at = [np.frombuffer(x, "<u4").astype(np.int64) for x in b or []]
                 if a.is_valid:
-                    at.append(a.values.to_numpy(zero_copy_only=False).astype(np.int64))
-                at = np.concatenate(at) if at else np.empty(0, np.int64)
-                if len(at):
+                    at = a.values.to_numpy(zero_copy_only=False).astype(np.int64)
                     kept = [w for w, c in zip(words, covered(len(words), at).tolist()) if not c]
                 else:
                     kept = words
