@@ -19,6 +19,7 @@ are scored one by one; whole texts of any length are used.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_of_id, prepare, read, save, scratch
 
-WINDOW, OVERLAP, WIDTH, CLASSES = 16, 4, 16, 160
+WINDOW, OVERLAP, WIDTH, CLASSES = 16, 4, 16, 128
 #: Mass of an id in the making of classes is its count to this power.
 POWER = 0.85
 #: Most words in the broadcast table, and documents that the attention weights are fitted on.
@@ -58,7 +59,7 @@ class Subwords(dict):
         self.most = most
 
     def __missing__(self, word: bytes) -> bytes:
-        out = np.array(self.encoding.encode_ordinary(" " + word.decode("utf-8", "replace")), np.uint16).tobytes()
+        out = array("H", self.encoding.encode_ordinary(" " + word.decode("utf-8", "replace"))).tobytes()
         if len(self) < self.most and len(word) < 64:
             self[word] = out
         return out
@@ -120,22 +121,25 @@ class Model:
         table = table[:, :-1] + table[:, -1:] * first + strength * np.exp(self.prior)
         self.after = np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
 
-    def forward(self, ids: np.ndarray) -> tuple:
+    def forward(self, ids: np.ndarray, first: int = 0) -> tuple:
+        """States and class logits after the places from ``first`` on; those before are context only."""
         w = self.w
-        table = self.ready if self.ready is not None else None
-        x = (table[ids] if table is not None else w["C"][self.of[ids]] + w["I"][ids]) + w["P"]
+        x = (self.ready[ids] if self.ready is not None else w["C"][self.of[ids]] + w["I"][ids]) + w["P"]
         flat = x.reshape(-1, WIDTH)
-        q, k, v = ((flat @ w[n]).reshape(x.shape) for n in "qkv")
+        k, v = ((flat @ w[n]).reshape(x.shape) for n in "kv")
+        x = np.ascontiguousarray(x[:, first:])
+        flat = x.reshape(-1, WIDTH)
+        q = (flat @ w["q"]).reshape(x.shape)
         s = q @ k.transpose(0, 2, 1)
         s *= np.float32(WIDTH**-0.5)
-        s += self.mask
+        s += self.mask[first:]
         np.exp(np.minimum(s, 60.0, out=s), out=s)
         s /= s.sum(2, keepdims=True)
         h = s @ v
         logits = flat @ w["x"]
         logits += h.reshape(-1, WIDTH) @ w["h"]
         logits += w["b"]
-        logits += self.after[ids.ravel()]
+        logits += self.after[ids[:, first:].ravel()]
         return x, q, k, v, s, h, logits
 
     def freeze(self) -> Model:
@@ -143,31 +147,30 @@ class Model:
         return self
 
     def windows(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """inputs, targets, which targets to score, document of each window."""
-        step, ins, outs, ok, whose = WINDOW - OVERLAP, [], [], [], []
+        """Inputs, then targets and whether to score them for the places from OVERLAP on, and the document of each window."""
+        step = WINDOW - OVERLAP
         lengths = np.array([len(d) for d in docs])
-        n = 1 + np.maximum(0, -(-(lengths - WINDOW) // step))
+        n = -(-lengths // step)
         whose = np.repeat(np.arange(len(docs)), n)
         turn = np.arange(len(whose)) - np.repeat(np.cumsum(n) - n, n)
-        # END before each text starts it; END pads the last window
-        flat = np.concatenate([np.concatenate([[END_ID], d, np.full(WINDOW, END_ID)]) for d in docs])
-        base = np.cumsum(lengths + WINDOW + 1) - (lengths + WINDOW + 1)
-        place = (turn * step)[:, None] + np.arange(WINDOW)
-        at = base[whose][:, None] + place
-        fresh = (np.arange(WINDOW)[None] >= OVERLAP) | (turn == 0)[:, None]
-        ok = (place < lengths[whose][:, None]) & fresh
-        return flat[at], flat[at + 1], ok, whose
-
-    def score(self, docs: list[np.ndarray], block: int = 512) -> np.ndarray:
+        # END stands before a text as its context and after it as padding
+        before, after = np.full(OVERLAP + 1, END_ID), np.full(WINDOW, END_ID)
+        flat = np.concatenate([part for d in docs for part in (before, d, after)])
+        sizes = lengths + len(before) + len(after)
+        at = (np.cumsum(sizes) - sizes)[whose][:, None] + (turn * step)[:, None] + np.arange(WINDOW)
+        ok = (turn * step)[:, None] + np.arange(step) < lengths[whose][:, None]
+        return flat[at], flat[at[:, OVERLAP:] + 1], ok, whose
+
+    def score(self, docs: list[np.ndarray], block: int = 128) -> np.ndarray:
         """log10 probability of each id sequence (each ends with END)."""
         ins, outs, ok, whose = self.windows(docs)
-        out = np.zeros(len(docs))
+        out, ones = np.zeros(len(docs)), np.ones(CLASSES, np.float32)
         for i in range(0, len(ins), block):
             t, m = outs[i : i + block], ok[i : i + block]
-            logits = self.forward(ins[i : i + block])[-1]
+            logits = self.forward(ins[i : i + block], OVERLAP)[-1]
             hit = logits[np.arange(len(logits)), self.of[t].ravel()].reshape(t.shape)
             np.exp(np.minimum(logits, 60.0, out=logits), out=logits)
-            lse = np.log(logits @ np.ones(CLASSES, np.float32)).reshape(t.shape)
+            lse = np.log(logits @ ones).reshape(t.shape)
             got = np.where(m, hit - lse + self.inside[t], 0.0).sum(1)
             out += np.bincount(whose[i : i + block], got, len(docs))
         return out / np.log(10)
