@@ -1,4 +1,560 @@
-"""The registered queries of the triage engine."""
+"""The registered queries of the triage engine and, where SQL can express them, their SQL.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Every query reads whole tables. ``inputs`` are rows of documents, pages or conversations.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import columns
+from ..functions.kernel import Config
+from ..functions.patterns import BUNDLED, load
+from ..operators import indicators, journal, scan
+from ..operators.selection import Policy, decision
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+DOMAIN = "triagelake:relative-path:v1\0"
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def doc_inputs(spark: SparkSession, d: str) -> DataFrame:
+    return scan.inputs_of(table(spark, d, "documents"), "doc_id", "text")
+
+
+def runs(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).select("doc_id", F.posexplode(columns.runs(F.col("text"))).alias("pos", "value"))
+
+
+def everything(spark: SparkSession, d: str) -> DataFrame:
+    """documents, pages and conversations as entries of one batch."""
+    a = docs(spark, d).select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("entry"), "text")
+    b = table(spark, d, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("entry"), F.coalesce("html", F.lit("")).alias("text"))
+    c = table(spark, d, "conversations").select(F.concat(F.lit("conversations/"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("entry"), F.coalesce("text", F.lit("")).alias("text"))
+    return a.unionByName(b).unionByName(c)
+
+
+_RUN_SQL = r"""runs AS (SELECT doc_id, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '[\x00-\x1f\x7f-\x{9f}]'), 1) - 1 AS pos,
+  unnest(regexp_split_to_array(coalesce(text, ''), '[\x00-\x1f\x7f-\x{9f}]')) AS value FROM documents)"""
+_ENTRY_SQL = r"""entries AS (SELECT 'documents/' || doc_id AS entry, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT 'pages/' || page_id, coalesce(html, '') FROM pages
+  UNION ALL SELECT 'conversations/' || conv_id || '-' || turn, coalesce(text, '') FROM conversations),
+eruns AS (SELECT entry, generate_subscripts(regexp_split_to_array(text, '[\x00-\x1f\x7f-\x{9f}]'), 1) - 1 AS pos, unnest(regexp_split_to_array(text, '[\x00-\x1f\x7f-\x{9f}]')) AS value FROM entries)"""
+EMAIL, IP, CARD, KEY = BUNDLED["Email"], BUNDLED["ip_address"], BUNDLED["credit_card"], BUNDLED["api_key"]
+# the characters on both sides, which the neighbour rule looks at, are taken along
+IP_WIDE = r"(?:^|[^A-Za-z0-9_.])((?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9]))(?:$|[^A-Za-z0-9_.])"
+KEY_WIDE = r"""(?i)(?:api[_-]?key|access[_-]?token|auth[_-]?token|token|secret)["']?\s*[:=]\s*["']?([A-Za-z0-9]{32,64})(?:[^A-Za-z0-9_]|$)"""
+
+
+def lit_sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+# ---- summaries -------------------------------------------------------------------------------
+
+
+@query("summary_hashes", "SELECT doc_id AS input_id, octet_length(encode(coalesce(text,''))) AS size_bytes, md5(coalesce(text,'')) AS md5, sha256(coalesce(text,'')) AS sha256 FROM documents")
+def summary_hashes(spark, d):
+    c = F.encode("text", "UTF-8")
+    return docs(spark, d).select(F.col("doc_id").alias("input_id"), F.octet_length(c).cast("long").alias("size_bytes"), F.md5(c).alias("md5"), F.sha2(c, 256).alias("sha256"))
+
+
+@query("summary_hashes_pages", "SELECT page_id AS input_id, octet_length(encode(coalesce(html,''))) AS size_bytes, md5(coalesce(html,'')) AS md5, sha256(coalesce(html,'')) AS sha256 FROM pages")
+def summary_hashes_pages(spark, d):
+    c = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    return table(spark, d, "pages").select(F.col("page_id").alias("input_id"), F.octet_length(c).cast("long").alias("size_bytes"), F.md5(c).alias("md5"), F.sha2(c, 256).alias("sha256"))
+
+
+@query(
+    "summary_entropy",
+    """WITH b AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(coalesce(text,''))), '..')) AS b FROM documents), n AS (SELECT doc_id, b, count(*) AS n FROM b GROUP BY 1, 2),
+p AS (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM n), e AS (SELECT doc_id, sum(-p * log2(p)) AS e FROM p GROUP BY 1)
+SELECT d.doc_id AS input_id, round(coalesce(e, 0) + 0.0, 9) AS entropy FROM documents d LEFT JOIN e ON d.doc_id = e.doc_id""",
+)
+def summary_entropy(spark, d):
+    return scan.summaries(doc_inputs(spark, d)).select("input_id", (F.round("entropy", 9) + 0.0).alias("entropy"))
+
+
+@query("mime_subset", "SELECT page_id, CASE WHEN hex(encode(html)) LIKE '3C21444F43545950452068746D6C%' OR hex(encode(html)) LIKE '3C21646F63747970652068746D6C%' OR hex(encode(html)) LIKE '3C68746D6C%' THEN 'text/html' ELSE 'Unknown' END AS mime_type FROM pages")
+def mime_subset(spark, d):
+    return table(spark, d, "pages").select("page_id", columns.mime_type(F.encode("html", "UTF-8")).alias("mime_type"))
+
+
+_REGIONS_SQL = """WITH b AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b, generate_subscripts(regexp_extract_all(hex(encode(text)), '..'), 1) - 1 AS i FROM documents),
+n AS (SELECT doc_id, i // 4096 AS w, b, count(*) AS n FROM b GROUP BY 1, 2, 3), p AS (SELECT doc_id, w, n, sum(n) OVER (PARTITION BY doc_id, w) AS t FROM n)
+SELECT doc_id AS input_id, w * 4096 AS "offset", CAST(max(t) AS BIGINT) AS length, round(sum(-(n / t) * log2(n / t)) + 0.0, 9) AS entropy, sum(-(n / t) * log2(n / t)) >= 4.3 AS high FROM p GROUP BY doc_id, w"""
+
+
+@query("entropy_regions", _REGIONS_SQL)
+def entropy_regions(spark, d):
+    return scan.entropy_regions(doc_inputs(spark, d), threshold=4.3).withColumn("entropy", F.round("entropy", 9) + 0.0)
+
+
+@query("entropy_high", f"SELECT input_id, count(*) AS regions FROM ({_REGIONS_SQL}) WHERE high GROUP BY input_id")
+def entropy_high(spark, d):
+    return scan.entropy_regions(doc_inputs(spark, d), threshold=4.3).where("high").groupBy("input_id").agg(F.count(F.lit(1)).alias("regions"))
+
+
+@query(
+    "hex_dump_rows",
+    r"""WITH r AS (SELECT item_id, hex(encode(text)) AS h, unnest(generate_series(0, octet_length(encode(text)) - 1, 16)) AS o FROM benchmark),
+c AS (SELECT item_id, o, rpad(lower(substr(h, 1 + 2 * o, 32)), 32, ' ') AS x, least(16, length(h) // 2 - o) AS n, h FROM r)
+SELECT item_id AS input_id, o AS "offset", lpad(lower(hex(o)), 8, '0') || ': ' || regexp_replace(substr(x, 1, 16), '(..)', '\1 ', 'g') || ' ' || regexp_replace(substr(x, 17, 16), '(..)', '\1 ', 'g') || '|' ||
+array_to_string(list_transform(generate_series(0, n - 1), lambda i: CASE WHEN ('0x' || substr(h, 1 + 2 * (o + i), 2))::INT BETWEEN 32 AND 126 THEN chr(('0x' || substr(h, 1 + 2 * (o + i), 2))::INT) ELSE '.' END), '') || '|' AS line FROM c""",
+)
+def hex_dump_rows(spark, d):
+    return scan.hex_dump(scan.inputs_of(table(spark, d, "benchmark"), "item_id", "text"))
+
+
+@query("range_select", "SELECT doc_id AS input_id, upper(substr(hex(encode(text)), 21, 64)) AS bytes FROM documents WHERE octet_length(encode(text)) >= 10")
+def range_select(spark, d):
+    big = doc_inputs(spark, d).where(F.octet_length("content") >= 10)
+    return scan.select_range(big, 10, 32).select("input_id", F.hex("content").alias("bytes"))
+
+
+@query("human_sizes", "SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.2f KiB', n / 1024.0) ELSE printf('%.2f MiB', n / 1048576.0) END AS size FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents)")
+def human_sizes(spark, d):
+    return docs(spark, d).select("doc_id", columns.human_size(F.octet_length("text").cast("long")).alias("size"))
+
+
+# ---- strings ---------------------------------------------------------------------------------
+
+
+@query("string_runs", f"WITH {_RUN_SQL} SELECT doc_id, pos, value FROM runs WHERE length(value) > 0")
+def string_runs(spark, d):
+    return runs(spark, d).where(F.char_length("value") > 0).select("doc_id", F.col("pos").cast("long").alias("pos"), "value")
+
+
+@query("runs_min_length", f"WITH {_RUN_SQL} SELECT doc_id, count(*) AS n, sum(length(value))::BIGINT AS chars FROM runs WHERE length(value) >= 4 GROUP BY doc_id")
+def runs_min_length(spark, d):
+    return runs(spark, d).where(F.char_length("value") >= 4).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("value")).alias("chars"))
+
+
+_OFFSET_SQL = f"""WITH {_RUN_SQL}, o AS (SELECT *, coalesce(sum(octet_length(encode(value)) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM runs)
+SELECT doc_id AS input_id, "offset", CASE WHEN octet_length(encode(value)) = length(value) THEN 'ASCII' ELSE 'UTF-8' END AS encoding, length(value)::BIGINT AS length, value FROM o WHERE length(value) >= 4"""
+
+
+def found(spark, d, cfg: Config | None = None, names: tuple[str, ...] = ()) -> DataFrame:
+    return scan.findings(doc_inputs(spark, d), cfg, load(categories=list(names)) if names else None)
+
+
+@query("runs_offsets", _OFFSET_SQL)
+def runs_offsets(spark, d):
+    return scan.findings(doc_inputs(spark, d), Config(no_decode=True), []).select("input_id", "offset", "encoding", "length", "value")
+
+
+@query("runs_encoding", f"SELECT encoding, count(*) AS n FROM ({_OFFSET_SQL}) GROUP BY encoding")
+def runs_encoding(spark, d):
+    r = runs(spark, d).where(F.char_length("value") >= 4)
+    return r.groupBy(F.when(F.octet_length("value") == F.char_length("value"), "ASCII").otherwise("UTF-8").alias("encoding")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("truncated_runs", f"WITH {_RUN_SQL} SELECT doc_id AS input_id, count(*) FILTER (octet_length(encode(value)) > 64) AS truncated, count(*) AS strings FROM runs WHERE length(value) >= 4 GROUP BY doc_id")
+def truncated_runs(spark, d):
+    f = scan.findings(doc_inputs(spark, d), Config(no_decode=True, max_string_bytes=64), [])
+    return f.groupBy("input_id").agg(F.count_if("truncated").alias("truncated"), F.count(F.lit(1)).alias("strings"))
+
+
+@query("utf16_roundtrip", r"SELECT item_id, unnest(list_filter(regexp_split_to_array(text, '[\x00-\x1f\x7f-\x{9f}]'), lambda x: length(x) >= 4)) AS value FROM benchmark")
+def utf16_roundtrip(spark, d):
+    wide = table(spark, d, "benchmark").select(F.col("item_id").alias("input_id"), F.concat(F.lit(b"\xff\xfe"), F.encode("text", "UTF-16LE")).alias("content"))
+    return scan.findings(wide, Config(no_decode=True), []).select(F.col("input_id").alias("item_id"), "value")
+
+
+@query("embedded_utf16", r"SELECT item_id, unnest(list_filter(regexp_extract_all(text, '[ -~]+'), lambda x: length(x) >= 4)) AS value FROM benchmark")
+def embedded_utf16(spark, d):
+    wide = table(spark, d, "benchmark").select(F.col("item_id").alias("input_id"), F.concat(F.lit(b"\xff"), F.encode("text", "UTF-16LE")).alias("content"))
+    f = scan.findings(wide, Config(no_decode=True, scan_utf16=True, encoding="utf8"), [])
+    return f.where("extraction <> 'text' AND encoding = 'UTF-16LE'").select(F.col("input_id").alias("item_id"), "value")
+
+
+# ---- matches ---------------------------------------------------------------------------------
+
+
+def extracted(name: str, pattern: str, group: int = 0) -> None:
+    sql = f"WITH {_RUN_SQL} SELECT doc_id, unnest(regexp_extract_all(value, {lit_sql(pattern)}, {group})) AS value FROM runs WHERE length(value) >= 4"
+
+    @query(name, sql)
+    def run(spark, d):
+        r = runs(spark, d).where(F.char_length("value") >= 4)
+        return r.select("doc_id", F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(group))).alias("value"))
+
+
+extracted("match_email", EMAIL)
+extracted("match_ip", IP)
+extracted("match_credit_card", CARD)
+extracted("match_api_key", KEY)
+extracted("validate_ip_neighbors", IP_WIDE, 1)
+
+
+@query("match_url", f"SELECT page_id, unnest(regexp_extract_all(url, {lit_sql(BUNDLED['URL'])})) AS value FROM pages")
+def match_url(spark, d):
+    return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("url", F.lit(BUNDLED["URL"]), F.lit(0))).alias("value"))
+
+
+def page_urls(spark, d) -> DataFrame:
+    f = scan.findings(scan.inputs_of(table(spark, d, "pages"), "page_id", "url"), Config(no_decode=True))
+    return scan.observations(f)
+
+
+@query("match_file_path")
+def match_file_path(spark, d):
+    return page_urls(spark, d).where("category = 'file_path'").select("input_id", "value", "validation_status")
+
+
+@query("url_trim", f"SELECT page_id AS input_id, regexp_replace(unnest(regexp_extract_all(url, {lit_sql(BUNDLED['URL'])})), '[.,;!]+$', '') AS value FROM pages")
+def url_trim(spark, d):
+    return page_urls(spark, d).where("category = 'URL'").select("input_id", "value")
+
+
+@query("url_status", r"SELECT page_id AS input_id, CASE WHEN regexp_matches(url, '^https?://[^/?#:]*\.[a-z]+([/?#:]|$)') THEN 'validated' ELSE 'candidate' END AS validation_status FROM pages")
+def url_status(spark, d):
+    return page_urls(spark, d).where("category = 'URL'").select("input_id", "validation_status")
+
+
+@query(
+    "validate_luhn",
+    f"""WITH {_RUN_SQL}, m AS (SELECT doc_id, unnest(regexp_extract_all(value, {lit_sql(CARD)})) AS value FROM runs WHERE length(value) >= 4), g AS (SELECT *, regexp_replace(value, '[ -]', '', 'g') AS digits FROM m)
+SELECT doc_id, value, CASE WHEN length(replace(digits, digits[1], '')) = 0 THEN 'invalid' WHEN list_sum(list_transform(generate_series(1, length(digits)), lambda i: CASE WHEN (length(digits) - i) % 2 = 0 THEN digits[i]::INT
+ WHEN digits[i]::INT > 4 THEN digits[i]::INT * 2 - 9 ELSE digits[i]::INT * 2 END)) % 10 = 0 THEN 'validated' ELSE 'invalid' END AS validation_status FROM g""",
+)
+def validate_luhn(spark, d):
+    m = QUERIES["match_credit_card"](spark, d).withColumn("digits", F.regexp_replace("value", "[ -]", ""))
+    same = F.char_length(F.replace(F.col("digits"), F.substring("digits", 1, 1), F.lit(""))) == 0
+    return m.select("doc_id", "value", F.when(same, "invalid").when(columns.luhn(F.col("digits")), "validated").otherwise("invalid").alias("validation_status"))
+
+
+@query("validate_api_context", f"WITH {_RUN_SQL} SELECT doc_id AS input_id, unnest(regexp_extract_all(value, {lit_sql(KEY_WIDE)}, 1)) AS value FROM runs WHERE length(value) >= 4")
+def validate_api_context(spark, d):
+    return scan.observations(found(spark, d, Config(no_decode=True), ("api_key",))).select("input_id", "value")
+
+
+@query("card_kernel_status", None)
+def card_kernel_status(spark, d):
+    return scan.observations(found(spark, d, Config(no_decode=True), ("credit_card",))).select(F.col("input_id").alias("doc_id"), "value", "validation_status")
+
+
+SQL["card_kernel_status"] = SQL["validate_luhn"]
+
+_SAMPLES = [("mac", "00:1A:2B:3C:4D:5E", "validated"), ("mac", "00-1A-2B-3C-4D-5E", "validated"), ("mac", "00:1A-2B:3C:4D:5E", "invalid"), ("guid", "550e8400-e29b-41d4-a716-446655440000", "validated"), ("litecoin", "LKDxGDJq5fF4FohAB8zJH24mDDNHDNtqsE", "validated"), ("zcash", "t1Hsc1LR8yKnbbe3twRp88p6vFfC5t7DLbs", "validated"), ("zcash", "t1Hsc1LR8yKnbbe3twRp88p6vFfC5t7DLbt", "invalid")]
+
+
+@query("validate_samples", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{v}', '{s}')" for c, v, s in _SAMPLES) + ") t(category, value, validation_status)")
+def validate_samples(spark, d):
+    rows = spark.createDataFrame([(c, bytearray(v.encode())) for c, v, _ in _SAMPLES], "input_id string, content binary")
+    obs = scan.observations(scan.findings(rows, Config(no_decode=True)))
+    return obs.where("category = input_id").select("category", "value", "validation_status")
+
+
+@query(
+    "evidence_windows",
+    f"WITH {_RUN_SQL}, m AS (SELECT doc_id, value, regexp_extract(value, {lit_sql(EMAIL)}) AS m FROM runs WHERE length(value) >= 4 AND regexp_matches(value, {lit_sql(EMAIL)})) "
+    "SELECT doc_id AS input_id, m AS value, right(substr(value, 1, strpos(value, m) - 1), 48) AS before, substr(value, strpos(value, m) + length(m), 48) AS after FROM m",
+)
+def evidence_windows(spark, d):
+    obs = scan.observations(found(spark, d, Config(no_decode=True), ("Email",)))
+    first = obs.withColumn("k", F.row_number().over(W.partitionBy("input_id", "seq").orderBy("n"))).where("k = 1")
+    return first.select("input_id", "value", F.col("evidence.before").alias("before"), F.col("evidence.after").alias("after"))
+
+
+_HIT_SQL = f"SELECT doc_id, pos, value, regexp_matches(value, {lit_sql(EMAIL)}) AS email, len(regexp_extract_all(value, {lit_sql(CARD)})) > 0 AS card FROM runs WHERE length(value) >= 4"
+
+
+@query("categories_per_run", f"WITH {_RUN_SQL}, h AS ({_HIT_SQL}) SELECT doc_id, pos, CASE WHEN email AND card THEN 'Email,credit_card' WHEN email THEN 'Email' ELSE 'credit_card' END AS matches FROM h WHERE email OR card")
+def categories_per_run(spark, d):
+    r = runs(spark, d).where(F.char_length("value") >= 4)
+    hit = F.concat_ws(",", F.when(F.col("value").rlike(EMAIL), "Email"), F.when(F.col("value").rlike(CARD), "credit_card"))
+    return r.select("doc_id", F.col("pos").cast("long").alias("pos"), hit.alias("matches")).where("matches <> ''")
+
+
+@query(
+    "fair_retention",
+    f"""WITH {_RUN_SQL}, x AS (SELECT doc_id, pos, 0 AS p, unnest(regexp_extract_all(value, '[A-Z][a-z]+')) AS text, generate_subscripts(regexp_extract_all(value, '[A-Z][a-z]+'), 1) AS r FROM runs WHERE length(value) >= 4
+ UNION ALL SELECT doc_id, pos, 1, unnest(regexp_extract_all(value, '[a-z]+ly')), generate_subscripts(regexp_extract_all(value, '[a-z]+ly'), 1) FROM runs WHERE length(value) >= 4),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY r, p) AS k FROM x) SELECT doc_id, pos, p, r, text FROM k WHERE k <= 3""",
+)
+def fair_retention(spark, d):
+    r = runs(spark, d).where(F.char_length("value") >= 4)
+    one = lambda p, e: r.select("doc_id", F.col("pos").cast("long").alias("pos"), F.lit(p).alias("p"), F.posexplode(F.regexp_extract_all("value", F.lit(e), F.lit(0))).alias("r", "text"))
+    both = one(0, "[A-Z][a-z]+").unionByName(one(1, "[a-z]+ly")).withColumn("r", (F.col("r") + 1).cast("long"))
+    return both.withColumn("k", F.row_number().over(W.partitionBy("doc_id", "pos").orderBy("r", "p"))).where("k <= 3").drop("k")
+
+
+@query("actionable_inputs", f"WITH {_RUN_SQL} SELECT doc_id AS input_id, bool_or(regexp_matches(value, {lit_sql(EMAIL)})) AS has_actionable_indicators FROM runs WHERE length(value) >= 4 GROUP BY doc_id")
+def actionable_inputs(spark, d):
+    return scan.coverage(found(spark, d, Config(no_decode=True), ("Email",))).select("input_id", "has_actionable_indicators")
+
+
+@query("coverage_counts", f"WITH {_RUN_SQL} SELECT doc_id AS input_id, count(*) FILTER (octet_length(encode(value)) > 64) AS truncated_strings FROM runs WHERE length(value) >= 4 GROUP BY doc_id")
+def coverage_counts(spark, d):
+    return scan.coverage(scan.findings(doc_inputs(spark, d), Config(max_string_bytes=64), [])).select("input_id", "truncated_strings")
+
+
+# ---- Base64 ----------------------------------------------------------------------------------
+
+
+def encoded(spark, d, times: int) -> DataFrame:
+    value = F.regexp_replace("text", columns.CONTROLS, " ")
+    for _ in range(times):
+        value = F.regexp_replace(F.base64(F.encode(value, "UTF-8")), r"\s", "")
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("input_id"), F.encode(F.concat(F.lit("skip;"), value), "UTF-8").alias("content"))
+
+
+def decoding(depth: int) -> None:
+    @query(f"b64_decode_depth{depth}", rf"SELECT item_id AS input_id, regexp_replace(text, '[\x00-\x1f\x7f-\x{{9f}}]', ' ', 'g') AS text FROM benchmark")
+    def run(spark, d):
+        f = scan.findings(encoded(spark, d, depth), Config(decode_depth=depth, min_length=1), [])
+        return f.select("input_id", F.explode("decoded_layers").alias("l")).where(F.col("l.depth") == depth).select("input_id", "l.text")
+
+
+for _depth in (1, 2, 3):
+    decoding(_depth)
+
+
+@query("b64_tokens", f"WITH {_RUN_SQL}, t AS (SELECT doc_id, unnest(regexp_extract_all(value, '[A-Za-z0-9+/]+={{0,2}}')) AS token FROM runs WHERE length(value) >= 4) SELECT doc_id, count(*) AS tokens FROM t WHERE length(token) >= 8 AND length(token) % 4 = 0 GROUP BY doc_id")
+def b64_tokens(spark, d):
+    t = runs(spark, d).where(F.char_length("value") >= 4).select("doc_id", F.explode(F.regexp_extract_all("value", F.lit("[A-Za-z0-9+/]+={0,2}"), F.lit(0))).alias("token"))
+    return t.where((F.char_length("token") >= 8) & (F.char_length("token") % 4 == 0)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"))
+
+
+@query("b64_budget", r"SELECT item_id AS input_id, CASE WHEN octet_length(encode(text)) > 100 THEN 'limit' ELSE 'decoded' END AS decode_status FROM benchmark")
+def b64_budget(spark, d):
+    return scan.findings(encoded(spark, d, 1), Config(max_decode_bytes=100, min_length=1), []).select("input_id", "decode_status")
+
+
+# ---- indicators ------------------------------------------------------------------------------
+
+
+@query("matches_only_filter", f"WITH {_RUN_SQL}, h AS ({_HIT_SQL}) SELECT doc_id AS input_id, count(*) AS strings FROM h WHERE email GROUP BY doc_id")
+def matches_only_filter(spark, d):
+    return found(spark, d, Config(no_decode=True, matches_only=True), ("Email",)).groupBy("input_id").agg(F.count(F.lit(1)).alias("strings"))
+
+
+@query("category_filter", f"WITH {_RUN_SQL} SELECT 'Email' AS category, unnest(regexp_extract_all(value, {lit_sql(EMAIL)})) AS value FROM runs WHERE length(value) >= 4")
+def category_filter(spark, d):
+    return scan.observations(found(spark, d, Config(no_decode=True, matches_only=True), ("Email",))).select("category", "value")
+
+
+def entry_observations(spark, d) -> DataFrame:
+    """Email and IPv4 matches of all entries, in the JVM."""
+    e = everything(spark, d).select("entry", F.posexplode(columns.runs(F.col("text"))).alias("pos", "run")).where(F.char_length("run") >= 4)
+    one = lambda c, p, g, s: e.select("entry", "pos", F.lit(c).alias("category"), F.lit(s).alias("validation_status"), F.posexplode(F.regexp_extract_all("run", F.lit(p), F.lit(g))).alias("n", "value"))
+    return one("Email", EMAIL, 0, "candidate").unionByName(one("ip_address", IP_WIDE, 1, "validated"))
+
+
+_OBS_SQL = f"""{_ENTRY_SQL}, obs AS (SELECT entry, pos, 'Email' AS category, 'candidate' AS validation_status, unnest(regexp_extract_all(value, {lit_sql(EMAIL)})) AS value FROM eruns WHERE length(value) >= 4
+ UNION ALL SELECT entry, pos, 'ip_address', 'validated', unnest(regexp_extract_all(value, {lit_sql(IP_WIDE)}, 1)) FROM eruns WHERE length(value) >= 4),
+idx AS (SELECT category, value, validation_status, count(*) AS observed_occurrences, count(DISTINCT entry) AS distinct_file_entries FROM obs GROUP BY 1, 2, 3)"""
+
+
+@query("batch_index", f"WITH {_OBS_SQL} SELECT * FROM idx")
+def batch_index(spark, d):
+    return indicators.counted(entry_observations(spark, d), "entry")
+
+
+@query("distinct_file_entries", f"WITH {_OBS_SQL} SELECT category, count(DISTINCT entry) AS distinct_file_entries FROM obs GROUP BY category")
+def distinct_file_entries(spark, d):
+    return entry_observations(spark, d).groupBy("category").agg(F.count_distinct("entry").alias("distinct_file_entries"))
+
+
+@query("ranking_top20", f"WITH {_OBS_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY distinct_file_entries DESC, category, value, validation_status)::INT AS rank FROM idx) SELECT * FROM r WHERE rank <= 20")
+def ranking_top20(spark, d):
+    return indicators.ranking(indicators.counted(entry_observations(spark, d), "entry"))
+
+
+@query("ranking_sources", f"WITH {_OBS_SQL}, s AS (SELECT DISTINCT category, value, entry FROM obs), k AS (SELECT *, row_number() OVER (PARTITION BY category, value ORDER BY entry) AS k FROM s) SELECT category, value, entry FROM k WHERE k <= 8")
+def ranking_sources(spark, d):
+    obs = entry_observations(spark, d).select("category", "value", "validation_status", "entry").distinct()
+    return indicators.first_places(obs, 8, ["entry"]).select("category", "value", "entry")
+
+
+@query("indicator_index", f"WITH {_RUN_SQL}, m AS (SELECT doc_id, unnest(regexp_extract_all(value, {lit_sql(EMAIL)})) AS value FROM runs WHERE length(value) >= 4) SELECT doc_id AS input_id, 'Email' AS category, value, 'candidate' AS validation_status, count(*) AS observed_occurrences FROM m GROUP BY doc_id, value")
+def indicator_index(spark, d):
+    index = indicators.single_index(scan.observations(found(spark, d, Config(no_decode=True), ("Email",))))
+    return index.select("input_id", *indicators.KEY, "observed_occurrences")
+
+
+@query("indicator_locations_top64", f"WITH {_RUN_SQL}, m AS (SELECT doc_id, unnest(regexp_extract_all(value, {lit_sql(EMAIL)})) AS value FROM runs WHERE length(value) >= 4) SELECT doc_id AS input_id, value, least(64, count(*)) AS locations FROM m GROUP BY doc_id, value")
+def indicator_locations_top64(spark, d):
+    return indicators.single_index(scan.observations(found(spark, d, Config(no_decode=True), ("Email",)))).select("input_id", "value", "locations")
+
+
+@query("indicator_validation_filter", f"SELECT doc_id AS input_id, value, count(*) AS observed_occurrences FROM ({SQL['validate_luhn']}) WHERE validation_status = 'validated' GROUP BY ALL")
+def indicator_validation_filter(spark, d):
+    obs = scan.observations(found(spark, d, Config(no_decode=True), ("credit_card",)))
+    return indicators.single_index(obs, "validated").select("input_id", "value", "observed_occurrences")
+
+
+@query("reason_histogram", f"SELECT validation_status, count(*) AS n FROM ({SQL['validate_luhn']}) GROUP BY 1")
+def reason_histogram(spark, d):
+    obs = scan.observations(found(spark, d, Config(no_decode=True), ("credit_card",)))
+    return obs.groupBy("validation_status").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- journals --------------------------------------------------------------------------------
+
+
+def sample_journal(spark, d) -> DataFrame:
+    """A journal derived from pages: some entries are limited, failed or skipped."""
+    status = F.expr("CASE page_id % 7 WHEN 3 THEN 'limited' WHEN 4 THEN 'failed' WHEN 5 THEN 'skipped' ELSE 'complete' END")
+    reason = F.expr("CASE page_id % 7 WHEN 4 THEN 'input_open' WHEN 5 THEN 'link' END")
+    p = table(spark, d, "pages").select((F.col("page_id") + 1).alias("entry_id"), F.col("page_id").cast("string").alias("path"), status.alias("status"), reason.alias("reason"), F.octet_length("html").cast("long").alias("size"))
+    null = lambda t: F.lit(None).cast(t)
+    a = p.where("status <> 'skipped' AND entry_id % 50 <> 0").select((F.col("entry_id") * 2 - 1).alias("sequence"), "entry_id", "path", F.lit("admission").alias("record_type"), null("string").alias("status"), null("string").alias("reason"), null("string").alias("report_id"), null("string").alias("location"), null("long").alias("selected_bytes"), null("boolean").alias("has_actionable"))
+    has = F.col("status").isin("complete", "limited")
+    t = p.select((F.col("entry_id") * 2).alias("sequence"), "entry_id", "path", F.lit("terminal").alias("record_type"), "status", "reason", F.when(has, F.sha2("path", 256)).alias("report_id"), F.when(has, columns.report_location(F.sha2("path", 256))).alias("location"), F.when(has, F.col("size")).alias("selected_bytes"), F.when(has, F.col("entry_id") % 2 == 0).alias("has_actionable"))
+    return a.unionByName(t)
+
+
+_J = "(SELECT page_id, page_id + 1 AS entry_id, CASE page_id % 7 WHEN 3 THEN 'limited' WHEN 4 THEN 'failed' WHEN 5 THEN 'skipped' ELSE 'complete' END AS status, octet_length(encode(html)) AS size FROM pages)"
+
+
+@query("journal_pairs", f"SELECT entry_id, 'not_admitted' AS fault FROM {_J} WHERE status <> 'skipped' AND entry_id % 50 = 0")
+def journal_pairs(spark, d):
+    return journal.pair_faults(sample_journal(spark, d))
+
+
+@query("journal_orphans", f"SELECT 'results/' || sha256(CAST(page_id AS VARCHAR))[1:2] || '/' || sha256(CAST(page_id AS VARCHAR)) || '.json' AS location FROM {_J} WHERE status IN ('failed', 'skipped')")
+def journal_orphans(spark, d):
+    every = table(spark, d, "pages").select(columns.report_location(F.sha2(F.col("page_id").cast("string"), 256)).alias("location"))
+    return journal.orphans(every, sample_journal(spark, d))
+
+
+@query("journal_duplicates", f"SELECT '0' AS path, 2::BIGINT AS n FROM {_J} WHERE page_id = 0")
+def journal_duplicates(spark, d):
+    j = sample_journal(spark, d)
+    return journal.duplicates(j.unionByName(j.where("path = '0'")))
+
+
+@query("counter_reconcile", f"SELECT count(*) AS observed_entries, count(*) FILTER (status <> 'skipped') AS eligible, count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status = 'limited') AS limited, count(*) FILTER (status = 'failed') AS failed, 0::BIGINT AS cancelled, count(*) FILTER (status = 'skipped') AS policy_skipped, count(*) FILTER (status IN ('complete', 'limited') AND entry_id % 2 = 0) AS files_with_indicators, count(*) FILTER (status = 'limited' AND entry_id % 2 = 0) AS limited_files_with_indicators FROM {_J}")
+def counter_reconcile(spark, d):
+    return journal.counters(sample_journal(spark, d))
+
+
+@query("selected_bytes", f"SELECT sum(size) FILTER (status IN ('complete', 'limited'))::BIGINT AS reported_total, count(*) FILTER (status IN ('complete', 'limited')) AS reported_entries, count(*) FILTER (status = 'failed') AS unreported_eligible_entries, NULL::BIGINT AS eligible_total FROM {_J}")
+def selected_bytes(spark, d):
+    return journal.selected_bytes(sample_journal(spark, d))
+
+
+@query("outcome_reasons", f"SELECT status AS outcome, CASE status WHEN 'failed' THEN 'input_open' ELSE 'link' END AS reason, count(*) AS entries FROM {_J} WHERE status IN ('failed', 'skipped') GROUP BY 1, 2")
+def outcome_reasons(spark, d):
+    return journal.outcome_reasons(sample_journal(spark, d))
+
+
+# ---- comparison, selection, identities, events -----------------------------------------------
+
+
+@query(
+    "compare_strings",
+    r"""WITH x AS (SELECT role, unnest(regexp_split_to_array(text, '[\x00-\x1f\x7f-\x{9f}]')) AS t FROM conversations WHERE role IN ('user', 'assistant')), n AS (SELECT t, count(*) FILTER (role = 'user') AS b, count(*) FILTER (role = 'assistant') AS a FROM x WHERE length(t) >= 4 GROUP BY t)
+SELECT t AS preview, CASE WHEN b = 0 THEN 'added' WHEN a = 0 THEN 'removed' ELSE 'changed' END AS change FROM n WHERE b <> a""",
+)
+def compare_strings(spark, d):
+    r = table(spark, d, "conversations").select("role", F.explode(columns.runs(F.col("text"))).alias("t")).where(F.char_length("t") >= 4)
+    side = lambda x: r.where(F.col("role") == x).groupBy("t").agg(F.count(F.lit(1)).alias(x))
+    j = side("user").join(side("assistant"), "t", "full_outer")
+    change = F.when(F.col("user").isNull(), "added").when(F.col("assistant").isNull(), "removed").when(F.col("user") != F.col("assistant"), "changed")
+    return j.select(F.col("t").alias("preview"), change.alias("change")).where("change IS NOT NULL")
+
+
+@query("compare_indicators")
+def compare_indicators(spark, d):
+    f = lambda t, i, c: indicators.bounded(indicators.comparison_index(indicators.comparison_entries(scan.findings(scan.inputs_of(table(spark, d, t), i, c), Config(no_decode=True, matches_only=True), load(categories=["Email", "credit_card"]))).where("list = 'indicator'"), ["input_id", "seq", "layer", "n"]))
+    out = indicators.difference(f("documents", "doc_id", "text"), f("pages", "page_id", "html"))
+    return out.select("key", "change", F.coalesce("before.kind", "after.kind").alias("kind"), F.coalesce("before.preview", "after.preview").alias("preview"))
+
+
+@query("compare_entropy", f"WITH r AS ({_REGIONS_SQL}) SELECT coalesce(a.\"offset\", b.\"offset\") AS \"offset\" FROM (SELECT * FROM r WHERE input_id = 0) a FULL JOIN (SELECT * FROM r WHERE input_id = 1) b ON a.\"offset\" = b.\"offset\" WHERE a.length IS NULL OR b.length IS NULL OR a.length <> b.length OR abs(a.entropy - b.entropy) > 1e-9")
+def compare_entropy(spark, d):
+    r = lambda k: scan.entropy_regions(doc_inputs(spark, d).where(F.col("input_id") == k))
+    return indicators.entropy_changes(r(0), r(1)).select("offset")
+
+
+_PATH_SQL = r"SELECT page_id, regexp_extract(url, '^https?://([^?#]*)', 1) AS path FROM pages"
+
+
+def page_paths(spark, d) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^?#]*)", 1).alias("path"))
+
+
+@query("glob_include", rf"SELECT page_id FROM ({_PATH_SQL}) WHERE regexp_matches(path, '^[^/]*\.example\.com/(.*/)?[^/]*7[^/]$')")
+def glob_include(spark, d):
+    p = page_paths(spark, d)
+    return p.where(decision(Policy(includes=("*.example.com/**/*7?",)), F.col("path"), F.lit(0)).isNull()).select("page_id")
+
+
+@query("glob_exclude", rf"SELECT page_id FROM ({_PATH_SQL}) WHERE NOT regexp_matches(path, '^[^/]*/fr(/.*)?$')")
+def glob_exclude(spark, d):
+    p = page_paths(spark, d)
+    return p.where(decision(Policy(excludes=("*/fr/",)), F.col("path"), F.lit(0)).isNull()).select("page_id")
+
+
+@query("depth_size_policy", f"SELECT page_id, CASE WHEN length(path) - length(replace(path, '/', '')) > 1 THEN 'selection_depth' WHEN n > 3000 THEN 'selection_size' END AS reason FROM (SELECT p.page_id, path, octet_length(encode(html)) AS n FROM ({_PATH_SQL}) p JOIN pages USING (page_id))")
+def depth_size_policy(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^?#]*)", 1).alias("path"), F.octet_length("html").alias("n"))
+    return p.select("page_id", decision(Policy(max_depth=1, max_file_bytes=3000), F.col("path"), F.col("n")).alias("reason"))
+
+
+@query("report_ids", f"SELECT page_id, sha256('{DOMAIN[:-1]}' || chr(0) || 'unix-bytes-base64' || chr(0) || path) AS report_id FROM ({_PATH_SQL})")
+def report_ids(spark, d):
+    return page_paths(spark, d).select("page_id", columns.report_id(DOMAIN, F.lit("unix-bytes-base64"), F.col("path").cast("binary")).alias("report_id"))
+
+
+@query("category_listing", "SELECT * FROM (VALUES " + ", ".join(f"('{n}')" for n in BUNDLED) + ") t(name)")
+def category_listing(spark, d):
+    return spark.createDataFrame([(r.name,) for r in load()], "name string")
+
+
+@query("jsonl_events", f"WITH {_RUN_SQL} SELECT 'summary' AS event, count(*) AS n FROM documents UNION ALL SELECT 'string', count(*) FROM runs WHERE length(value) >= 4 UNION ALL SELECT 'complete', count(*) FROM documents")
+def jsonl_events(spark, d):
+    from .reports import events
+
+    inputs = doc_inputs(spark, d)
+    e = events(inputs, scan.findings(inputs, Config(no_decode=True), []))
+    return e.groupBy(F.get_json_object("line", "$.event").alias("event")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("full_scan_observations")
+def full_scan_observations(spark, d):
+    """Every rule over every document, with decoding: the whole kernel."""
+    return scan.observations(found(spark, d)).select("input_id", "category", "value", "validation_status", "source_offset", "source_end_offset", "decode_depth")
+
+
+@query("live_stream_findings", _OFFSET_SQL)
+def live_stream_findings(spark, d):
+    import uuid
+
+    from ..streaming.live import table_stream
+
+    f = table_stream(spark, f"{d}/documents.parquet*", "doc_id", "text", Config(no_decode=True))
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        import tempfile
+
+        base = "file://" + tempfile.mkdtemp(prefix="triagelake-")
+    at = f"{base.rstrip('/')}/live-{uuid.uuid4().hex}"
+    out = f.select("input_id", "offset", "encoding", "length", "value")
+    out.writeStream.format("parquet").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start(f"{at}/rows").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/rows")
