@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import crc_of_id, prepare, read, save, scratch
 
-WINDOW, OVERLAP, WIDTH, CLASSES = 16, 4, 16, 128
+WINDOW, OVERLAP, WIDTH, CLASSES = 16, 4, 16, 96
 #: Mass of an id in the making of classes is its count to this power.
 POWER = 0.85
 #: Most words in the broadcast table, and documents that the attention weights are fitted on.
-HEAD, SAMPLE, WINDOWS_A_DOC, EPOCHS = 200_000, 2000, 8, 4
+HEAD, SAMPLE, WINDOWS_A_DOC, EPOCHS = 400_000, 2000, 8, 4
 IDS, END_ID = 50257, 50256
 END = b"\n"  # no word holds white space
 _STATE: dict = {}
@@ -234,39 +234,22 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _count_ids(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = subwords(path).encoding
-        total = np.zeros(IDS)
-        for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if word == END:
-                    total[END_ID] += n
-                else:
-                    for i in enc.encode_ordinary(" " + word.decode("utf-8", "replace")):
-                        total[i] += n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at].astype(np.int64), pa.int64())], names=["i", "n"])
-
-    return run
-
-
-def _count_pairs(path: str, of: np.ndarray):
-    """Counts of (id, class of the next id in the word, or -1 at its end); id -1: how words begin."""
+def _count_pairs(path: str):
+    """Counts of (id, next id) within the words of a vocabulary; -1 stands before a word and -2 after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = subwords(path).encoding
-        total: Counter = Counter()
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            left, right, n = [], [], []
+            for word, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = [END_ID] if word == END else enc.encode_ordinary(" " + word.decode("utf-8", "replace"))
-                last = -1
-                for i in ids:
-                    total[last, int(of[i])] += n
-                    last = i
-                total[last, -1] += n
-        rows = np.array([(a, b, n) for (a, b), n in total.items()], np.int64).reshape(-1, 3)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2])], names=["i", "c", "n"])
+                left.append(-1)
+                left += ids
+                right += ids
+                right.append(-2)
+                n += [k] * (len(ids) + 1)
+            code, place = np.unique((np.array(left, np.int64) << 20) + np.array(right, np.int64), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array((code + 2) >> 20), pa.array((code + 2 & 0xFFFFF) - 2), pa.array(np.bincount(place, n, len(code)).astype(np.int64))], names=["i", "j", "n"])
 
     return run
 
@@ -307,12 +290,14 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     short, is_end = F.octet_length("word") < 64, F.col("word") == F.lit(END)
     frequent = {bytes(r["word"]): float(np.log10(r["n"] + 1)) for r in vocabulary.where(((F.col("n") >= least) & short) | is_end).collect()}
     rest = vocabulary.where(((F.col("n") < least) | ~short) & ~is_end)
+    pairs = save(vocabulary.mapInArrow(_count_pairs(path), "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")), f"{folder}/pairs")
     counts = np.zeros(IDS)
-    for r in vocabulary.mapInArrow(_count_ids(path), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
-        counts[r["i"]] = r["n"]
+    for r in pairs.where("j >= 0").groupBy("j").agg(F.sum("n").alias("n")).collect():
+        counts[r["j"]] = r["n"]
     model = Model(counts, subwords(path).starting())
-    pairs = vocabulary.mapInArrow(_count_pairs(path, model.of), "i long, c long, n long").groupBy("i", "c").agg(F.sum("n").alias("n"))
-    found = np.array(pairs.toPandas(), np.float64).reshape(-1, 3)
+    # pairs of ids become pairs of an id and a class; both tables are bounded by the vocabulary of the tokenizer
+    classes = spark.createDataFrame([(-2, -1), *enumerate(model.of.tolist())], "j long, c long")
+    found = np.array(pairs.join(F.broadcast(classes), "j").groupBy("i", "c").agg(F.sum("n").alias("n")).toPandas(), np.float64).reshape(-1, 3)
     starts = np.zeros(CLASSES)
     begin = found[found[:, 0] < 0]
     starts[begin[:, 1].astype(np.int64)] = begin[:, 2]
