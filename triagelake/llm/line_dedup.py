@@ -116,7 +116,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
         lines = save(keyed_lines(docs.where(part), min_chars, id_col, text_col), f"{folder}/lines-{i}")
         parts.append(f"{folder}/lines-{i}")
         runs.add(lines)
-    frequent = runs.keys().where(F.col("__n") >= min_docs).select(*KEY, "__top")
+    # written first, so that the join's two sides are plain exchanges and a hot line's partition can be split
+    frequent = save(runs.keys().where(F.col("__n") >= min_docs).select(*KEY, "__top"), f"{folder}/frequent")
     drop = spark.read.parquet(*parts).join(frequent, KEY).where(F.col("__d") < F.col("__top"))
     # A bit for each line: filtering a document costs one look-up a line, however many lines go.
     bits = drop.groupBy("__d", "__t", F.floor(F.col("__pos") / 64).cast("int").alias("__w")).agg(
