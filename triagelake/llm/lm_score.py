@@ -3,8 +3,11 @@
 Words (ASCII lower-cased, split at ASCII white space) become the subword ids of a public byte-level
 BPE, one ``end`` closes a text. The model predicts the class of the next id (``CLASSES`` bins of
 equal frequency mass) by one attention layer over a window, and the id within its class by its
-count in the corpus. Counts of words and ids come from all training documents; the attention
-weights are fitted by Adam on ``SAMPLE`` training documents, those with the smallest hashed ids.
+counts in the corpus: after the id before it in the word, smoothed with its share of the class (a
+word's first id has only that share). The ``PAIRS`` most frequent pairs of ids enter; after an id
+whose pairs are left out the share alone counts, so each class still sums to 1. What lies within
+classes depends on the word alone and is kept by word (``insides``). Counts of words and ids come
+from all training documents; the attention weights are fitted by Adam on ``SAMPLE`` training documents, those with the smallest hashed ids.
 Windows of ``WINDOW`` ids overlap by ``OVERLAP``; each token is scored once, in the first window
 that holds it, with batched masked attention.
 
@@ -31,11 +34,13 @@ from pyspark.sql import functions as F
 
 from .common import crc_of_id, prepare, read, save, scratch
 
-WINDOW, OVERLAP, WIDTH, CLASSES = 16, 4, 16, 96
+WINDOW, OVERLAP, WIDTH, CLASSES = 16, 4, 16, 160
 #: Mass of an id in the making of classes is its count to this power.
 POWER = 0.85
 #: Most words in the broadcast table, and documents that the attention weights are fitted on.
 HEAD, SAMPLE, WINDOWS_A_DOC, EPOCHS = 400_000, 2000, 8, 4
+#: Most pairs of ids in the broadcast table; pseudo-counts that the share of a class weighs against them.
+PAIRS, PSEUDO = 2_000_000, 5.0
 IDS, END_ID = 50257, 50256
 END = b"\n"  # no word holds white space
 _STATE: dict = {}
@@ -109,6 +114,7 @@ class Model:
         small = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s).astype(np.float32)
         self.w = {"C": small(CLASSES, d) * 4, "I": np.zeros((IDS, d), np.float32), "P": small(WINDOW, d) * 0.3, "q": small(d, d), "k": small(d, d), "v": small(d, d), "x": small(d, CLASSES) * 0.3, "h": small(d, CLASSES) * 0.3, "b": np.zeros(CLASSES, np.float32)}
         self.follow(np.zeros((0, 3)), np.zeros(CLASSES))
+        self.within(np.zeros((0, 3), np.int64))
         self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
         self.ready: np.ndarray | None = None
 
@@ -121,6 +127,30 @@ class Model:
         table = table[:, :-1] + table[:, -1:] * first + strength * np.exp(self.prior)
         self.after = np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
 
+    def within(self, pairs: np.ndarray) -> None:
+        """pairs: rows (id, id after it in a word, count), from which ids are predicted within their classes."""
+        i, j, n = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))].T
+        ic, place = np.unique((i << 16) + self.of[j], return_inverse=True)
+        total = np.log(np.bincount(place, n, len(ic)) + PSEUDO)
+        got = np.log(n + PSEUDO * np.exp(self.inside[j]))
+        # log probability of a listed pair, and of an unlisted one less the log share of its id; the last entry is for no hit
+        self.pair_code, self.pair = np.append((i << 16) + j, 1 << 40), np.append(got - total[place], 0.0).astype(np.float32)
+        self.class_code, self.rest = np.append(ic, 1 << 40), np.append(np.log(PSEUDO) - total, 0.0).astype(np.float32)
+
+    def insides(self, words: list[bytes]) -> np.ndarray:
+        """Natural log probability within their classes of the ids (uint16 bytes, none empty) of each word."""
+        ids = np.frombuffer(b"".join(words), np.uint16).astype(np.int64)
+        sizes = np.array([len(w) // 2 for w in words], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        out, later = self.inside[ids], np.ones(len(ids), bool)
+        later[begin] = False
+        at = np.flatnonzero(later)
+        i, j = ids[at - 1] << 16, ids[at]
+        a, b = np.searchsorted(self.pair_code, i + j), np.searchsorted(self.class_code, i + self.of[j])
+        left = np.where(self.class_code[b] == i + self.of[j], self.rest[b], 0.0)
+        out[at] = np.where(self.pair_code[a] == i + j, self.pair[a], left + out[at])
+        return np.add.reduceat(out, begin)
+
     def forward(self, ids: np.ndarray, first: int = 0) -> tuple:
         """States and class logits after the places from ``first`` on; those before are context only."""
         w = self.w
@@ -144,6 +174,7 @@ class Model:
 
     def freeze(self) -> Model:
         self.ready = self.w["C"][self.of] + self.w["I"]
+        self.by_word: dict[bytes, float] = {}  # word -> insides of its ids; a worker fills it
         return self
 
     def windows(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -162,7 +193,7 @@ class Model:
         return flat[at], flat[at[:, OVERLAP:] + 1], ok, whose
 
     def score(self, docs: list[np.ndarray], block: int = 128) -> np.ndarray:
-        """log10 probability of each id sequence (each ends with END)."""
+        """log10 probability of the classes of each id sequence (each ends with END)."""
         ins, outs, ok, whose = self.windows(docs)
         out, ones = np.zeros(len(docs)), np.ones(CLASSES, np.float32)
         for i in range(0, len(ins), block):
@@ -171,7 +202,7 @@ class Model:
             hit = logits[np.arange(len(logits)), self.of[t].ravel()].reshape(t.shape)
             np.exp(np.minimum(logits, 60.0, out=logits), out=logits)
             lse = np.log(logits @ ones).reshape(t.shape)
-            got = np.where(m, hit - lse + self.inside[t], 0.0).sum(1)
+            got = np.where(m, hit - lse, 0.0).sum(1)
             out += np.bincount(whose[i : i + block], got, len(docs))
         return out / np.log(10)
 
@@ -218,6 +249,17 @@ class Model:
         return g
 
 
+def _least(counts: DataFrame, most: int) -> int:
+    """The least count (column n) that no more than ``most`` rows have or exceed."""
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n"))
+    have = 0
+    for r in sizes.limit(200_000).toLocalIterator():
+        have += r["k"]
+        if have > most:
+            return r["n"] + 1
+    return 1
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 
@@ -277,16 +319,9 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     train = docs.where(learn)
     counted = train.select(text_col).mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     vocabulary = save(counted, f"{folder}/words")
-    # how many words have each count: the least count whose words fit the broadcast table
-    sizes = vocabulary.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n"))
     totals = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n_all, v_all = int(totals[0]), int(totals[1])
-    least, have = 1, 0
-    for r in sizes.limit(200_000).toLocalIterator():
-        have += r["k"]
-        if have > head:
-            least = r["n"] + 1
-            break
+    least = _least(vocabulary, head)
     short, is_end = F.octet_length("word") < 64, F.col("word") == F.lit(END)
     frequent = {bytes(r["word"]): float(np.log10(r["n"] + 1)) for r in vocabulary.where(((F.col("n") >= least) & short) | is_end).collect()}
     rest = vocabulary.where(((F.col("n") < least) | ~short) & ~is_end)
@@ -302,6 +337,9 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     begin = found[found[:, 0] < 0]
     starts[begin[:, 1].astype(np.int64)] = begin[:, 2]
     model.follow(found[found[:, 0] >= 0], starts)
+    inner = pairs.where("i >= 0 and j >= 0")
+    table = inner.where(F.col("n") >= _least(inner, PAIRS)).toArrow()
+    model.within(np.stack([table.column(x).to_numpy() for x in "ijn"], 1))
     key = F.xxhash64(F.lit("lm-sample"), F.col(id_col))
     edge = train.select(key.alias("k")).orderBy("k").limit(sample).agg(F.max("k")).first()[0]
     if edge is not None:
@@ -316,11 +354,11 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_words, lm = shared.value
         sub, part, row = subwords(path), TaskContext.get().partitionId(), 0
-        end_log = known_words.get(END)
+        end_log, end_inside, inside = known_words.get(END), float(lm.inside[END_ID]), lm.by_word
         for batch in batches:
             tokens, known, sums, seqs, scores = [], [], [], [], []
             tail_row, tail_word, tail_n = [], [], []
-            held = 0
+            held, inner = 0, []
             uid = []
             for text in batch.column(text_col).to_pylist():
                 words = words_of(text)
@@ -328,7 +366,15 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
                 row += 1
                 uid.append(me)
                 total, seen = (end_log, 1) if end_log is not None else (0.0, 0)
-                for w, n in Counter(words).items():
+                distinct = Counter(words)
+                if new := [w for w in distinct if w not in inside]:
+                    if len(inside) > 300_000:
+                        inside.clear()
+                        new = list(distinct)
+                    inside.update(zip(new, lm.insides([sub[w] for w in new]).tolist()))
+                own = end_inside
+                for w, n in distinct.items():
+                    own += n * inside[w]
                     log = known_words.get(w)
                     if log is None:
                         tail_row.append(me)
@@ -337,6 +383,7 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
                     else:
                         total += n * log
                         seen += n
+                inner.append(own / np.log(10))
                 tokens.append(len(words) + 1)
                 known.append(seen)
                 sums.append(total)
@@ -347,7 +394,7 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
                     seqs, held = [], 0
             if seqs:
                 scores.append(lm.score(seqs))
-            done = np.concatenate(scores) if scores else np.empty(0)
+            done = (np.concatenate(scores) if scores else np.empty(0)) + np.array(inner)
             n, m = len(uid), len(tail_row)
             mine = [pa.concat_arrays([batch.column(x), pa.nulls(m, batch.column(x).type)]) for x in names]
             yield pa.RecordBatch.from_arrays(
