@@ -10,6 +10,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from conftest import DATA
 from triagelake.llm import bpe, language, line_dedup, lm_score, media, mixing, near_dedup, substring_dedup, topk, warc
@@ -309,14 +311,51 @@ def test_lm_shares_within_classes():
     for i in (int(pairs[0, 0]), int(pairs[-1, 0]), 7000):  # the last has no pair
         for c in {int(m.of[j]) for a, j, _ in pairs if a == i} | {int(m.of[40000])}:
             ids = np.flatnonzero(m.of == c)
-            words = [np.array([i, j], np.uint16).tobytes() for j in ids]
-            got = m.insides(words) - m.inside[i]
+            words = np.column_stack([np.full(len(ids), i), ids]).astype(np.uint16)
+            got = m.insides(words.ravel(), 2 * np.arange(len(ids))) - m.inside[i]
             total = sum(n.get((i, int(j)), 0) for j in ids)
             want = [(n.get((i, int(j)), 0) + lm_score.PSEUDO * math.exp(m.inside[j])) / (total + lm_score.PSEUDO) for j in ids]
             assert np.exp(got) == pytest.approx(np.array(want), rel=1e-4) and np.exp(got).sum() == pytest.approx(1, abs=1e-4)
-    one, three = np.array([9], np.uint16), np.array([9, 8, 7], np.uint16)
-    both = m.insides([three.tobytes(), one.tobytes()])
-    assert both[1] == m.inside[9] and both[0] == pytest.approx(m.insides([three[:2].tobytes()])[0] + m.insides([three[1:].tobytes()])[0] - m.inside[8])
+    ids = np.array([9, 8, 7, 9], np.uint16)
+    both = m.insides(ids, np.array([0, 3]))
+    alone = [m.insides(x, np.array([0]))[0] for x in (ids[:2], ids[1:3])]
+    assert both[1] == m.inside[9] and both[0] == pytest.approx(alone[0] + alone[1] - m.inside[8])
+
+
+def trained(rng):
+    m = lm_score.Model(rng.integers(0, 50, lm_score.IDS), rng.random(lm_score.IDS) < 0.5)
+    pairs = np.unique(rng.integers(0, [lm_score.IDS, lm_score.CLASSES], (50_000, 2)), axis=0)
+    pairs[:500, 1] = -1
+    pairs = np.unique(pairs, axis=0)
+    m.follow(np.column_stack([pairs, rng.integers(1, 90, len(pairs))]), rng.integers(0, 9, lm_score.CLASSES))
+    for n, a in m.w.items():
+        m.w[n] = (a + rng.normal(0, 0.2, a.shape)).astype(np.float32)
+    return m
+
+
+@pytest.mark.parametrize("far", [0, 90])
+def test_lm_score_is_the_log_softmax_of_forward(far):
+    rng = np.random.default_rng(4)
+    m = trained(rng)
+    m.w["b"] += np.float32(far)  # large logits too
+    docs = [np.append(rng.integers(0, lm_score.IDS - 1, n), lm_score.END_ID) for n in (0, 1, 11, 12, 40, 3000)]
+    ins, outs, ok, whose = m.windows(docs)
+    z = m.forward(ins)[-1].astype(np.float64).reshape(*ins.shape, -1)[:, lm_score.OVERLAP :]
+    top = z.max(2, keepdims=True)
+    z -= top + np.log(np.exp(z - top).sum(2, keepdims=True))
+    each = np.take_along_axis(z, m.of[outs][:, :, None], 2)[:, :, 0] * ok
+    want = np.bincount(whose, each.sum(1), len(docs)) / np.log(10)
+    assert m.freeze().score(docs) == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
+@given(st.lists(st.text(alphabet=st.sampled_from("ab'sD9é\u00a0\u3000\x1c\x85中!-"), min_size=1, max_size=6), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_lm_encodes_words_together_as_alone(words):
+    sub = lm_score.subwords(lm_score.default_ranks())
+    words = [w.encode() for w in words]
+    ids, begin = sub.encode(words)
+    got = [x.tolist() for x in np.split(ids, begin[1:])] if words else []
+    assert got == [sub.encoding.encode_ordinary(" " + w.decode()) for w in words]
 
 
 def test_lm_gradients():

@@ -22,6 +22,7 @@ are scored one by one; whole texts of any length are used.
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -43,6 +44,9 @@ HEAD, SAMPLE, WINDOWS_A_DOC, EPOCHS = 400_000, 2000, 8, 4
 PAIRS, PSEUDO = 2_000_000, 5.0
 IDS, END_ID = 50257, 50256
 END = b"\n"  # no word holds white space
+OTHER_WHITE = re.compile(r"[^\S ]")
+#: Words whose ids a worker keeps; they are among the frequent words.
+KEPT = 250_000
 _STATE: dict = {}
 
 
@@ -52,32 +56,29 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-class Subwords(dict):
-    """word -> its subword ids as uint16 bytes; a bounded cache."""
+class Subwords:
+    """Subword ids of words, as uint16 bytes."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.most = most
-
-    def __missing__(self, word: bytes) -> bytes:
-        out = array("H", self.encoding.encode_ordinary(" " + word.decode("utf-8", "replace"))).tobytes()
-        if len(self) < self.most and len(word) < 64:
-            self[word] = out
-        return out
-
-    def starting(self) -> np.ndarray:
-        """Which ids begin a word."""
-        out = np.zeros(IDS, bool)
-        out[[i for b, i in self.encoding._mergeable_ranks.items() if b[:1] == b" "]] = True
-        out[END_ID] = True
-        return out
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.append(np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint16).astype(np.int64), END_ID)
+        self.starts = np.zeros(IDS, bool)  # which ids begin a word
+        self.starts[[i for b, i in ranks.items() if b[:1] == b" "]] = True
+        self.starts[END_ID] = True
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and where each word begins. The words are encoded in one text, as pieces
+        never reach over a space; words that hold other white space are encoded one by one."""
+        text = (b" " + b" ".join(words)).decode("utf-8", "replace") if words else ""
+        if not OTHER_WHITE.search(text):
+            ids = np.array(self.encoding.encode_ordinary(text), np.uint16)
+            return ids, np.flatnonzero(self.starts[ids])
+        own = [array("H", self.encoding.encode_ordinary(" " + w.decode("utf-8", "replace"))) for w in words]
+        sizes = np.array([len(x) for x in own], np.int64)
+        return np.concatenate([np.frombuffer(x, np.uint16) for x in own]), np.cumsum(sizes) - sizes
 
 
 def subwords(path: str) -> Subwords:
@@ -113,19 +114,20 @@ class Model:
         d = WIDTH
         small = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s).astype(np.float32)
         self.w = {"C": small(CLASSES, d) * 4, "I": np.zeros((IDS, d), np.float32), "P": small(WINDOW, d) * 0.3, "q": small(d, d), "k": small(d, d), "v": small(d, d), "x": small(d, CLASSES) * 0.3, "h": small(d, CLASSES) * 0.3, "b": np.zeros(CLASSES, np.float32)}
-        self.follow(np.zeros((0, 3)), np.zeros(CLASSES))
+        self.follow(np.zeros((0, 3), np.int64), np.zeros(CLASSES))
         self.within(np.zeros((0, 3), np.int64))
         self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
-        self.ready: np.ndarray | None = None
 
     def follow(self, pairs: np.ndarray, starts: np.ndarray, strength: float = 20.0) -> None:
-        """pairs: rows (id, class or -1 for a word's end, count); starts: counts of classes that begin a word."""
-        table = np.zeros((IDS, CLASSES + 1))
-        at = pairs[:, :2].astype(np.int64)
-        np.add.at(table, (at[:, 0], at[:, 1]), pairs[:, 2])  # class -1 is the last column
-        first = starts / max(1.0, starts.sum())
-        table = table[:, :-1] + table[:, -1:] * first + strength * np.exp(self.prior)
-        self.after = np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
+        """pairs: distinct rows (id, class or -1 for a word's end, count); starts: counts of classes that begin a word."""
+        i, c, n = pairs.T
+        table, ends, last = np.zeros((IDS, CLASSES), np.float32), np.zeros((IDS, 1), np.float32), c < 0
+        table[i[~last], c[~last]] = n[~last]
+        ends[i[last], 0] = n[last]
+        table += ends * (starts / max(1.0, starts.sum())).astype(np.float32)
+        table += (strength * np.exp(self.prior)).astype(np.float32)
+        table /= table.sum(1, keepdims=True)
+        self.after = np.log(table, out=table)
 
     def within(self, pairs: np.ndarray) -> None:
         """pairs: rows (id, id after it in a word, count), from which ids are predicted within their classes."""
@@ -137,11 +139,9 @@ class Model:
         self.pair_code, self.pair = np.append((i << 16) + j, 1 << 40), np.append(got - total[place], 0.0).astype(np.float32)
         self.class_code, self.rest = np.append(ic, 1 << 40), np.append(np.log(PSEUDO) - total, 0.0).astype(np.float32)
 
-    def insides(self, words: list[bytes]) -> np.ndarray:
-        """Natural log probability within their classes of the ids (uint16 bytes, none empty) of each word."""
-        ids = np.frombuffer(b"".join(words), np.uint16).astype(np.int64)
-        sizes = np.array([len(w) // 2 for w in words], np.int64)
-        begin = np.cumsum(sizes) - sizes
+    def insides(self, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Natural log probability within their classes of the ids of each word; begin: where each word begins."""
+        ids = ids.astype(np.int64)
         out, later = self.inside[ids], np.ones(len(ids), bool)
         later[begin] = False
         at = np.flatnonzero(later)
@@ -151,32 +151,60 @@ class Model:
         out[at] = np.where(self.pair_code[a] == i + j, self.pair[a], left + out[at])
         return np.add.reduceat(out, begin)
 
-    def forward(self, ids: np.ndarray, first: int = 0) -> tuple:
-        """States and class logits after the places from ``first`` on; those before are context only."""
+    def forward(self, ids: np.ndarray) -> tuple:
+        """States and class logits after each place."""
         w = self.w
-        x = (self.ready[ids] if self.ready is not None else w["C"][self.of[ids]] + w["I"][ids]) + w["P"]
+        x = w["C"][self.of[ids]] + w["I"][ids] + w["P"]
         flat = x.reshape(-1, WIDTH)
-        k, v = ((flat @ w[n]).reshape(x.shape) for n in "kv")
-        x = np.ascontiguousarray(x[:, first:])
-        flat = x.reshape(-1, WIDTH)
-        q = (flat @ w["q"]).reshape(x.shape)
+        q, k, v = ((flat @ w[n]).reshape(x.shape) for n in "qkv")
         s = q @ k.transpose(0, 2, 1)
         s *= np.float32(WIDTH**-0.5)
-        s += self.mask[first:]
+        s += self.mask
         np.exp(np.minimum(s, 60.0, out=s), out=s)
         s /= s.sum(2, keepdims=True)
         h = s @ v
         logits = flat @ w["x"]
         logits += h.reshape(-1, WIDTH) @ w["h"]
         logits += w["b"]
-        logits += self.after[ids[:, first:].ravel()]
+        logits += self.after[ids.ravel()]
         return x, q, k, v, s, h, logits
 
     def freeze(self) -> Model:
-        self.ready = self.w["C"][self.of] + self.w["I"]
-        self.by_word: dict[bytes, float] = {}  # word -> insides of its ids; a worker fills it
+        """Makes the tables that scoring reads in place of the weights: q k' = x (Wq Wk') x', h Wh = (s x) (Wv Wh),
+        and what the logits owe to an id or a place alone is added up beforehand."""
+        w = self.w
+        self.ready = w["C"][self.of] + w["I"]
+        self.meet = (w["q"] @ w["k"].T * WIDTH**-0.5).astype(np.float32)
+        self.out = w["v"] @ w["h"]
+        self.place = w["P"]
+        self.by_place = self.place[OVERLAP:] @ w["x"]
+        self.by_id = self.after
+        self.by_id += self.ready @ w["x"]
+        # attention takes a mean of states, so no logit is above this; a shift of all logits changes no probability
+        top = (self.by_id.max(0) + self.by_place.max(0) + (self.ready @ self.out).max(0) + (self.place @ self.out).max(0) + w["b"]).max()
+        self.by_id += w["b"] - max(0.0, float(top) - 60)
+        self.w = self.after = None
+        self.known: dict[bytes, float] | None = None  # frequent words; a worker fills these three
+        self.ids_of: dict[bytes, bytes] = {}
+        self.inside_of: dict[bytes, float] = {}
         return self
 
+    def learn(self, sub: Subwords, words: list[bytes]) -> None:
+        """Puts the ids of words, and their log probability within their classes, into the tables by word."""
+        if not words:
+            return
+        ids, begin = sub.encode(words)
+        raw, edges = ids.tobytes(), [*(2 * begin).tolist(), 2 * len(ids)]
+        self.ids_of.update(zip(words, map(raw.__getitem__, map(slice, edges, edges[1:]))))
+        self.inside_of.update(zip(words, self.insides(ids, begin).tolist()))
+
+    def forget(self, words: list[bytes]) -> None:
+        """Only frequent words stay in the tables by word, and no more than KEPT."""
+        full = len(self.ids_of) - len(words) > KEPT
+        for w in words:
+            if full or w not in self.known:
+                del self.ids_of[w], self.inside_of[w]
+
     def windows(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Inputs, then targets and whether to score them for the places from OVERLAP on, and the document of each window."""
         step = WINDOW - OVERLAP
@@ -192,19 +220,34 @@ class Model:
         ok = (turn * step)[:, None] + np.arange(step) < lengths[whose][:, None]
         return flat[at], flat[at[:, OVERLAP:] + 1], ok, whose
 
-    def score(self, docs: list[np.ndarray], block: int = 128) -> np.ndarray:
+    def score(self, docs: list[np.ndarray], block: int = 32) -> np.ndarray:
         """log10 probability of the classes of each id sequence (each ends with END)."""
         ins, outs, ok, whose = self.windows(docs)
-        out, ones = np.zeros(len(docs)), np.ones(CLASSES, np.float32)
+        step = WINDOW - OVERLAP
+        ones, all_classes, mask = np.ones(WINDOW, np.float32), np.ones(CLASSES, np.float32), self.mask[OVERLAP:]
+        logits, added = (np.empty((block * step, CLASSES), np.float32) for _ in "ab")  # the same memory for each block
+        own = np.arange(block * step) * CLASSES
+        got = np.empty((len(ins), step), np.float32)
         for i in range(0, len(ins), block):
-            t, m = outs[i : i + block], ok[i : i + block]
-            logits = self.forward(ins[i : i + block], OVERLAP)[-1]
-            hit = logits[np.arange(len(logits)), self.of[t].ravel()].reshape(t.shape)
-            np.exp(np.minimum(logits, 60.0, out=logits), out=logits)
-            lse = np.log(logits @ ones).reshape(t.shape)
-            got = np.where(m, hit - lse, 0.0).sum(1)
-            out += np.bincount(whose[i : i + block], got, len(docs))
-        return out / np.log(10)
+            ids = ins[i : i + block]
+            n = len(ids)
+            x = self.ready[ids]
+            x += self.place
+            s = (x[:, OVERLAP:].reshape(-1, WIDTH) @ self.meet).reshape(n, step, WIDTH) @ x.transpose(0, 2, 1)
+            s += mask
+            np.exp(np.minimum(s, 60.0, out=s), out=s)
+            h = s @ x
+            h /= (s @ ones)[:, :, None]
+            u, a = logits[: n * step], added[: n * step]
+            np.matmul(h.reshape(-1, WIDTH), self.out, out=u)
+            placed = u.reshape(n, step, CLASSES)
+            placed += self.by_place
+            np.take(self.by_id, ids[:, OVERLAP:].ravel(), 0, out=a, mode="clip")
+            u += a
+            hit = u.ravel()[own[: n * step] + self.of[outs[i : i + block]].ravel()]
+            np.exp(u, out=u)
+            got[i : i + n] = (hit - np.log(u @ all_classes)).reshape(n, step)
+        return np.bincount(whose, np.where(ok, got, 0.0).sum(1), len(docs)) / np.log(10)
 
     def fit(self, ins: np.ndarray, outs: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, batch: int = 128) -> None:
         """Adam on the class log loss. ins, outs: windows of ids."""
@@ -280,18 +323,24 @@ def _count_pairs(path: str):
     """Counts of (id, next id) within the words of a vocabulary; -1 stands before a word and -2 after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = subwords(path).encoding
+        sub = subwords(path)
         for batch in batches:
-            left, right, n = [], [], []
-            for word, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = [END_ID] if word == END else enc.encode_ordinary(" " + word.decode("utf-8", "replace"))
-                left.append(-1)
-                left += ids
-                right += ids
-                right.append(-2)
-                n += [k] * (len(ids) + 1)
-            code, place = np.unique((np.array(left, np.int64) << 20) + np.array(right, np.int64), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array((code + 2) >> 20), pa.array((code + 2 & 0xFFFFF) - 2), pa.array(np.bincount(place, n, len(code)).astype(np.int64))], names=["i", "j", "n"])
+            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            if END in words:  # not a word of the tokenizer
+                at = words.index(END)
+                yield pa.RecordBatch.from_arrays([pa.array([-1, END_ID], pa.int64()), pa.array([END_ID, -2], pa.int64()), pa.array([n[at]] * 2, pa.int64())], names=["i", "j", "n"])
+                words.pop(at)
+                n = np.delete(n, at)
+            if not words:
+                continue
+            ids, begin = sub.encode(words)
+            sizes = np.diff(np.append(begin, len(ids)))
+            left = np.concatenate([[-1], ids[:-1].astype(np.int64)])
+            left[begin] = -1
+            left = np.concatenate([left, ids[begin + sizes - 1]])
+            right = np.concatenate([ids.astype(np.int64), np.full(len(words), -2)])
+            code, place = np.unique((left << 20) + right, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array((code + 2) >> 20), pa.array((code + 2 & 0xFFFFF) - 2), pa.array(np.bincount(place, np.concatenate([np.repeat(n, sizes), n]), len(code)).astype(np.int64))], names=["i", "j", "n"])
 
     return run
 
@@ -302,7 +351,7 @@ def _windows(path: str):
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.concatenate([[END_ID], sub.ids(words_of(text)), np.full(WINDOW, END_ID)])
+                ids = np.concatenate([[END_ID], sub.encode(words_of(text))[0].astype(np.int64), np.full(WINDOW + 1, END_ID)])
                 last = len(ids) - WINDOW - 1
                 starts = {0} | set(np.random.default_rng(abs(key)).integers(0, max(1, last), WINDOWS_A_DOC - 1).tolist())
                 rows += [ids[s : s + WINDOW + 1].astype("<u2").tobytes() for s in sorted(starts)]
@@ -311,6 +360,12 @@ def _windows(path: str):
     return run
 
 
+def columns(table: DataFrame, names: str) -> np.ndarray:
+    """A bounded table of integers, the last of them counts, as rows of int64."""
+    got = table.select(*[F.col(c).cast("int") for c in names[:-1]], names[-1]).toArrow()
+    return np.stack([got.column(c).to_numpy() for c in names], 1, dtype=np.int64)
+
+
 def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, sample: int = SAMPLE, head: int = HEAD) -> DataFrame:
     """A row for each of docs: its other columns and n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -323,23 +378,23 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     n_all, v_all = int(totals[0]), int(totals[1])
     least = _least(vocabulary, head)
     short, is_end = F.octet_length("word") < 64, F.col("word") == F.lit(END)
-    frequent = {bytes(r["word"]): float(np.log10(r["n"] + 1)) for r in vocabulary.where(((F.col("n") >= least) & short) | is_end).collect()}
+    frequent = vocabulary.where(((F.col("n") >= least) & short) | is_end).toArrow().combine_chunks()
     rest = vocabulary.where(((F.col("n") < least) | ~short) & ~is_end)
     pairs = save(vocabulary.mapInArrow(_count_pairs(path), "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")), f"{folder}/pairs")
     counts = np.zeros(IDS)
     for r in pairs.where("j >= 0").groupBy("j").agg(F.sum("n").alias("n")).collect():
         counts[r["j"]] = r["n"]
-    model = Model(counts, subwords(path).starting())
+    model = Model(counts, subwords(path).starts)
     # pairs of ids become pairs of an id and a class; both tables are bounded by the vocabulary of the tokenizer
     classes = spark.createDataFrame([(-2, -1), *enumerate(model.of.tolist())], "j long, c long")
-    found = np.array(pairs.join(F.broadcast(classes), "j").groupBy("i", "c").agg(F.sum("n").alias("n")).toPandas(), np.float64).reshape(-1, 3)
+    found = columns(pairs.join(F.broadcast(classes), "j").groupBy("i", "c").agg(F.sum("n").alias("n")), "icn")
     starts = np.zeros(CLASSES)
     begin = found[found[:, 0] < 0]
-    starts[begin[:, 1].astype(np.int64)] = begin[:, 2]
+    starts[begin[:, 1]] = begin[:, 2]
     model.follow(found[found[:, 0] >= 0], starts)
+    del found
     inner = pairs.where("i >= 0 and j >= 0")
-    table = inner.where(F.col("n") >= _least(inner, PAIRS)).toArrow()
-    model.within(np.stack([table.column(x).to_numpy() for x in "ijn"], 1))
+    model.within(columns(inner.where(F.col("n") >= _least(inner, PAIRS)), "ijn"))
     key = F.xxhash64(F.lit("lm-sample"), F.col(id_col))
     edge = train.select(key.alias("k")).orderBy("k").limit(sample).agg(F.max("k")).first()[0]
     if edge is not None:
@@ -352,49 +407,47 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     names = [f.name for f in others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_words, lm = shared.value
-        sub, part, row = subwords(path), TaskContext.get().partitionId(), 0
-        end_log, end_inside, inside = known_words.get(END), float(lm.inside[END_ID]), lm.by_word
+        table, lm = shared.value
+        if lm.known is None:
+            lm.known = dict(zip(table.column("word").to_pylist(), np.log10(table.column("n").to_numpy() + 1.0).tolist()))
+        sub, known_words, part, row = subwords(path), lm.known, TaskContext.get().partitionId(), 0
+        end_log, end_inside = known_words.get(END), float(lm.inside[END_ID])
+
+        def scored(texts: list[list[bytes]]) -> np.ndarray:
+            new = list(set().union(*texts).difference(lm.ids_of))
+            lm.learn(sub, new)
+            ids = [np.append(np.frombuffer(b"".join(map(lm.ids_of.__getitem__, words)), np.uint16).astype(np.int64), END_ID) for words in texts]
+            inner = [end_inside + sum(map(lm.inside_of.__getitem__, words)) for words in texts]
+            lm.forget(new)
+            return lm.score(ids) + np.array(inner) / np.log(10)
+
         for batch in batches:
-            tokens, known, sums, seqs, scores = [], [], [], [], []
+            tokens, known, sums, scores = [], [], [], []
             tail_row, tail_word, tail_n = [], [], []
-            held, inner = 0, []
+            held, texts = 0, []
             uid = []
             for text in batch.column(text_col).to_pylist():
                 words = words_of(text)
                 me = (part << 36) + row
                 row += 1
                 uid.append(me)
-                total, seen = (end_log, 1) if end_log is not None else (0.0, 0)
-                distinct = Counter(words)
-                if new := [w for w in distinct if w not in inside]:
-                    if len(inside) > 300_000:
-                        inside.clear()
-                        new = list(distinct)
-                    inside.update(zip(new, lm.insides([sub[w] for w in new]).tolist()))
-                own = end_inside
-                for w, n in distinct.items():
-                    own += n * inside[w]
-                    log = known_words.get(w)
-                    if log is None:
-                        tail_row.append(me)
-                        tail_word.append(w)
-                        tail_n.append(n)
-                    else:
-                        total += n * log
-                        seen += n
-                inner.append(own / np.log(10))
+                logs = list(map(known_words.get, words))
+                if lost := logs.count(None):
+                    tail = Counter([w for w, log in zip(words, logs) if log is None])
+                    tail_row += [me] * len(tail)
+                    tail_word += tail
+                    tail_n += tail.values()
                 tokens.append(len(words) + 1)
-                known.append(seen)
-                sums.append(total)
-                seqs.append(sub.ids(words))
-                held += len(seqs[-1])
-                if held > 1 << 16:
-                    scores.append(lm.score(seqs))
-                    seqs, held = [], 0
-            if seqs:
-                scores.append(lm.score(seqs))
-            done = (np.concatenate(scores) if scores else np.empty(0)) + np.array(inner)
+                known.append(len(words) - lost + (end_log is not None))
+                sums.append(sum(filter(None, logs)) + (end_log or 0.0))
+                texts.append(words)
+                held += len(words)
+                if held > 1 << 15:
+                    scores.append(scored(texts))
+                    texts, held = [], 0
+            if texts:
+                scores.append(scored(texts))
+            done = np.concatenate(scores) if scores else np.empty(0)
             n, m = len(uid), len(tail_row)
             mine = [pa.concat_arrays([batch.column(x), pa.nulls(m, batch.column(x).type)]) for x in names]
             yield pa.RecordBatch.from_arrays(
