@@ -23,9 +23,9 @@ from __future__ import annotations
 
 import base64
 import re
-from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +45,6 @@ PAIRS, PSEUDO = 2_000_000, 5.0
 IDS, END_ID = 50257, 50256
 END = b"\n"  # no word holds white space
 OTHER_WHITE = re.compile(r"[^\S ]")
-#: Words whose ids a worker keeps; they are among the frequent words.
-KEPT = 250_000
 _STATE: dict = {}
 
 
@@ -71,14 +69,25 @@ class Subwords:
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and where each word begins. The words are encoded in one text, as pieces
-        never reach over a space; words that hold other white space are encoded one by one."""
+        never reach over a space; a word that holds other white space is encoded alone."""
         text = (b" " + b" ".join(words)).decode("utf-8", "replace") if words else ""
-        if not OTHER_WHITE.search(text):
-            ids = np.array(self.encoding.encode_ordinary(text), np.uint16)
-            return ids, np.flatnonzero(self.starts[ids])
-        own = [array("H", self.encoding.encode_ordinary(" " + w.decode("utf-8", "replace"))) for w in words]
-        sizes = np.array([len(x) for x in own], np.int64)
-        return np.concatenate([np.frombuffer(x, np.uint16) for x in own]), np.cumsum(sizes) - sizes
+        if len(words) > 1 and OTHER_WHITE.search(text):
+            half = len(words) // 2
+            (a, at), (b, later) = self.encode(words[:half]), self.encode(words[half:])
+            return np.append(a, b), np.append(at, later + len(a))
+        ids = np.array(self.encoding.encode_ordinary(text), np.uint16)
+        return ids, np.zeros(1, np.int64) if len(words) == 1 else np.flatnonzero(self.starts[ids])
+
+
+class Numbers(dict):
+    """word -> number of a frequent word; other words are numbered on in ``others``, which each block of documents begins anew."""
+
+    def anew(self) -> dict[bytes, int]:
+        self.others = defaultdict(count(len(self)).__next__)
+        return self.others
+
+    def __missing__(self, word: bytes) -> int:
+        return self.others[word]
 
 
 def subwords(path: str) -> Subwords:
@@ -184,26 +193,40 @@ class Model:
         top = (self.by_id.max(0) + self.by_place.max(0) + (self.ready @ self.out).max(0) + (self.place @ self.out).max(0) + w["b"]).max()
         self.by_id += w["b"] - max(0.0, float(top) - 60)
         self.w = self.after = None
-        self.known: dict[bytes, float] | None = None  # frequent words; a worker fills these three
-        self.ids_of: dict[bytes, bytes] = {}
-        self.inside_of: dict[bytes, float] = {}
+        self.numbers: Numbers | None = None
         return self
 
-    def learn(self, sub: Subwords, words: list[bytes]) -> None:
-        """Puts the ids of words, and their log probability within their classes, into the tables by word."""
-        if not words:
-            return
-        ids, begin = sub.encode(words)
-        raw, edges = ids.tobytes(), [*(2 * begin).tolist(), 2 * len(ids)]
-        self.ids_of.update(zip(words, map(raw.__getitem__, map(slice, edges, edges[1:]))))
-        self.inside_of.update(zip(words, self.insides(ids, begin).tolist()))
+    def know(self, sub: Subwords, words: list[bytes], counts: np.ndarray) -> None:
+        """A worker's tables of the frequent words, by number: base logs, ids and log probability within classes."""
+        self.numbers = Numbers(zip(words, range(len(words))))
+        self.logs = np.log10(counts + 1.0)
+        self.ids, self.begin, self.inner = self.words(sub, words)
 
-    def forget(self, words: list[bytes]) -> None:
-        """Only frequent words stay in the tables by word, and no more than KEPT."""
-        full = len(self.ids_of) - len(words) > KEPT
-        for w in words:
-            if full or w not in self.known:
-                del self.ids_of[w], self.inside_of[w]
+    def words(self, sub: Subwords, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, where each word begins and the last ends, and the log probability of each word's ids within their classes."""
+        ids, begin = sub.encode(words)
+        return ids, np.append(begin, len(ids)), self.insides(ids, begin) if words else np.zeros(0)
+
+    def block(self, sub: Subwords, texts: list[list[bytes]]) -> tuple:
+        """Known words, their summed base logs and the score for each of a block of texts; then text, word and times for
+        each other word of a text."""
+        others, n, head = self.numbers.anew(), len(texts), len(self.numbers)
+        sizes = np.array(list(map(len, texts)))
+        at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(texts)), np.int64, sizes.sum())
+        names = list(others)
+        ids, begin, inner = self.words(sub, names)
+        ids, begin = np.append(self.ids, ids), np.append(self.begin, begin[1:] + len(self.ids))
+        whose, known = np.repeat(np.arange(n), sizes), at < head
+        found = np.bincount(whose[known], minlength=n)
+        base = np.bincount(whose[known], self.logs[at[known]], n)
+        within = np.bincount(whose, np.append(self.inner, inner)[at], n) + self.inside[END_ID]
+        code, times = np.unique((whose[~known] << 32) + at[~known] - head, return_counts=True)
+        long = begin[at + 1] - begin[at]
+        ends = np.cumsum(long)
+        flat = ids[np.repeat(begin[at] - ends + long, long) + np.arange(long.sum())].astype(np.int64)
+        cuts = np.append(0, ends)[np.cumsum(sizes)[:-1]]
+        seqs = [np.append(x, END_ID) for x in np.split(flat, cuts)]
+        return found, base, self.score(seqs) + within / np.log(10), code >> 32, [names[i] for i in (code & 0xFFFFFFFF).tolist()], times
 
     def windows(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Inputs, then targets and whether to score them for the places from OVERLAP on, and the document of each window."""
@@ -374,11 +397,11 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     train = docs.where(learn)
     counted = train.select(text_col).mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     vocabulary = save(counted, f"{folder}/words")
-    totals = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    n_all, v_all = int(totals[0]), int(totals[1])
-    least = _least(vocabulary, head)
     short, is_end = F.octet_length("word") < 64, F.col("word") == F.lit(END)
-    frequent = vocabulary.where(((F.col("n") >= least) & short) | is_end).toArrow().combine_chunks()
+    totals = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(is_end, F.col("n"))), F.lit(0))).first()
+    n_all, v_all, n_ends = map(int, totals)
+    least = _least(vocabulary, head)
+    frequent = vocabulary.where((F.col("n") >= least) & short & ~is_end).toArrow().combine_chunks()
     rest = vocabulary.where(((F.col("n") < least) | ~short) & ~is_end)
     pairs = save(vocabulary.mapInArrow(_count_pairs(path), "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")), f"{folder}/pairs")
     counts = np.zeros(IDS)
@@ -403,51 +426,34 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
         ids = np.frombuffer(b"".join(got), "<u2").astype(np.int64).reshape(-1, WINDOW + 1)
         model.fit(ids[:, :-1], ids[:, 1:])
     shared = spark.sparkContext.broadcast((frequent, model.freeze()))
+    end_log = float(np.log10(n_ends + 1))
     others = [f for f in docs.schema if f.name != text_col]
     names = [f.name for f in others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, lm = shared.value
-        if lm.known is None:
-            lm.known = dict(zip(table.column("word").to_pylist(), np.log10(table.column("n").to_numpy() + 1.0).tolist()))
-        sub, known_words, part, row = subwords(path), lm.known, TaskContext.get().partitionId(), 0
-        end_log, end_inside = known_words.get(END), float(lm.inside[END_ID])
-
-        def scored(texts: list[list[bytes]]) -> np.ndarray:
-            new = list(set().union(*texts).difference(lm.ids_of))
-            lm.learn(sub, new)
-            ids = [np.append(np.frombuffer(b"".join(map(lm.ids_of.__getitem__, words)), np.uint16).astype(np.int64), END_ID) for words in texts]
-            inner = [end_inside + sum(map(lm.inside_of.__getitem__, words)) for words in texts]
-            lm.forget(new)
-            return lm.score(ids) + np.array(inner) / np.log(10)
-
+        sub, part, row = subwords(path), TaskContext.get().partitionId(), 0
+        if lm.numbers is None:
+            lm.know(sub, table.column("word").to_pylist(), table.column("n").to_numpy())
         for batch in batches:
-            tokens, known, sums, scores = [], [], [], []
-            tail_row, tail_word, tail_n = [], [], []
-            held, texts = 0, []
-            uid = []
+            tokens, texts, held, done = [], [], 0, []
+            first = (part << 36) + row
             for text in batch.column(text_col).to_pylist():
-                words = words_of(text)
-                me = (part << 36) + row
-                row += 1
-                uid.append(me)
-                logs = list(map(known_words.get, words))
-                if lost := logs.count(None):
-                    tail = Counter([w for w, log in zip(words, logs) if log is None])
-                    tail_row += [me] * len(tail)
-                    tail_word += tail
-                    tail_n += tail.values()
-                tokens.append(len(words) + 1)
-                known.append(len(words) - lost + (end_log is not None))
-                sums.append(sum(filter(None, logs)) + (end_log or 0.0))
-                texts.append(words)
-                held += len(words)
+                texts.append(words_of(text))
+                tokens.append(len(texts[-1]) + 1)
+                held += tokens[-1]
                 if held > 1 << 15:
-                    scores.append(scored(texts))
+                    done.append((len(tokens) - len(texts), *lm.block(sub, texts)))
                     texts, held = [], 0
             if texts:
-                scores.append(scored(texts))
-            done = np.concatenate(scores) if scores else np.empty(0)
+                done.append((len(tokens) - len(texts), *lm.block(sub, texts)))
+            row += len(tokens)
+            uid = np.arange(first, first + len(tokens)).tolist()
+            known, sums, scores = (list(chain.from_iterable(b[k].tolist() for b in done)) for k in (1, 2, 3))
+            known, sums = [k + (n_ends > 0) for k in known], [x + (end_log if n_ends else 0.0) for x in sums]
+            tail_row = list(chain.from_iterable((first + b[0] + b[4]).tolist() for b in done))
+            tail_word = list(chain.from_iterable(b[5] for b in done))
+            tail_n = list(chain.from_iterable(b[6].tolist() for b in done))
             n, m = len(uid), len(tail_row)
             mine = [pa.concat_arrays([batch.column(x), pa.nulls(m, batch.column(x).type)]) for x in names]
             yield pa.RecordBatch.from_arrays(
@@ -457,7 +463,7 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
                     pa.array(tokens + tail_n, pa.int64()),
                     pa.concat_arrays([pa.array(known, pa.int64()), pa.nulls(m, pa.int64())]),
                     pa.concat_arrays([pa.array(sums, pa.float64()), pa.nulls(m, pa.float64())]),
-                    pa.concat_arrays([pa.array(done, pa.float64()), pa.nulls(m, pa.float64())]),
+                    pa.concat_arrays([pa.array(scores, pa.float64()), pa.nulls(m, pa.float64())]),
                     pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(tail_word, pa.binary())]),
                 ],
                 names=[*names, "__row", "n_tokens", "n_known", "__sum", "score", "__word"],
