@@ -198,10 +198,11 @@ def difference(before: DataFrame, after: DataFrame) -> DataFrame:
     return joined.withColumn("change", change).where(F.col("change").isNotNull())
 
 
-def entropy_changes(before: DataFrame, after: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """Windows (offset, length, entropy) that differ between two inputs."""
-    b = before.select("offset", F.struct("length", "entropy").alias("before"))
-    a = after.select("offset", F.struct("length", "entropy").alias("after"))
-    j = b.join(a, "offset", "full_outer")
+def entropy_changes(before: DataFrame, after: DataFrame, tolerance: float = 1e-9, pair: tuple[str, ...] = ()) -> DataFrame:
+    """Windows (offset, length, entropy) that differ between two inputs, or within each of many pairs named by columns."""
+    keys = [*pair, "offset"]
+    b = before.select(*keys, F.struct("length", "entropy").alias("before"))
+    a = after.select(*keys, F.struct("length", "entropy").alias("after"))
+    j = b.join(a, keys, "full_outer")
     same = (F.col("before.length") == F.col("after.length")) & (F.abs(F.col("before.entropy") - F.col("after.entropy")) <= tolerance)
     return j.where(~F.coalesce(same, F.lit(False)))

@@ -486,10 +486,11 @@ def compare_indicators(spark, d):
     return out.select("key", "change", F.coalesce("before.kind", "after.kind").alias("kind"), F.coalesce("before.preview", "after.preview").alias("preview"))
 
 
-@query("compare_entropy", f"WITH r AS ({_REGIONS_SQL}) SELECT coalesce(a.\"offset\", b.\"offset\") AS \"offset\" FROM (SELECT * FROM r WHERE input_id = 0) a FULL JOIN (SELECT * FROM r WHERE input_id = 1) b ON a.\"offset\" = b.\"offset\" WHERE a.length IS NULL OR b.length IS NULL OR a.length <> b.length OR abs(a.entropy - b.entropy) > 1e-9")
+@query("compare_entropy", f"WITH r AS ({_REGIONS_SQL}) SELECT coalesce(a.input_id, b.input_id - 1) AS input_id, coalesce(a.\"offset\", b.\"offset\") AS \"offset\" FROM r a FULL JOIN r b ON a.input_id = b.input_id - 1 AND a.\"offset\" = b.\"offset\" WHERE a.length IS NULL OR b.length IS NULL OR a.length <> b.length OR abs(a.entropy - b.entropy) > 1e-9")
 def compare_entropy(spark, d):
-    r = lambda k: scan.entropy_regions(doc_inputs(spark, d).where(F.col("input_id") == k))
-    return indicators.entropy_changes(r(0), r(1)).select("offset")
+    """Each document against the one with the next id."""
+    r = scan.entropy_regions(doc_inputs(spark, d))
+    return indicators.entropy_changes(r, r.withColumn("input_id", F.col("input_id") - 1), pair=("input_id",)).select("input_id", "offset")
 
 
 _PATH_SQL = r"SELECT page_id, regexp_extract(url, '^https?://([^?#]*)', 1) AS path FROM pages"
