@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -381,6 +382,26 @@ def test_lm_gradients():
         assert (up - down) / 2e-4 == pytest.approx(g[name][at], abs=2e-4), name
 
 
+def test_lm_fits_on_every_window(spark, odd, tmp_path):
+    sub = lm_score.subwords(lm_score.default_ranks())
+    texts = [np.append(sub.encode(lm_score.words_of(t))[0], lm_score.END_ID) for _, t in awkward()]
+    pieces = [r for b in lm_score._pieces(lm_score.default_ranks())([pa.RecordBatch.from_pydict({"k": [k for k, _ in awkward()], "t": [t for _, t in awkward()]})]) for r in b.to_pylist()]
+    ins, outs, ok = lm_score.piece_windows([r["ids"] for r in pieces])
+    scored = lm_score.Model(np.ones(lm_score.IDS)).windows(texts)
+    kinds = lambda a, b, c: sorted((*x.tolist(), *y[z].tolist()) for x, y, z in zip(a, b, c) if z.all())
+    assert kinds(ins, outs, ok) == kinds(*scored[:3])  # the windows that scoring has, whole ones with context and all
+    assert sorted(outs[ok].tolist()) == sorted(np.concatenate(texts).tolist())
+    got = []
+    for parts in (1, 5):
+        m = lm_score.Model(np.ones(lm_score.IDS))
+        n = lm_score.fit_all(odd.select("doc_id", "text").repartition(parts), m, lm_score.default_ranks(), str(tmp_path / str(parts)))
+        assert n == sum(map(len, texts))
+        got.append(m.flat())
+    assert got[0] == pytest.approx(got[1], abs=1e-5)
+    seen = np.abs(m.w["I"]).sum(1) > 0
+    assert seen[np.unique(np.concatenate(texts))].all()  # a weight of every id of every text was fitted
+
+
 def test_substring_dedup(spark, odd, none):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.dedup(odd).collect()}
     assert got == substring_dedup.brute_force(awkward())

@@ -7,7 +7,11 @@ counts in the corpus: after the id before it in the word, smoothed with its shar
 word's first id has only that share). The ``PAIRS`` most frequent pairs of ids enter; after an id
 whose pairs are left out the share alone counts, so each class still sums to 1. What lies within
 classes depends on the word alone and is kept by word (``insides``). Counts of words and ids come
-from all training documents; the attention weights are fitted by Adam on ``SAMPLE`` training documents, those with the smallest hashed ids.
+from all training documents. The attention weights begin from a fit by Adam on a few windows of ``SAMPLE`` documents (those with
+the smallest hashed ids) and are then fitted on every window of every training document, each target once and in the context in
+which it would be scored: texts are dealt by hash, in pieces, over ``ROUNDS`` rounds and in each over shards of about ``SHARD`` ids;
+each shard goes on from the weights of the round by itself and the results are averaged by targets. Shards are sorted, so the fit
+does not depend on partitioning but for the order of float sums.
 Windows of ``WINDOW`` ids overlap by ``OVERLAP``; each token is scored once, in the first window
 that holds it, with batched masked attention.
 
@@ -40,6 +44,8 @@ WINDOW, OVERLAP, WIDTH, CLASSES = 16, 4, 16, 160
 POWER = 0.85
 #: Most words in the broadcast table, and documents that the attention weights are fitted on.
 HEAD, SAMPLE, WINDOWS_A_DOC, EPOCHS = 400_000, 2000, 8, 4
+#: Rounds of the fit on all windows with their rates, ids in a shard, targets in a piece of a text and windows in a step.
+ROUNDS, SHARD, PIECE, BATCH = (0.006, 0.004, 0.002, 0.001), 1 << 21, 64 * (WINDOW - OVERLAP), 256
 #: Most pairs of ids in the broadcast table; pseudo-counts that the share of a class weighs against them.
 PAIRS, PSEUDO = 2_000_000, 5.0
 IDS, END_ID = 50257, 50256
@@ -272,8 +278,8 @@ class Model:
             got[i : i + n] = (hit - np.log(u @ all_classes)).reshape(n, step)
         return np.bincount(whose, np.where(ok, got, 0.0).sum(1), len(docs)) / np.log(10)
 
-    def fit(self, ins: np.ndarray, outs: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, batch: int = 128) -> None:
-        """Adam on the class log loss. ins, outs: windows of ids."""
+    def fit(self, ins: np.ndarray, outs: np.ndarray, ok: np.ndarray | None = None, epochs: int = EPOCHS, rate: float = 0.01, batch: int = 128) -> None:
+        """Adam on the class log loss. ins, outs: windows of ids; ok: which of outs count. Of ids, only those in a step are moved by it."""
         rng = np.random.default_rng(11)
         m = {n: np.zeros_like(a) for n, a in self.w.items()}
         v = {n: np.zeros_like(a) for n, a in self.w.items()}
@@ -283,37 +289,61 @@ class Model:
             for i in range(0, len(order), batch):
                 t += 1
                 pick = order[i : i + batch]
-                for n, g in self.gradients(ins[pick], outs[pick]).items():
-                    m[n] += 0.1 * (g - m[n])
-                    v[n] += 0.01 * (g * g - v[n])
-                    self.w[n] -= rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(v[n] / (1 - 0.99**t)) + 1e-8)
-
-    def gradients(self, ids: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
-        w = self.w
-        x, q, k, v, s, h, logits = self.forward(ids)
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(p)), self.of[targets].ravel()] -= 1
-        p /= len(p)
-        fx, fh = x.reshape(-1, WIDTH), h.reshape(-1, WIDTH)
-        g = {"x": fx.T @ p, "h": fh.T @ p, "b": p.sum(0)}
-        dh = (p @ w["h"].T).reshape(x.shape)
-        dv = s.transpose(0, 2, 1) @ dh
+                moved = self.gradients(ins[pick], outs[pick], None if ok is None else ok[pick])
+                rows = moved.pop("rows")
+                for n, g in moved.items():
+                    at = rows if n == "I" else ...
+                    m[n][at] += 0.1 * (g - m[n][at])
+                    v[n][at] += 0.01 * (g * g - v[n][at])
+                    self.w[n][at] -= rate * (m[n][at] / (1 - 0.9**t)) / (np.sqrt(v[n][at] / (1 - 0.99**t)) + 1e-8)
+
+    def gradients(self, ids: np.ndarray, targets: np.ndarray, ok: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Of the mean loss of the targets (those that are ok) of the last places of each window; "I" only for the ids in ``rows``."""
+        w, d, step = self.w, WIDTH, targets.shape[1]
+        wide, late = (len(ids), WINDOW, d), (len(ids), step, d)
+        x = w["C"][self.of[ids]] + w["I"][ids] + w["P"]
+        flat, last = x.reshape(-1, d), x[:, WINDOW - step :].reshape(-1, d)
+        q, k, v = (last @ w["q"]).reshape(late), (flat @ w["k"]).reshape(wide), (flat @ w["v"]).reshape(wide)
+        s = q @ k.transpose(0, 2, 1)
+        s *= np.float32(WIDTH**-0.5)
+        s += self.mask[WINDOW - step :]
+        np.exp(np.minimum(s, 60.0, out=s), out=s)
+        s /= s.sum(2, keepdims=True)
+        state, out = np.concatenate([last, (s @ v).reshape(-1, d)], 1), np.concatenate([w["x"], w["h"]])
+        p = state @ out
+        p += w["b"]
+        p += self.after[ids[:, WINDOW - step :].ravel()]
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
+        weight = np.ones(len(p), p.dtype) if ok is None else ok.ravel().astype(p.dtype)
+        weight /= max(1.0, weight.sum())
+        p *= (weight / p.sum(1))[:, None]
+        p[np.arange(len(p)), self.of[targets].ravel()] -= weight
+        both, back = state.T @ p, p @ out.T
+        g = {"x": both[:d], "h": both[d:], "b": p.sum(0)}
+        dh = back[:, d:].reshape(late)
+        dv = (s.transpose(0, 2, 1) @ dh).reshape(-1, d)
         ds = dh @ v.transpose(0, 2, 1)
         ds = s * (ds - (ds * s).sum(2, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        dx = p @ w["x"].T
-        for n, d in (("q", dq), ("k", dk), ("v", dv)):
-            flat = d.reshape(-1, WIDTH)
-            g[n] = fx.T @ flat
-            dx += flat @ w[n].T
-        g["P"] = dx.reshape(x.shape).sum(0)
-        g["I"] = np.zeros_like(w["I"])
-        np.add.at(g["I"], ids.ravel(), dx)
-        g["C"] = np.zeros_like(w["C"])
-        np.add.at(g["C"], self.of[ids].ravel(), dx)
+        dq, dk = (ds @ k).reshape(-1, d), (ds.transpose(0, 2, 1) @ q).reshape(-1, d)
+        g |= {"q": last.T @ dq, "k": flat.T @ dk, "v": flat.T @ dv}
+        dx = (dk @ w["k"].T + dv @ w["v"].T).reshape(wide)
+        dx[:, WINDOW - step :] += (back[:, :d] + dq @ w["q"].T).reshape(late)
+        g["P"] = dx.sum(0)
+        g["rows"], at = np.unique(ids, return_inverse=True)
+        cells = lambda i, a, n: np.bincount((i.reshape(-1, 1) * d + np.arange(d)).ravel(), a.ravel(), n * d).reshape(n, d).astype(a.dtype)
+        g["I"] = cells(at, dx, len(g["rows"]))
+        g["C"] = cells(self.of[g["rows"]], g["I"], CLASSES)
         return g
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([a.ravel() for a in self.w.values()]).astype(np.float32)
+
+    def take(self, flat: np.ndarray) -> None:
+        at = 0
+        for n, a in self.w.items():
+            self.w[n], at = flat[at : at + a.size].reshape(a.shape).astype(np.float32), at + a.size
+
 
 def _least(counts: DataFrame, most: int) -> int:
     """The least count (column n) that no more than ``most`` rows have or exceed."""
@@ -383,6 +413,73 @@ def _windows(path: str):
     return run
 
 
+def _pieces(path: str):
+    """Pieces of texts: the ids of up to PIECE targets, after the OVERLAP + 1 ids before them, with their number in the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sub = subwords(path)
+        for batch in batches:
+            rows, sizes, keys, turns = [], [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = np.concatenate([np.full(OVERLAP + 1, END_ID, "<u2"), sub.encode(words_of(text))[0].astype("<u2"), np.array([END_ID], "<u2")])
+                for i in range(0, len(ids) - OVERLAP - 1, PIECE):
+                    rows.append(ids[i : i + OVERLAP + 1 + PIECE].tobytes())
+                    sizes.append(len(rows[-1]) // 2 - OVERLAP - 1)
+                    keys.append(key)
+                    turns.append(i)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (keys, turns)), pa.array(rows, pa.binary()), pa.array(sizes, pa.int64())], names=["key", "turn", "ids", "n"])
+
+    return run
+
+
+def piece_windows(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, targets of the places from OVERLAP on, and which of these are ids of the text: every target of the pieces once."""
+    step, before = WINDOW - OVERLAP, OVERLAP + 1
+    parts = [np.frombuffer(x, "<u2") for x in pieces]
+    sizes = np.array([len(x) - before for x in parts])
+    n = -(-sizes // step)
+    whose = np.repeat(np.arange(len(parts)), n)
+    turn = (np.arange(len(whose)) - np.repeat(np.cumsum(n) - n, n)) * step
+    flat = np.concatenate([*parts, np.full(WINDOW + 1, END_ID, "<u2")])
+    starts = np.cumsum(sizes + before) - sizes - before
+    at = (starts[whose] + turn)[:, None] + np.arange(WINDOW)
+    return flat[at], flat[at[:, OVERLAP:] + 1], turn[:, None] + np.arange(step) < sizes[whose][:, None]
+
+
+def fit_all(train: DataFrame, model: Model, path: str, folder: str) -> int:
+    """Fits the weights on every window of all texts (rows of an id and a text); the number of targets."""
+    spark = train.sparkSession
+    keyed = train.select(F.xxhash64(F.lit("lm-deal"), F.col(train.columns[0])), train.columns[1])
+    table = keyed.mapInArrow(_pieces(path), "key long, turn long, ids binary, n long").select(F.xxhash64("key", "turn", "ids").alias("hash"), "ids", "n").withColumn("round", F.pmod("hash", F.lit(len(ROUNDS))).cast("int"))
+    table.write.partitionBy("round").parquet(f"{folder}/pieces")
+    table = spark.read.schema(table.schema).parquet(f"{folder}/pieces")
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shards = max(1, round(total / len(ROUNDS) / SHARD))
+    begun = spark.sparkContext.broadcast(model)
+    seen = 0
+    for turn, rate in enumerate(ROUNDS):
+        weights = spark.sparkContext.broadcast(model.flat())
+
+        def run(group: pa.Table) -> pa.Table:
+            group = group.sort_by([("hash", "ascending"), ("ids", "ascending")])
+            lm, n = begun.value, sum(group.column("n").to_pylist())
+            lm.take(weights.value)
+            lm.fit(*piece_windows(group.column("ids").to_pylist()), epochs=1, rate=rate, batch=BATCH)
+            return pa.table({"n": pa.array([n], pa.int64()), "w": pa.array([(lm.flat() * np.float32(n / SHARD)).tobytes()], pa.binary())})
+
+        mine = table.where(F.col("round") == turn).select(F.pmod(F.shiftright("hash", 8), F.lit(shards)).alias("shard"), "hash", "ids", "n")
+        done = mine.groupBy("shard").applyInArrow(run, "n long, w binary").rdd.map(lambda r: (r[0], np.frombuffer(r[1], np.float32)))
+        n, w = done.treeAggregate((0, np.float32(0)), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda a, b: (a[0] + b[0], a[1] + b[1]), depth=3)
+        if n:
+            model.take(w / np.float32(n / SHARD))
+        seen += n
+        weights.destroy()
+    begun.destroy()
+    if seen != total:
+        raise RuntimeError(f"fitted on {seen} of {total} targets")
+    return seen
+
+
 def columns(table: DataFrame, names: str) -> np.ndarray:
     """A bounded table of integers, the last of them counts, as rows of int64."""
     got = table.select(*[F.col(c).cast("int") for c in names[:-1]], names[-1]).toArrow()
@@ -425,6 +522,7 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
         got = sorted(bytes(r["w"]) for r in picked.mapInArrow(_windows(path), "w binary").collect())
         ids = np.frombuffer(b"".join(got), "<u2").astype(np.int64).reshape(-1, WINDOW + 1)
         model.fit(ids[:, :-1], ids[:, 1:])
+        fit_all(train.select(id_col, text_col), model, path, folder)
     shared = spark.sparkContext.broadcast((frequent, model.freeze()))
     end_log = float(np.log10(n_ends + 1))
     others = [f for f in docs.schema if f.name != text_col]
