@@ -212,6 +212,22 @@ def test_comparison(spark):
     assert key in {r["key"] for r in d}
 
 
+def test_compare_indicators_takes_all_keys(spark, tmp_path):
+    n = indicators.MAX_ENTRIES + 50
+    mail = lambda i: f"user{i}@host{i}.example.com"
+    spark.createDataFrame([(i, mail(i)) for i in range(n)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(n - i, mail(i)) for i in range(1, n + 1)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {(r["change"], r["preview"], r["incomplete_index"]) for r in catalogue.QUERIES["compare_indicators"](spark, str(tmp_path)).collect()}
+    assert {g for g in got if g[0] != "changed"} == {("removed", mail(0), False), ("added", mail(n), False)}
+
+
+def test_comparison_says_when_keys_were_left_out(spark):
+    f = lambda t, most: indicators.bounded(indicators.comparison_index(indicators.comparison_entries(scan.findings(files.bytes_input(spark, "x", t)))), most)
+    for most, want in ((3, False), (2, True)):
+        got = indicators.difference(f(b"first\0second\0third", most), f(b"other", most)).collect()
+        assert got and all(r["incomplete_index"] is want for r in got)
+
+
 def test_reports_and_events(spark):
     one = files.bytes_input(spark, "x", b"https://example.org/fixture\n")
     f = scan.findings(one)

@@ -183,19 +183,26 @@ def comparison_index(entries: DataFrame, order: list[str] | None = None) -> Data
 
 
 def bounded(index: DataFrame, most: int = MAX_ENTRIES) -> DataFrame:
-    """The first ``most`` keys of each list in order of arrival."""
+    """The first ``most`` keys of each list in order of arrival, for the comparison of single files; ``incomplete``: keys were left out."""
     parts = [index.where(F.col("list") == x).orderBy("first").limit(most) for x in ("string", "indicator")]
-    return parts[0].unionByName(parts[1]).drop("first")
+    sizes = index.groupBy("list").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n") > most, F.lit(False)).alias("incomplete"))
+    return parts[0].unionByName(parts[1]).drop("first").crossJoin(F.broadcast(sizes))
+
+
+def incomplete_index(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: whether keys of either side were left out, so that a change may be none."""
+    cut = [x.select("incomplete") if "incomplete" in x.columns else x.select(F.lit(False).alias("incomplete")).limit(0) for x in (before, after)]
+    return cut[0].unionByName(cut[1]).agg(F.coalesce(F.bool_or("incomplete"), F.lit(False)).alias("incomplete_index"))
 
 
 def difference(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(list, key, change, before, after): added, removed or changed, by a full outer join on the key."""
+    """(list, key, change, before, after, incomplete_index): added, removed or changed, by a full outer join on the key."""
     entry = ["kind", "preview", "preview_truncated", "count", "offsets", "offsets_truncated"]
     b = before.select("list", "key", F.struct(*entry).alias("before"))
     a = after.select("list", "key", F.struct(*entry).alias("after"))
     joined = b.join(a, ["list", "key"], "full_outer")
     change = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(F.col("before") != F.col("after"), "changed")
-    return joined.withColumn("change", change).where(F.col("change").isNotNull())
+    return joined.withColumn("change", change).where(F.col("change").isNotNull()).crossJoin(F.broadcast(incomplete_index(before, after)))
 
 
 def entropy_changes(before: DataFrame, after: DataFrame, tolerance: float = 1e-9, pair: tuple[str, ...] = ()) -> DataFrame:

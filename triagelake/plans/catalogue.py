@@ -481,9 +481,10 @@ def compare_strings(spark, d):
 
 @query("compare_indicators")
 def compare_indicators(spark, d):
-    f = lambda t, i, c: indicators.bounded(indicators.comparison_index(indicators.comparison_entries(scan.findings(scan.inputs_of(table(spark, d, t), i, c), Config(no_decode=True, matches_only=True), load(categories=["Email", "credit_card"]))).where("list = 'indicator'"), ["input_id", "seq", "layer", "n"]))
+    """All keys of both tables; the cap is for single files."""
+    f = lambda t, i, c: indicators.comparison_index(indicators.comparison_entries(scan.findings(scan.inputs_of(table(spark, d, t), i, c), Config(no_decode=True, matches_only=True), load(categories=["Email", "credit_card"]))).where("list = 'indicator'"), ["input_id", "seq", "layer", "n"])
     out = indicators.difference(f("documents", "doc_id", "text"), f("pages", "page_id", "html"))
-    return out.select("key", "change", F.coalesce("before.kind", "after.kind").alias("kind"), F.coalesce("before.preview", "after.preview").alias("preview"))
+    return out.select("key", "change", F.coalesce("before.kind", "after.kind").alias("kind"), F.coalesce("before.preview", "after.preview").alias("preview"), "incomplete_index")
 
 
 @query("compare_entropy", f"WITH r AS ({_REGIONS_SQL}) SELECT coalesce(a.input_id, b.input_id - 1) AS input_id, coalesce(a.\"offset\", b.\"offset\") AS \"offset\" FROM r a FULL JOIN r b ON a.input_id = b.input_id - 1 AND a.\"offset\" = b.\"offset\" WHERE a.length IS NULL OR b.length IS NULL OR a.length <> b.length OR abs(a.entropy - b.entropy) > 1e-9")
