@@ -228,6 +228,16 @@ def test_comparison_says_when_keys_were_left_out(spark):
         assert got and all(r["incomplete_index"] is want for r in got)
 
 
+def test_evidence_of_every_match(spark, tmp_path):
+    import re
+
+    texts = ["a@b.example.com, c@d.example.com; again a@b.example.com", "x" * 60 + " e@f.example.org " + "y" * 60 + " g@h.example.org", "none here", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = [(i, n, m[0], t[: m.start()][-48:], t[m.end() :][:48]) for i, t in enumerate(texts) for n, m in enumerate(re.finditer(patterns.BUNDLED["Email"], t or ""))]
+    got = [tuple(r) for r in catalogue.QUERIES["evidence_windows_all"](spark, str(tmp_path)).drop("seq").collect()]
+    assert sorted(got) == sorted(want) and len(want) == 5
+
+
 def test_reports_and_events(spark):
     one = files.bytes_input(spark, "x", b"https://example.org/fixture\n")
     f = scan.findings(one)

@@ -279,6 +279,13 @@ def evidence_windows(spark, d):
     return first.select("input_id", "value", F.col("evidence.before").alias("before"), F.col("evidence.after").alias("after"))
 
 
+@query("evidence_windows_all")
+def evidence_windows_all(spark, d):
+    """The evidence of every match, with its place n in the run; evidence_windows has the first match of each run, as its SQL."""
+    obs = scan.observations(found(spark, d, Config(no_decode=True), ("Email",)))
+    return obs.select("input_id", "seq", "n", "value", F.col("evidence.before").alias("before"), F.col("evidence.after").alias("after"))
+
+
 _HIT_SQL = f"SELECT doc_id, pos, value, regexp_matches(value, {lit_sql(EMAIL)}) AS email, len(regexp_extract_all(value, {lit_sql(CARD)})) > 0 AS card FROM runs WHERE length(value) >= 4"
 
 
