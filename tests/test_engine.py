@@ -238,6 +238,25 @@ def test_evidence_of_every_match(spark, tmp_path):
     assert sorted(got) == sorted(want) and len(want) == 5
 
 
+def test_batch_index_of_all_rules(spark, tmp_path):
+    from collections import defaultdict
+
+    deep = base64.b64encode(b"see https://deep.example.com/inner for more").decode()
+    texts = ["card=4111 1111 1111 1111 to a@b.example.com", "api_key=0123456789abcdef0123456789abcdef", f"again 4111 1111 1111 1111 {deep}"]
+    rows = {"documents": ("doc_id long, text string", [(0, texts[0]), (1, None)]), "pages": ("page_id long, html string", [(0, texts[1])]), "conversations": ("conv_id long, turn long, text string", [(0, 1, texts[2])])}
+    for name, (shape, data) in rows.items():
+        spark.createDataFrame(data, shape).write.parquet(str(tmp_path / f"{name}.parquet"))
+    want = defaultdict(list)
+    for i, t in enumerate(texts):
+        for f in kernel.findings(t.encode(), RULES, kernel.Config().validated()):
+            for d in [*f["match_details"], *(d for layer in f["decoded_layers"] for d in layer["match_details"])]:
+                want[d["pattern"], d["text"], d["validation"]["status"]].append(i)
+    got = {tuple(r[k] for k in indicators.KEY): (r["observed_occurrences"], r["distinct_file_entries"]) for r in catalogue.QUERIES["batch_index_rules"](spark, str(tmp_path)).collect()}
+    assert got == {k: (len(v), len(set(v))) for k, v in want.items()}
+    assert {"credit_card", "api_key", "Email", "URL"} <= {k[0] for k in got}
+    assert catalogue.QUERIES["ranking_rules"](spark, str(tmp_path)).orderBy("rank").first()["value"] == "4111 1111 1111 1111"
+
+
 def test_reports_and_events(spark):
     one = files.bytes_input(spark, "x", b"https://example.org/fixture\n")
     f = scan.findings(one)

@@ -397,6 +397,22 @@ def ranking_sources(spark, d):
     return indicators.first_places(obs, 8, ["entry"]).select("category", "value", "entry")
 
 
+def rule_observations(spark, d) -> DataFrame:
+    """Observations of all rules over all entries, decoded layers included."""
+    return scan.observations(scan.findings(scan.inputs_of(everything(spark, d), "entry", "text")))
+
+
+@query("batch_index_rules")
+def batch_index_rules(spark, d):
+    """batch_index over all rules: every key."""
+    return indicators.counted(rule_observations(spark, d))
+
+
+@query("ranking_rules")
+def ranking_rules(spark, d):
+    return indicators.ranking(indicators.counted(rule_observations(spark, d)))
+
+
 @query("indicator_index", f"WITH {_RUN_SQL}, m AS (SELECT doc_id, unnest(regexp_extract_all(value, {lit_sql(EMAIL)})) AS value FROM runs WHERE length(value) >= 4) SELECT doc_id AS input_id, 'Email' AS category, value, 'candidate' AS validation_status, count(*) AS observed_occurrences FROM m GROUP BY doc_id, value")
 def indicator_index(spark, d):
     index = indicators.single_index(scan.observations(found(spark, d, Config(no_decode=True), ("Email",))))
