@@ -1,26 +1,29 @@
 """LM scoring: a causal self-attention model over subword ids, trained in numpy.
 
 Words (ASCII lower-cased, split at ASCII white space) become the subword ids of a public byte-level
-BPE, one ``end`` closes a text. The model predicts the class of the next id (``CLASSES`` bins of
-equal frequency mass) by one attention layer over a window, and the id within its class by its
-counts in the corpus: after the id before it in the word, smoothed with its share of the class (a
-word's first id has only that share). The ``PAIRS`` most frequent pairs of ids enter; after an id
-whose pairs are left out the share alone counts, so each class still sums to 1. What lies within
-classes depends on the word alone and is kept by word (``insides``). Counts of words and ids come
-from all training documents. The attention weights begin from a fit by Adam on a few windows of ``SAMPLE`` documents (those with
-the smallest hashed ids) and are then fitted on every window of every training document, each target once and in the context in
-which it would be scored: texts are dealt by hash, in pieces, over ``ROUNDS`` rounds and in each over shards of about ``SHARD`` ids;
-each shard goes on from the weights of the round by itself and the results are averaged by targets. Shards are sorted, so the fit
-does not depend on partitioning but for the order of float sums.
+BPE, one ``end`` closes a text. One attention layer over a window predicts the class of the next id
+in two steps, a group and a class in it (``GROUPS`` x ``SIZE`` bins of equal frequency mass); the id
+within its class is predicted by its counts in the corpus: after the id before it in the word,
+smoothed with its share of the class (a word's first id has only that share). What lies within
+classes depends on the word alone and is kept by word (``insides``). A word's probability is the mean
+(weight ``UNIGRAM``) of what the ids say and of the word's share of all training tokens.
+
+Nothing is learnt from a sample. Counts of words, ids and pairs of ids come from all training
+documents. The weights are fitted on every window of every training document, each target once and
+in the context in which it would be scored: texts are dealt by hash, in pieces, over ``ROUNDS`` and
+in each over shards of about ``SHARD`` ids; each shard goes on from the weights of the round by
+itself and the results are averaged by targets. Shards are sorted, so the fit does not depend on
+partitioning but for the order of float sums.
 Windows of ``WINDOW`` ids overlap by ``OVERLAP``; each token is scored once, in the first window
 that holds it, with batched masked attention.
 
-The base score needs the count of every word. Frequent words (at most ``HEAD`` of them, a checked
-bound) are broadcast; the others are summed by an exact join on the word, so no word is cut.
+Frequent words and pairs (at most ``HEAD`` and ``PAIRS`` of them, exact bounds) are broadcast; what
+is left of either is added by an exact join on the word or the pair, so no count is cut.
 
 Defined cases: null text is the empty text (just ``end``); a null id is not held out and not
 learnt from; with nothing to learn from all words are unknown and ids are uniform; repeated rows
-are scored one by one; whole texts of any length are used.
+are scored one by one; whole texts of any length are used; columns that bear a new column's name
+are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,15 +42,19 @@ from pyspark.sql import functions as F
 
 from .common import crc_of_id, prepare, read, save, scratch
 
-WINDOW, OVERLAP, WIDTH, CLASSES = 16, 4, 16, 160
+WINDOW, OVERLAP, WIDTH = 16, 4, 16
+GROUPS, SIZE = 16, 16
+CLASSES = GROUPS * SIZE
 #: Mass of an id in the making of classes is its count to this power.
 POWER = 0.85
-#: Most words in the broadcast table, and documents that the attention weights are fitted on.
-HEAD, SAMPLE, WINDOWS_A_DOC, EPOCHS = 400_000, 2000, 8, 4
-#: Rounds of the fit on all windows with their rates, ids in a shard, targets in a piece of a text and windows in a step.
-ROUNDS, SHARD, PIECE, BATCH = (0.006, 0.004, 0.002, 0.001), 1 << 21, 64 * (WINDOW - OVERLAP), 256
-#: Most pairs of ids in the broadcast table; pseudo-counts that the share of a class weighs against them.
-PAIRS, PSEUDO = 2_000_000, 5.0
+#: Most words and pairs of ids in the broadcast tables; the rest is joined.
+HEAD, PAIRS = 400_000, 2_000_000
+#: Rounds of the fit with their rates, ids in a shard, targets in a piece of a text and windows in a step.
+ROUNDS, SHARD, PIECE, BATCH = (0.01, 0.008, 0.006, 0.004, 0.002, 0.001), 1 << 19, 64 * (WINDOW - OVERLAP), 512
+#: Weight of a word's share of all tokens in its probability.
+UNIGRAM = 0.5
+#: Pseudo-counts that the share of a class weighs against pairs of ids.
+PSEUDO = 5.0
 IDS, END_ID = 50257, 50256
 END = b"\n"  # no word holds white space
 OTHER_WHITE = re.compile(r"[^\S ]")
@@ -108,9 +115,32 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()  # bytes: ASCII case and white space only
 
 
+def by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The group of each class, where each group's part begins in order of groups, and that order."""
+    group = target // SIZE
+    order = np.argsort(group.astype(np.uint8), kind="stable")  # a radix sort
+    return group, np.append(0, np.cumsum(np.bincount(group, minlength=GROUPS))).tolist(), order
+
+
+def log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log softmax of z (overwritten) at one column of each row."""
+    z -= z.max(1, keepdims=True)
+    hit = z[np.arange(len(z)), at]
+    return hit - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
+
+
+def _loss(z: np.ndarray, at: np.ndarray, weight: np.ndarray) -> None:
+    """Turns logits into the gradient of the weighted log loss by them."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z *= (weight / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
+    z[np.arange(len(z)), at] -= weight
+
+
 class Model:
-    """X = E[id] + P[place]; H = softmax(causal(X Wq (X Wk)' / sqrt d)) X Wv; class logits = X Wx + H Wh + b,
-    where b is the log share of each class after the last id, counted in the corpus (``follow``)."""
+    """X = E[id] + P[place]; H = softmax(causal(X M X')) X, where M stands for the product of query and key projections; the
+    value projection is part of what follows. With S = (X, H) the logits of groups are S G + b and of the classes in group k
+    S Y[k] + c[k], each plus the log share after the last id, counted in the corpus (``follow``)."""
 
     def __init__(self, counts: np.ndarray, first: np.ndarray | None = None, seed: int = 3):
         rng = np.random.default_rng(seed)
@@ -127,10 +157,11 @@ class Model:
         self.inside = np.log((counts + 0.5) / total[self.of])
         self.prior = np.log(np.maximum(total, 1e-9) / total.sum())
         d = WIDTH
-        small = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s).astype(np.float32)
-        self.w = {"C": small(CLASSES, d) * 4, "I": np.zeros((IDS, d), np.float32), "P": small(WINDOW, d) * 0.3, "q": small(d, d), "k": small(d, d), "v": small(d, d), "x": small(d, CLASSES) * 0.3, "h": small(d, CLASSES) * 0.3, "b": np.zeros(CLASSES, np.float32)}
+        small = lambda *s: rng.normal(0, 1 / np.sqrt(s[-2]), s).astype(np.float32)
+        self.w = {"E": (small(CLASSES, d) * 4)[self.of], "P": small(WINDOW, d) * 0.3, "m": small(d, d) * d**-0.5, "g": small(2 * d, GROUPS) * 0.3, "b": np.zeros(GROUPS, np.float32), "y": small(GROUPS, 2 * d, SIZE) * 0.3, "c": np.zeros((GROUPS, SIZE), np.float32)}
+        self.w["m"] = self.w["m"].astype(np.float32)
         self.follow(np.zeros((0, 3), np.int64), np.zeros(CLASSES))
-        self.within(np.zeros((0, 3), np.int64))
+        self.within(np.zeros((0, 3), np.int64), np.zeros((0, 3), np.int64))
         self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
     def follow(self, pairs: np.ndarray, starts: np.ndarray, strength: float = 20.0) -> None:
@@ -139,23 +170,31 @@ class Model:
         table, ends, last = np.zeros((IDS, CLASSES), np.float32), np.zeros((IDS, 1), np.float32), c < 0
         table[i[~last], c[~last]] = n[~last]
         ends[i[last], 0] = n[last]
-        table += ends * (starts / max(1.0, starts.sum())).astype(np.float32)
-        table += (strength * np.exp(self.prior)).astype(np.float32)
-        table /= table.sum(1, keepdims=True)
-        self.after = np.log(table, out=table)
-
-    def within(self, pairs: np.ndarray) -> None:
-        """pairs: rows (id, id after it in a word, count), from which ids are predicted within their classes."""
+        share = (starts / max(1.0, starts.sum())).astype(np.float32)
+        prior = (strength * np.exp(self.prior)).astype(np.float32)
+        for at in range(0, IDS, 4096):
+            table[at : at + 4096] += ends[at : at + 4096] * share + prior
+        groups = table.reshape(IDS, GROUPS, SIZE).sum(2)
+        self.after_group = np.log(groups / groups.sum(1, keepdims=True))
+        for at in range(0, IDS, 4096):
+            table[at : at + 4096] /= np.repeat(groups[at : at + 4096], SIZE, 1)
+        self.after = np.log(table, out=table).astype(np.float16).reshape(IDS, GROUPS, SIZE)
+
+    def within(self, pairs: np.ndarray, totals: np.ndarray, rest: bool = False) -> None:
+        """pairs: rows (id, id after it in a word, count), from which ids are predicted within their classes; totals: rows
+        (id, class, count) of all pairs; rest: whether there are pairs that are not among ``pairs``."""
         i, j, n = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))].T
-        ic, place = np.unique((i << 16) + self.of[j], return_inverse=True)
-        total = np.log(np.bincount(place, n, len(ic)) + PSEUDO)
-        got = np.log(n + PSEUDO * np.exp(self.inside[j]))
-        # log probability of a listed pair, and of an unlisted one less the log share of its id; the last entry is for no hit
-        self.pair_code, self.pair = np.append((i << 16) + j, 1 << 40), np.append(got - total[place], 0.0).astype(np.float32)
-        self.class_code, self.rest = np.append(ic, 1 << 40), np.append(np.log(PSEUDO) - total, 0.0).astype(np.float32)
-
-    def insides(self, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """Natural log probability within their classes of the ids of each word; begin: where each word begins."""
+        code = (totals[:, 0] << 16) + totals[:, 1]
+        by = np.argsort(code, kind="stable")
+        total = np.log(totals[by, 2] + PSEUDO)
+        # the last entries are for no hit
+        self.class_code, self.rest = np.append(code[by], 1 << 40), np.append(np.log(PSEUDO) - total, 0.0).astype(np.float32)
+        got = np.log(n + PSEUDO * np.exp(self.inside[j])) - np.append(total, 0.0)[np.searchsorted(self.class_code, (i << 16) + self.of[j])]
+        self.pair_code, self.pair, self.more = np.append((i << 16) + j, 1 << 40), np.append(got, 0.0).astype(np.float32), rest
+
+    def insides(self, ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Natural log probability within their classes of the ids of each word (begin: where each word begins); then the
+        word and the code of each pair that is not in the table."""
         ids = ids.astype(np.int64)
         out, later = self.inside[ids], np.ones(len(ids), bool)
         later[begin] = False
@@ -163,76 +202,80 @@ class Model:
         i, j = ids[at - 1] << 16, ids[at]
         a, b = np.searchsorted(self.pair_code, i + j), np.searchsorted(self.class_code, i + self.of[j])
         left = np.where(self.class_code[b] == i + self.of[j], self.rest[b], 0.0)
-        out[at] = np.where(self.pair_code[a] == i + j, self.pair[a], left + out[at])
-        return np.add.reduceat(out, begin)
+        hit = self.pair_code[a] == i + j
+        out[at] = np.where(hit, self.pair[a], left + out[at])
+        return np.add.reduceat(out, begin), np.searchsorted(begin, at[~hit], "right") - 1, (i + j)[~hit]
 
-    def forward(self, ids: np.ndarray) -> tuple:
-        """States and class logits after each place."""
+    def forward(self, ids: np.ndarray) -> np.ndarray:
+        """Log probabilities of all classes after each place."""
         w = self.w
-        x = w["C"][self.of[ids]] + w["I"][ids] + w["P"]
-        flat = x.reshape(-1, WIDTH)
-        q, k, v = ((flat @ w[n]).reshape(x.shape) for n in "qkv")
-        s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(WIDTH**-0.5)
-        s += self.mask
-        np.exp(np.minimum(s, 60.0, out=s), out=s)
-        s /= s.sum(2, keepdims=True)
-        h = s @ v
-        logits = flat @ w["x"]
-        logits += h.reshape(-1, WIDTH) @ w["h"]
-        logits += w["b"]
-        logits += self.after[ids.ravel()]
-        return x, q, k, v, s, h, logits
+        x = w["E"][ids] + w["P"]
+        s = np.exp(np.minimum(x @ w["m"] @ x.transpose(0, 2, 1) + self.mask, 60.0))
+        state = np.concatenate([x, s @ x / s.sum(2, keepdims=True)], 2).reshape(-1, 2 * WIDTH).astype(np.float64)
+        norm = lambda z: z - z.max(-1, keepdims=True) - np.log(np.exp(z - z.max(-1, keepdims=True)).sum(-1, keepdims=True))
+        groups = norm(state @ w["g"] + w["b"] + self.after_group[ids.ravel()])
+        inner = norm(np.einsum("nd,gdk->ngk", state, w["y"]) + w["c"] + self.after[ids.ravel()])
+        return (groups[:, :, None] + inner).reshape(-1, CLASSES)
 
     def freeze(self) -> Model:
-        """Makes the tables that scoring reads in place of the weights: q k' = x (Wq Wk') x', h Wh = (s x) (Wv Wh),
-        and what the logits owe to an id or a place alone is added up beforehand."""
-        w = self.w
-        self.ready = w["C"][self.of] + w["I"]
-        self.meet = (w["q"] @ w["k"].T * WIDTH**-0.5).astype(np.float32)
-        self.out = w["v"] @ w["h"]
-        self.place = w["P"]
-        self.by_place = self.place[OVERLAP:] @ w["x"]
-        self.by_id = self.after
-        self.by_id += self.ready @ w["x"]
-        # attention takes a mean of states, so no logit is above this; a shift of all logits changes no probability
-        top = (self.by_id.max(0) + self.by_place.max(0) + (self.ready @ self.out).max(0) + (self.place @ self.out).max(0) + w["b"]).max()
-        self.by_id += w["b"] - max(0.0, float(top) - 60)
-        self.w = self.after = None
+        """Makes the tables that scoring reads in place of the weights: what the logits of groups owe to an id or a place
+        alone is added up beforehand."""
+        w, d = self.w, WIDTH
+        self.ready, self.meet, self.place, self.out = w["E"], w["m"], w["P"], w["g"][d:]
+        self.by_place = self.place[OVERLAP:] @ w["g"][:d] + w["b"]
+        self.by_id = self.after_group + self.ready @ w["g"][:d]
+        self.inner, self.shift = w["y"], w["c"]
+        self.w = self.after_group = None
         self.numbers: Numbers | None = None
         return self
 
-    def know(self, sub: Subwords, words: list[bytes], counts: np.ndarray) -> None:
-        """A worker's tables of the frequent words, by number: base logs, ids and log probability within classes."""
+    def know(self, sub: Subwords, words: list[bytes], counts: np.ndarray, n_ends: int, n_all: int) -> None:
+        """A worker's tables of the frequent words, by number: base logs, shares, ids and log probability within classes."""
         self.numbers = Numbers(zip(words, range(len(words))))
-        self.logs = np.log10(counts + 1.0)
-        self.ids, self.begin, self.inner = self.words(sub, words)
+        self.logs, self.share, self.end_share = np.log10(counts + 1.0), UNIGRAM / max(1, n_all) * counts, UNIGRAM / max(1, n_all) * n_ends
+        self.ids, self.begin, self.own, self.missed, self.missing = self.words(sub, words)
 
-    def words(self, sub: Subwords, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, where each word begins and the last ends, and the log probability of each word's ids within their classes."""
+    def words(self, sub: Subwords, words: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Ids, where each word begins and the last ends, then what ``insides`` says of the words."""
         ids, begin = sub.encode(words)
-        return ids, np.append(begin, len(ids)), self.insides(ids, begin) if words else np.zeros(0)
+        none = np.zeros(0, np.int64)
+        return ids, np.append(begin, len(ids)), *(self.insides(ids, begin) if words else (np.zeros(0), none, none))
 
     def block(self, sub: Subwords, texts: list[list[bytes]]) -> tuple:
-        """Known words, their summed base logs and the score for each of a block of texts; then text, word and times for
-        each other word of a text."""
+        """Known words, their summed base logs and the score for each of a block of texts; then the words to be looked up
+        (text, place, word, known share, what the ids say) and the pairs to be looked up (text, place, pair)."""
         others, n, head = self.numbers.anew(), len(texts), len(self.numbers)
         sizes = np.array(list(map(len, texts)))
         at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(texts)), np.int64, sizes.sum())
         names = list(others)
-        ids, begin, inner = self.words(sub, names)
+        ids, begin, inner, missed, missing = self.words(sub, names)
         ids, begin = np.append(self.ids, ids), np.append(self.begin, begin[1:] + len(self.ids))
         whose, known = np.repeat(np.arange(n), sizes), at < head
         found = np.bincount(whose[known], minlength=n)
         base = np.bincount(whose[known], self.logs[at[known]], n)
-        within = np.bincount(whose, np.append(self.inner, inner)[at], n) + self.inside[END_ID]
-        code, times = np.unique((whose[~known] << 32) + at[~known] - head, return_counts=True)
-        long = begin[at + 1] - begin[at]
-        ends = np.cumsum(long)
-        flat = ids[np.repeat(begin[at] - ends + long, long) + np.arange(long.sum())].astype(np.int64)
-        cuts = np.append(0, ends)[np.cumsum(sizes)[:-1]]
-        seqs = [np.append(x, END_ID) for x in np.split(flat, cuts)]
-        return found, base, self.score(seqs) + within / np.log(10), code >> 32, [names[i] for i in (code & 0xFFFFFFFF).tolist()], times
+        long = np.take(begin, at + 1) - np.take(begin, at)
+        ends = np.append(0, np.cumsum(long))
+        flat = np.take(ids, np.repeat(np.take(begin, at) - ends[:-1], long) + np.arange(ends[-1])).astype(np.int64)
+        edge = ends[np.append(0, np.cumsum(sizes))]
+        logs = self.score([np.append(flat[a:b], END_ID) for a, b in zip(edge, edge[1:])])
+        sums = np.append(0, np.cumsum(logs))
+        say = np.take(sums, ends[1:] + whose) - np.take(sums, ends[:-1] + whose) + np.append(self.own, inner)[at]
+        share = np.zeros(len(at))
+        share[known] = self.share[at[known]]
+        mean = lambda share, say: np.log10(share + (1 - UNIGRAM) * np.exp(say))
+        total = np.bincount(whose, mean(share, say), n) + mean(self.end_share, logs[edge[1:] + np.arange(n)] + self.inside[END_ID])
+        place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        later, pairs = ~known, (np.zeros(0, np.int64),) * 3
+        if self.more:
+            missed, missing = np.append(self.missed, missed + head), np.append(self.missing, missing)  # in order of words
+            first = np.searchsorted(missed, np.arange(head + len(names) + 1))
+            many = np.diff(first)[at]
+            pick = np.repeat(first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            pairs = (np.repeat(whose, many), np.repeat(place, many), missing[pick])
+            later = later | (many > 0)
+        back = list(self.numbers) if self.more else []
+        words = [names[i - head] if i >= head else back[i] for i in at[later].tolist()]
+        return found, base, total, whose[later], place[later], words, share[later], say[later] / np.log(10), *pairs
 
     def windows(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Inputs, then targets and whether to score them for the places from OVERLAP on, and the document of each window."""
@@ -249,36 +292,38 @@ class Model:
         ok = (turn * step)[:, None] + np.arange(step) < lengths[whose][:, None]
         return flat[at], flat[at[:, OVERLAP:] + 1], ok, whose
 
-    def score(self, docs: list[np.ndarray], block: int = 32) -> np.ndarray:
-        """log10 probability of the classes of each id sequence (each ends with END)."""
-        ins, outs, ok, whose = self.windows(docs)
-        step = WINDOW - OVERLAP
-        ones, all_classes, mask = np.ones(WINDOW, np.float32), np.ones(CLASSES, np.float32), self.mask[OVERLAP:]
-        logits, added = (np.empty((block * step, CLASSES), np.float32) for _ in "ab")  # the same memory for each block
-        own = np.arange(block * step) * CLASSES
+    def score(self, docs: list[np.ndarray], block: int = 128) -> np.ndarray:
+        """Natural log probability of the class of every id of the sequences (each ends with END), in a row."""
+        ins, outs, ok, _ = self.windows(docs)
+        step, d = WINDOW - OVERLAP, WIDTH
+        ones, mask = np.ones(WINDOW, np.float32), self.mask[OVERLAP:]
         got = np.empty((len(ins), step), np.float32)
         for i in range(0, len(ins), block):
             ids = ins[i : i + block]
-            n = len(ids)
-            x = self.ready[ids]
+            x = np.take(self.ready, ids, 0)
             x += self.place
-            s = (x[:, OVERLAP:].reshape(-1, WIDTH) @ self.meet).reshape(n, step, WIDTH) @ x.transpose(0, 2, 1)
+            late = x[:, OVERLAP:].reshape(-1, d)
+            s = (late @ self.meet).reshape(len(ids), step, d) @ x.transpose(0, 2, 1)
             s += mask
             np.exp(np.minimum(s, 60.0, out=s), out=s)
             h = s @ x
             h /= (s @ ones)[:, :, None]
-            u, a = logits[: n * step], added[: n * step]
-            np.matmul(h.reshape(-1, WIDTH), self.out, out=u)
-            placed = u.reshape(n, step, CLASSES)
-            placed += self.by_place
-            np.take(self.by_id, ids[:, OVERLAP:].ravel(), 0, out=a, mode="clip")
-            u += a
-            hit = u.ravel()[own[: n * step] + self.of[outs[i : i + block]].ravel()]
-            np.exp(u, out=u)
-            got[i : i + n] = (hit - np.log(u @ all_classes)).reshape(n, step)
-        return np.bincount(whose, np.where(ok, got, 0.0).sum(1), len(docs)) / np.log(10)
-
-    def fit(self, ins: np.ndarray, outs: np.ndarray, ok: np.ndarray | None = None, epochs: int = EPOCHS, rate: float = 0.01, batch: int = 128) -> None:
+            h = h.reshape(-1, d)
+            last, target = ids[:, OVERLAP:].ravel(), np.take(self.of, outs[i : i + block].ravel())
+            u = h @ self.out
+            u.reshape(-1, step, GROUPS)[:] += self.by_place
+            u += np.take(self.by_id, last, 0)
+            group, edge, order = by_group(target)
+            state = np.concatenate([np.take(late, order, 0), np.take(h, order, 0)], 1)
+            z = np.take(self.after.reshape(-1, SIZE), np.take(last * GROUPS + group, order), 0).astype(np.float32)
+            for k in range(GROUPS):
+                z[edge[k] : edge[k + 1]] += state[edge[k] : edge[k + 1]] @ self.inner[k] + self.shift[k]
+            hit = log_share(u, group)
+            hit[order] += log_share(z, np.take(target, order) % SIZE)
+            got[i : i + block] = hit.reshape(-1, step)
+        return got[ok].astype(np.float64)
+
+    def fit(self, ins: np.ndarray, outs: np.ndarray, ok: np.ndarray | None = None, epochs: int = 1, rate: float = 0.01, batch: int = BATCH) -> None:
         """Adam on the class log loss. ins, outs: windows of ids; ok: which of outs count. Of ids, only those in a step are moved by it."""
         rng = np.random.default_rng(11)
         m = {n: np.zeros_like(a) for n, a in self.w.items()}
@@ -292,48 +337,62 @@ class Model:
                 moved = self.gradients(ins[pick], outs[pick], None if ok is None else ok[pick])
                 rows = moved.pop("rows")
                 for n, g in moved.items():
-                    at = rows if n == "I" else ...
+                    at = rows if n == "E" else ...
                     m[n][at] += 0.1 * (g - m[n][at])
                     v[n][at] += 0.01 * (g * g - v[n][at])
                     self.w[n][at] -= rate * (m[n][at] / (1 - 0.9**t)) / (np.sqrt(v[n][at] / (1 - 0.99**t)) + 1e-8)
 
     def gradients(self, ids: np.ndarray, targets: np.ndarray, ok: np.ndarray | None = None) -> dict[str, np.ndarray]:
-        """Of the mean loss of the targets (those that are ok) of the last places of each window; "I" only for the ids in ``rows``."""
+        """Of the mean loss of the targets (those that are ok) of the last places of each window; "E" only for the ids in ``rows``."""
         w, d, step = self.w, WIDTH, targets.shape[1]
         wide, late = (len(ids), WINDOW, d), (len(ids), step, d)
-        x = w["C"][self.of[ids]] + w["I"][ids] + w["P"]
-        flat, last = x.reshape(-1, d), x[:, WINDOW - step :].reshape(-1, d)
-        q, k, v = (last @ w["q"]).reshape(late), (flat @ w["k"]).reshape(wide), (flat @ w["v"]).reshape(wide)
-        s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(WIDTH**-0.5)
+        x = np.take(w["E"], ids, 0)
+        x += w["P"]
+        last = x[:, WINDOW - step :].reshape(-1, d)
+        q = (last @ w["m"]).reshape(late)
+        s = q @ x.transpose(0, 2, 1)
         s += self.mask[WINDOW - step :]
         np.exp(np.minimum(s, 60.0, out=s), out=s)
-        s /= s.sum(2, keepdims=True)
-        state, out = np.concatenate([last, (s @ v).reshape(-1, d)], 1), np.concatenate([w["x"], w["h"]])
-        p = state @ out
-        p += w["b"]
-        p += self.after[ids[:, WINDOW - step :].ravel()]
-        p -= p.max(1, keepdims=True)
-        np.exp(p, out=p)
-        weight = np.ones(len(p), p.dtype) if ok is None else ok.ravel().astype(p.dtype)
+        s /= (s @ np.ones(WINDOW, s.dtype))[:, :, None]
+        state = np.concatenate([last, (s @ x).reshape(-1, d)], 1)
+        before, target = ids[:, WINDOW - step :].ravel(), np.take(self.of, targets.ravel())
+        group, edge, order = by_group(target)
+        weight = np.ones(len(target), state.dtype) if ok is None else ok.ravel().astype(state.dtype)
         weight /= max(1.0, weight.sum())
-        p *= (weight / p.sum(1))[:, None]
-        p[np.arange(len(p)), self.of[targets].ravel()] -= weight
-        both, back = state.T @ p, p @ out.T
-        g = {"x": both[:d], "h": both[d:], "b": p.sum(0)}
+        p = state @ w["g"]
+        p += w["b"]
+        p += np.take(self.after_group, before, 0)
+        _loss(p, group, weight)
+        back = p @ w["g"].T
+        g = {"g": state.T @ p, "b": p.sum(0), "y": np.zeros_like(w["y"]), "c": np.zeros_like(w["c"])}
+        sorted_ = np.take(state, order, 0)
+        z = np.take(self.after.reshape(-1, SIZE), np.take(before * GROUPS + group, order), 0).astype(state.dtype)
+        parts = [(n, slice(edge[n], edge[n + 1])) for n in range(GROUPS) if edge[n + 1] > edge[n]]
+        for n, part in parts:
+            z[part] += sorted_[part] @ w["y"][n] + w["c"][n]
+        _loss(z, np.take(target, order) % SIZE, np.take(weight, order))
+        turned, inner = np.ascontiguousarray(w["y"].transpose(0, 2, 1)), np.empty_like(sorted_)
+        for n, part in parts:
+            g["y"][n], g["c"][n] = sorted_[part].T @ z[part], z[part].sum(0)
+            np.matmul(z[part], turned[n], out=inner[part])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        back += np.take(inner, place, 0)
         dh = back[:, d:].reshape(late)
-        dv = (s.transpose(0, 2, 1) @ dh).reshape(-1, d)
-        ds = dh @ v.transpose(0, 2, 1)
-        ds = s * (ds - (ds * s).sum(2, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq, dk = (ds @ k).reshape(-1, d), (ds.transpose(0, 2, 1) @ q).reshape(-1, d)
-        g |= {"q": last.T @ dq, "k": flat.T @ dk, "v": flat.T @ dv}
-        dx = (dk @ w["k"].T + dv @ w["v"].T).reshape(wide)
-        dx[:, WINDOW - step :] += (back[:, :d] + dq @ w["q"].T).reshape(late)
+        ds = dh @ x.transpose(0, 2, 1)
+        ds -= np.einsum("bsw,bsw->bs", ds, s)[:, :, None]
+        ds *= s
+        dx = s.transpose(0, 2, 1) @ dh
+        dx += ds.transpose(0, 2, 1) @ q
+        dq = (ds @ x).reshape(-1, d)
+        g["m"] = last.T @ dq
+        dx[:, WINDOW - step :] += (back[:, :d] + dq @ w["m"].T).reshape(late)
         g["P"] = dx.sum(0)
-        g["rows"], at = np.unique(ids, return_inverse=True)
-        cells = lambda i, a, n: np.bincount((i.reshape(-1, 1) * d + np.arange(d)).ravel(), a.ravel(), n * d).reshape(n, d).astype(a.dtype)
-        g["I"] = cells(at, dx, len(g["rows"]))
-        g["C"] = cells(self.of[g["rows"]], g["I"], CLASSES)
+        key = ids.ravel().astype(np.uint16)
+        by = np.argsort(key, kind="stable")  # a radix sort
+        key = np.take(key, by)
+        edge = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
+        g["rows"], g["E"] = key[edge].astype(np.int64), np.add.reduceat(np.take(dx.reshape(-1, d), by, 0), edge)
         return g
 
     def flat(self) -> np.ndarray:
@@ -345,15 +404,24 @@ class Model:
             self.w[n], at = flat[at : at + a.size].reshape(a.shape).astype(np.float32), at + a.size
 
 
-def _least(counts: DataFrame, most: int) -> int:
-    """The least count (column n) that no more than ``most`` rows have or exceed."""
-    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n"))
-    have = 0
-    for r in sizes.limit(200_000).toLocalIterator():
-        have += r["k"]
-        if have > most:
-            return r["n"] + 1
-    return 1
+def _least(counts: DataFrame, most: int, cells: int = 4096) -> int:
+    """The least t such that no more than ``most`` rows have a count (column n) of t or more; exact, by histograms of
+    at most ``cells`` rows that narrow down to one count."""
+    total, top = counts.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if total <= most:
+        return 1
+    low, high, above = 1, top + 1, 0  # t lies in (low, high], rows from high on are ``above``
+    while high - low > 1:
+        width = -(-(high - low) // cells)
+        part = counts.where((F.col("n") >= low) & (F.col("n") < high)).groupBy(F.floor((F.col("n") - low) / width).cast("long").alias("c")).agg(F.count(F.lit(1)).alias("k"))
+        for c, k in sorted(map(tuple, part.collect()), reverse=True):
+            if above + k > most:
+                low, high = low + c * width, min(high, low + (c + 1) * width)
+                break
+            above += k
+        else:
+            return low
+    return high
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,30 +466,29 @@ def _count_pairs(path: str):
     return run
 
 
-def _windows(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sub = subwords(path)
-        for batch in batches:
-            rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.concatenate([[END_ID], sub.encode(words_of(text))[0].astype(np.int64), np.full(WINDOW + 1, END_ID)])
-                last = len(ids) - WINDOW - 1
-                starts = {0} | set(np.random.default_rng(abs(key)).integers(0, max(1, last), WINDOWS_A_DOC - 1).tolist())
-                rows += [ids[s : s + WINDOW + 1].astype("<u2").tobytes() for s in sorted(starts)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["w"])
-
-    return run
+def sequences(sub: Subwords, texts: list[list[bytes]]) -> list[np.ndarray]:
+    """The ids of each text, closed by END_ID; each distinct word is encoded once."""
+    numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
+    sizes = np.array(list(map(len, texts)), np.int64)
+    at = np.fromiter(map(numbers.__getitem__, chain.from_iterable(texts)), np.int64, sizes.sum())
+    ids, begin = sub.encode(list(numbers))
+    begin = np.append(begin, len(ids)) if numbers else np.zeros(1, np.int64)
+    long = begin[at + 1] - begin[at]
+    ends = np.append(0, np.cumsum(long))
+    flat = np.take(ids, np.repeat(begin[at] - ends[:-1], long) + np.arange(ends[-1]))
+    edge = ends[np.append(0, np.cumsum(sizes))]
+    return [np.append(flat[a:b], np.uint16(END_ID)) for a, b in zip(edge, edge[1:])]
 
 
 def _pieces(path: str):
     """Pieces of texts: the ids of up to PIECE targets, after the OVERLAP + 1 ids before them, with their number in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sub = subwords(path)
+        sub, before = subwords(path), np.full(OVERLAP + 1, END_ID, "<u2")
         for batch in batches:
             rows, sizes, keys, turns = [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.concatenate([np.full(OVERLAP + 1, END_ID, "<u2"), sub.encode(words_of(text))[0].astype("<u2"), np.array([END_ID], "<u2")])
+            for key, ids in zip(batch.column(0).to_pylist(), sequences(sub, [words_of(t) for t in batch.column(1).to_pylist()])):
+                ids = np.append(before, ids).astype("<u2")
                 for i in range(0, len(ids) - OVERLAP - 1, PIECE):
                     rows.append(ids[i : i + OVERLAP + 1 + PIECE].tobytes())
                     sizes.append(len(rows[-1]) // 2 - OVERLAP - 1)
@@ -486,7 +553,10 @@ def columns(table: DataFrame, names: str) -> np.ndarray:
     return np.stack([got.column(c).to_numpy() for c in names], 1, dtype=np.int64)
 
 
-def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, sample: int = SAMPLE, head: int = HEAD) -> DataFrame:
+NEW = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, head: int = HEAD, most_pairs: int = PAIRS) -> DataFrame:
     """A row for each of docs: its other columns and n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     prepare(spark)
@@ -506,33 +576,28 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
         counts[r["j"]] = r["n"]
     model = Model(counts, subwords(path).starts)
     # pairs of ids become pairs of an id and a class; both tables are bounded by the vocabulary of the tokenizer
-    classes = spark.createDataFrame([(-2, -1), *enumerate(model.of.tolist())], "j long, c long")
+    classes = spark.createDataFrame([(-2, -1, 0.0), *zip(range(IDS), model.of.tolist(), np.exp(model.inside).tolist())], "j long, c long, share double")
     found = columns(pairs.join(F.broadcast(classes), "j").groupBy("i", "c").agg(F.sum("n").alias("n")), "icn")
     starts = np.zeros(CLASSES)
     begin = found[found[:, 0] < 0]
     starts[begin[:, 1]] = begin[:, 2]
-    model.follow(found[found[:, 0] >= 0], starts)
-    del found
+    found = found[found[:, 0] >= 0]
+    model.follow(found, starts)
     inner = pairs.where("i >= 0 and j >= 0")
-    model.within(columns(inner.where(F.col("n") >= _least(inner, PAIRS)), "ijn"))
-    key = F.xxhash64(F.lit("lm-sample"), F.col(id_col))
-    edge = train.select(key.alias("k")).orderBy("k").limit(sample).agg(F.max("k")).first()[0]
-    if edge is not None:
-        picked = train.where(key <= edge).select(key.alias("k"), F.col(text_col)).limit(2 * sample)
-        got = sorted(bytes(r["w"]) for r in picked.mapInArrow(_windows(path), "w binary").collect())
-        ids = np.frombuffer(b"".join(got), "<u2").astype(np.int64).reshape(-1, WINDOW + 1)
-        model.fit(ids[:, :-1], ids[:, 1:])
-        fit_all(train.select(id_col, text_col), model, path, folder)
+    from_n = _least(inner, most_pairs)
+    model.within(columns(inner.where(F.col("n") >= from_n), "ijn"), found[found[:, 1] >= 0], from_n > 1)
+    del found
+    fit_all(train.select(id_col, text_col), model, path, folder)
     shared = spark.sparkContext.broadcast((frequent, model.freeze()))
     end_log = float(np.log10(n_ends + 1))
-    others = [f for f in docs.schema if f.name != text_col]
+    others = [f for f in docs.schema if f.name != text_col and f.name.lower() not in NEW]
     names = [f.name for f in others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, lm = shared.value
         sub, part, row = subwords(path), TaskContext.get().partitionId(), 0
         if lm.numbers is None:
-            lm.know(sub, table.column("word").to_pylist(), table.column("n").to_numpy())
+            lm.know(sub, table.column("word").to_pylist(), table.column("n").to_numpy(), n_ends, n_all)
         for batch in batches:
             tokens, texts, held, done = [], [], 0, []
             first = (part << 36) + row
@@ -546,45 +611,64 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
             if texts:
                 done.append((len(tokens) - len(texts), *lm.block(sub, texts)))
             row += len(tokens)
-            uid = np.arange(first, first + len(tokens)).tolist()
-            known, sums, scores = (list(chain.from_iterable(b[k].tolist() for b in done)) for k in (1, 2, 3))
-            known, sums = [k + (n_ends > 0) for k in known], [x + (end_log if n_ends else 0.0) for x in sums]
-            tail_row = list(chain.from_iterable((first + b[0] + b[4]).tolist() for b in done))
-            tail_word = list(chain.from_iterable(b[5] for b in done))
-            tail_n = list(chain.from_iterable(b[6].tolist() for b in done))
-            n, m = len(uid), len(tail_row)
-            mine = [pa.concat_arrays([batch.column(x), pa.nulls(m, batch.column(x).type)]) for x in names]
+            uid = np.arange(first, first + len(tokens))
+            known, sums, scores = (np.concatenate([b[k] for b in done] or [np.zeros(0)]) for k in (1, 2, 3))
+            known, sums = known.astype(np.int64) + (n_ends > 0), sums + (end_log if n_ends else 0.0)
+            flat = lambda k: np.concatenate([b[k] for b in done] or [np.zeros(0)])
+            rows_of = lambda k: np.concatenate([first + b[0] + b[k] for b in done] or [np.zeros(0)])
+            words = [w for b in done for w in b[6]]
+            n, m, k = len(uid), len(words), sum(len(b[9]) for b in done)
+            mine = [pa.concat_arrays([batch.column(x), pa.nulls(m + k, batch.column(x).type)]) for x in names]
+            three = lambda t, a, b, c: pa.concat_arrays([pa.nulls(z, t) if x is None else pa.array(x, t) for x, z in ((a, n), (b, m), (c, k))])
+            whole = lambda *parts: [x.astype(np.int64) for x in parts]
             yield pa.RecordBatch.from_arrays(
                 [
                     *mine,
-                    pa.array(uid + tail_row, pa.int64()),
-                    pa.array(tokens + tail_n, pa.int64()),
-                    pa.concat_arrays([pa.array(known, pa.int64()), pa.nulls(m, pa.int64())]),
-                    pa.concat_arrays([pa.array(sums, pa.float64()), pa.nulls(m, pa.float64())]),
-                    pa.concat_arrays([pa.array(scores, pa.float64()), pa.nulls(m, pa.float64())]),
-                    pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(tail_word, pa.binary())]),
+                    three(pa.int64(), *whole(uid, rows_of(4), rows_of(9))),
+                    three(pa.int64(), *whole(np.array(tokens), flat(5), flat(10))),
+                    three(pa.int64(), known, None, None),
+                    three(pa.float64(), sums, flat(7), None),
+                    three(pa.float64(), scores, flat(8), None),
+                    three(pa.binary(), None, words, None),
+                    three(pa.int64(), None, None, *whole(flat(11))),
                 ],
-                names=[*names, "__row", "n_tokens", "n_known", "__sum", "score", "__word"],
+                names=[*names, *ROW],
             )
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in others], T.StructField("__row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("__sum", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("__word", T.BinaryType())])
+    kinds = [T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.BinaryType(), T.LongType()]
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in others], *[T.StructField(n, t) for n, t in zip(ROW, kinds)]])
     rows = save(docs.mapInArrow(run, schema), f"{folder}/rows")
-    rare = rows.where(F.col("__word").isNotNull()).select("__row", F.col("__word").alias("word"), F.col("n_tokens").alias("m")).join(rest, "word")
-    rare = rare.groupBy("__row").agg(F.sum("m").alias("__m"), F.sum(F.col("m") * F.log10(F.col("n") + 1)).alias("__more"))
-    out = rows.where(F.col("__word").isNull()).join(rare, "__row", "left")
+    # words that were not shared, and words with a pair that was not: what their counts add to the score
+    occ = rows.where(F.col("__lm_word").isNotNull()).select("__lm_row", F.col("__lm_n").alias("place"), F.col("__lm_word").alias("word"), F.col("__lm_sum").alias("share"), F.col("__lm_score").alias("say"))
+    rare = occ.join(rest, "word", "inner" if from_n == 1 else "left")
+    gain = F.lit(0.0)
+    if from_n > 1:
+        more = F.log10((F.col("n") + PSEUDO * F.col("share")) / (PSEUDO * F.col("share")))
+        left = inner.where(F.col("n") < from_n).join(F.broadcast(classes), "j").select(F.shiftleft("i", 16).bitwiseOR(F.col("j")).alias("pair"), more.alias("gain"))
+        gains = rows.where(F.col("__lm_pair").isNotNull()).select("__lm_row", F.col("__lm_n").alias("place"), F.col("__lm_pair").alias("pair")).join(left, "pair")
+        rare = rare.join(gains.groupBy("__lm_row", "place").agg(F.sum("gain").alias("gain")), ["__lm_row", "place"], "left")
+        gain = F.coalesce("gain", F.lit(0.0))
+    n, said = F.coalesce("n", F.lit(0)), lambda g: F.lit(1 - UNIGRAM) * F.pow(F.lit(10.0), F.col("say") + g)
+    grown = F.log10(F.col("share") + F.lit(UNIGRAM / max(1, n_all)) * n + said(gain)) - F.log10(F.col("share") + said(F.lit(0.0)))
+    rare = rare.groupBy("__lm_row").agg(F.count("n").alias("__lm_m"), F.sum(F.log10(n + 1)).alias("__lm_more"), F.sum(grown).alias("__lm_grown"))
+    out = rows.where(F.col("__lm_word").isNull() & F.col("__lm_pair").isNull()).join(rare, "__lm_row", "left")
+    total = F.col("__lm_score") + F.coalesce("__lm_grown", F.lit(0.0))
     floor = F.log10(F.lit(float(n_all + v_all + 1)))
     return out.select(
         *names,
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("__m", F.lit(0))).alias("n_known"),
+        F.col("__lm_n").alias("n_tokens"),
+        (F.col("__lm_known") + F.coalesce("__lm_m", F.lit(0))).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("__sum") + F.coalesce("__more", F.lit(0.0)) - F.col("n_tokens") * floor).alias("base_score"),
-        "score",
+        (F.col("__lm_sum") + F.coalesce("__lm_more", F.lit(0.0)) - F.col("__lm_n") * floor).alias("base_score"),
+        total.alias("score"),
     )
 
 
+ROW = ["__lm_row", "__lm_n", "__lm_known", "__lm_sum", "__lm_score", "__lm_word", "__lm_pair"]
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     crc = crc_of_id(F.col("doc_id")) % 7
