@@ -1,22 +1,26 @@
 """Line dedup over levelled sorted runs of line hashes. DataFrame functions only.
 
-The corpus is taken in batches of descending document id. A batch's distinct line keys are
-merge-anti-joined with the runs written so far: keys that no run holds are *fresh*, and their
-largest document is in this batch; for the others only the count is added. The batch then adds
-its own sorted run at level 0. When a level holds ``FANOUT`` runs they are compacted into one
-run of the next level. The runs finally give, for each key, the number of documents and the
-document that keeps its lines.
+The lines of all documents are hashed in one pass, dealt into batches of descending document id.
+A batch's distinct keys, with the number of its documents and the largest of them, are written as
+a table bucketed and sorted by key, and merge-anti-joined with the runs written so far: only keys
+that no run holds are *fresh*, and their largest document is in this batch, whatever comes later.
+The fresh keys are the batch's own run, at level 0; counts are kept apart. When a level holds
+``FANOUT`` runs they are compacted into one run of the next level. Runs hold disjoint keys, and as
+all these tables are bucketed alike, merging with a run neither shuffles nor sorts it again.
 
 Keys are 128-bit hashes (two independently seeded 64-bit hashes), so that no two lines of a
 100 TB corpus are taken for each other. Nothing is collected; hot lines are pre-aggregated.
 
 Defined cases: a null or empty text is one empty line; a null id counts as smaller than every
-id; rows that repeat both id and text are one document; all input columns are kept.
+id; rows that repeat both id and text are one document; all input columns are kept; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +29,8 @@ from .common import NULL_ID, WHITE, save, scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FANOUT = 3
-BATCHES = 4
+#: Batches at least, and documents in a batch beyond that.
+BATCHES, BATCH_DOCS = 6, 2_000_000_000
 KEY = ["__h1", "__h2"]
 
 
@@ -34,15 +39,16 @@ def lines_of(text: Column) -> Column:
 
 
 def keyed_lines(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each line whose key is long enough: __d, __t (text hash), __pos, key hashes."""
+    """One row for each line whose key is long enough: __batch, __d, __t (text hash), __pos, key hashes."""
     lines = docs.select(
+        "__batch",
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__d"),
         F.xxhash64(F.col(text_col)).alias("__t"),
         F.posexplode(lines_of(F.col(text_col))).alias("__pos", "__line"),
     )
-    trimmed = lines.select("__d", "__t", "__pos", F.btrim("__line", F.lit(WHITE)).alias("__k")).where(F.char_length("__k") >= min_chars)
+    trimmed = lines.select("__batch", "__d", "__t", "__pos", F.btrim("__line", F.lit(WHITE)).alias("__k")).where(F.char_length("__k") >= min_chars)
     key = F.translate("__k", UPPER, LOWER)
-    return trimmed.select("__d", "__t", "__pos", F.xxhash64(key).alias("__h1"), F.xxhash64(F.lit(0x5EED), key).alias("__h2"))
+    return trimmed.select("__batch", "__d", "__t", "__pos", F.xxhash64(key).alias("__h1"), F.xxhash64(F.lit(0x5EED), key).alias("__h2"))
 
 
 @dataclass
@@ -52,58 +58,58 @@ class LineRuns:
     spark: SparkSession
     folder: str
     levels: list[list[str]] = field(default_factory=lambda: [[]])
-    written: int = 0
+    counts: list[str] = field(default_factory=list)
+    made: list[str] = field(default_factory=list)
 
     def _write(self, df: DataFrame) -> str:
-        path = f"{self.folder}/run-{self.written}"
-        self.written += 1
-        df.repartition(*KEY).sortWithinPartitions(*KEY).write.parquet(path)
-        return path
-
-    def _rows(self) -> DataFrame | None:
-        live = [p for level in self.levels for p in level]
-        return self.spark.read.parquet(*live) if live else None
-
-    @staticmethod
-    def _merged(df: DataFrame) -> DataFrame:
-        return df.groupBy(*KEY).agg(F.sum("__n").alias("__n"), F.max("__top").alias("__top"))
+        """Writes a table bucketed and sorted by key. df is dealt by key as buckets are, so that a bucket is one file."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        name = f"line_runs_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, *KEY).sortBy(*KEY).option("path", f"{self.folder}/{name}").format("parquet").saveAsTable(name)
+        self.made.append(name)
+        return name
 
     def add(self, lines: DataFrame) -> None:
         own = lines.select(*KEY, "__d").distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("__n"), F.max("__d").alias("__top"))
-        held = self._rows()
-        if held is not None:
-            keys = held.select(*KEY)
-            fresh = own.join(keys.hint("merge"), KEY, "left_anti")
-            again = own.join(keys.hint("merge"), KEY, "left_semi").withColumn("__top", F.lit(None).cast("long"))
-            own = fresh.unionByName(again)
-        self.levels[0].append(self._write(own))
+        batch = self._write(own)
+        self.counts.append(batch)
+        fresh = self.spark.table(batch).select(*KEY, "__top")
+        for run in self.runs():
+            fresh = fresh.join(self.spark.table(run).select(*KEY).hint("merge"), KEY, "left_anti")
+        self.levels[0].append(self._write(fresh))
         self._compact()
 
+    def runs(self) -> list[str]:
+        return [run for level in self.levels for run in level]
+
     def _compact(self) -> None:
         for k in range(len(self.levels)):
             if len(self.levels[k]) >= FANOUT:
-                merged = self._write(self._merged(self.spark.read.parquet(*self.levels[k])))
+                merged = reduce(DataFrame.unionByName, map(self.spark.table, self.levels[k]))
+                merged = self._write(merged.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *KEY))
                 self.levels[k] = []
                 if k + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[k + 1].append(merged)
 
-    def keys(self) -> DataFrame | None:
-        rows = self._rows()
-        return None if rows is None else self._merged(rows)
+    def frequent(self, min_docs: int) -> DataFrame:
+        """Keys of at least ``min_docs`` documents, with the largest of them."""
+        counts = reduce(DataFrame.unionByName, map(self.spark.table, self.counts)).groupBy(*KEY).agg(F.sum("__n").alias("__n"))
+        return reduce(DataFrame.unionByName, map(self.spark.table, self.runs())).join(counts.where(F.col("__n") >= min_docs), KEY).select(*KEY, "__top")
+
+    def drop(self) -> None:
+        """Forgets the tables' names; the files go with the scratch folder."""
+        for name in self.made:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def batches_of(docs: DataFrame, n: int, id_col: str) -> list[Column]:
-    """Filters of n ranges of ids of about equal numbers of rows, from the largest ids down."""
-    d = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+def batch_of(docs: DataFrame, n: int, id_col: str) -> Column:
+    """The number of the batch of each row: n ranges of ids of about equal numbers of rows, from the largest ids down."""
     cuts = docs.select(F.percentile_approx(F.col(id_col).cast("long"), [i / n for i in range(1, n)], 1000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    raw = F.col(id_col)
+    cuts = sorted(set(cuts), reverse=True)
     if not cuts:
-        return [F.lit(True)]
-    out = [raw > cuts[-1]]
-    out += [(raw > lo) & (raw <= hi) for lo, hi in zip(cuts[-2::-1], cuts[:0:-1])]
-    return [*out, (d <= cuts[0])]
+        return F.lit(0)
+    return F.coalesce(sum((F.col(id_col).cast("long") <= c).cast("int") for c in cuts), F.lit(len(cuts)))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
@@ -111,14 +117,22 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     except in the largest id holding the line; adds __n_lines and __n_dropped."""
     spark = docs.sparkSession
     folder = scratch(spark, "line-dedup")
-    runs, parts = LineRuns(spark, folder), []
-    for i, part in enumerate(batches_of(docs, batches, id_col)):
-        lines = save(keyed_lines(docs.where(part), min_chars, id_col, text_col), f"{folder}/lines-{i}")
-        parts.append(f"{folder}/lines-{i}")
-        runs.add(lines)
-    # written first, so that the join's two sides are plain exchanges and a hot line's partition can be split
-    frequent = save(runs.keys().where(F.col("__n") >= min_docs).select(*KEY, "__top"), f"{folder}/frequent")
-    drop = spark.read.parquet(*parts).join(frequent, KEY).where(F.col("__d") < F.col("__top"))
+    batches = max(batches, -(-docs.count() // BATCH_DOCS))
+    lines = keyed_lines(docs.withColumn("__batch", batch_of(docs, batches, id_col)), min_chars, id_col, text_col)
+    lines.write.partitionBy("__batch").parquet(f"{folder}/lines")
+    lines = spark.read.schema(lines.schema).parquet(f"{folder}/lines")
+    runs, ordered = LineRuns(spark, folder), "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(ordered)
+    spark.conf.set(ordered, "true")  # a bucket of one file is read as it was sorted
+    try:
+        for i in range(batches):
+            runs.add(lines.where(F.col("__batch") == i).drop("__batch"))
+        # written first, so that the join's two sides are plain exchanges and a hot line's partition can be split
+        frequent = save(runs.frequent(min_docs), f"{folder}/frequent")
+    finally:
+        spark.conf.set(ordered, before)
+        runs.drop()
+    drop = lines.drop("__batch").join(frequent, KEY).where(F.col("__d") < F.col("__top"))
     # A bit for each line: filtering a document costs one look-up a line, however many lines go.
     bits = drop.groupBy("__d", "__t", F.floor(F.col("__pos") / 64).cast("int").alias("__w")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("__pos") % 64).cast("int"))).alias("__b")
