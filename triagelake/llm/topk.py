@@ -11,8 +11,9 @@ Bounds use floats with slack; the scores compared are exact integers.
 The query set is searched against all trees in blocks (block of queries x tree), and the best k
 of each block are merged, so a task holds one tree and one block of queries.
 
-Defined cases: vectors that are null or empty, or hold a null or non-finite component, and rows
-with a null id take no part; vectors of another length than the query's are no candidates; rows
+Defined cases: vectors that are null or hold a null or non-finite component, and rows with a null
+id take no part; vectors of another length than the query's are no candidates (empty ones score 0
+with one another); rows
 that bear the query's id are its own; ties go to the smaller id. Repeated rows stay separate.
 """
 
@@ -138,7 +139,7 @@ def _pages_out(pdf: pd.DataFrame) -> pd.DataFrame:
     import pickle
 
     pdf = pdf.sort_values("id", kind="stable")
-    pages, m2 = build(pdf["id"].to_numpy(np.int64), np.vstack(pdf["x"].to_list()).astype(np.int64))
+    pages, m2 = build(pdf["id"].to_numpy(np.int64), np.stack([np.asarray(x, np.int64) for x in pdf["x"]]))
     return pd.DataFrame({"tree": pdf["tree"].iloc[0], "dim": pdf["dim"].iloc[0], "page": range(len(pages)), "m2": m2, "body": [pickle.dumps(p, protocol=5) for p in pages]})
 
 
@@ -161,7 +162,7 @@ def integers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     """id, x (array<long>), dim of the rows that take part."""
     x = F.transform(F.col(vector_col), lambda v: F.floor(v.cast("double") * 1024).cast("long"))
     odd = F.exists(F.col(vector_col), lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf")))
-    return vectors.where(F.col(id_col).isNotNull() & (F.size(F.coalesce(F.col(vector_col), F.array())) > 0) & ~odd).select(F.col(id_col).cast("long").alias("id"), x.alias("x"), F.size(vector_col).alias("dim"))
+    return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~odd).select(F.col(id_col).cast("long").alias("id"), x.alias("x"), F.size(vector_col).alias("dim"))
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, tree_rows: int = TREE_ROWS) -> DataFrame:
@@ -192,8 +193,8 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(CASE WHEN len(q.x) = 0 THEN 0 ELSE list_inner_product(q.x, c.x) END AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
