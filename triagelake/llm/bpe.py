@@ -1,20 +1,26 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A text's bytes are cut where a rolling (gear) hash of the last 16 bytes has its low bits zero, so
-passages that documents share are cut alike wherever they stand. A chunk is encoded once in a
-worker and reused (a bounded cache, kept between tasks). Encodings of neighbouring chunks do not
-just concatenate: a word or a merge may straddle the cut. Each join is therefore re-encoded over
-a span that is widened on both sides until it ends where both encodings must agree: at a space
-that stands between two ASCII letters, where the pre-tokenizer always ends one piece and begins
-the next, whatever lies around. If a chunk holds no such place, the span takes in that chunk too.
-So the ids equal those of the whole text, token by token.
-
-Each distinct piece is decoded once as well; pieces are whole characters, so decoded pieces
-concatenate to what decoding the whole id list gives.
+passages that documents share are cut alike wherever they stand. Every distinct chunk is encoded
+by itself, once, and kept for later documents (a bounded cache that outlives tasks). Encodings of
+neighbouring chunks do not just concatenate: a word, a merge or a special token may straddle the
+cut. Each join is therefore repaired: a span that begins at a pre-token of the left chunk, at least
+``GUARD`` bytes before the cut, is encoded anew and compared with the right chunk's own encoding;
+where both begin a pre-token at the same byte and have the same ids from there up to ``GUARD`` bytes
+before the end of the span, they agree, and the chunk's own ids go on from that place. If they
+don't agree the span is widened, at last over the following chunks. A pre-tokenizer reads on from
+the end of a pre-token whatever lies before it, so from an agreed place the chunk's own ids are
+those of the whole text. Which ids begin a pre-token is told by the tokenizer itself (word numbers),
+and bytes are counted by the lengths of its tokens; where these do not add up to the text (a
+tokenizer that normalises, say) the text is encoded whole.
+
+Ids are decoded by the bytes of their tokens; the joined bytes become text as the library makes it,
+a malformed part a replacement character.
 
 Null text is the empty text (no tokens). Special tokens' strings in a text become special
-tokens, as the library does by default. Texts of any length are encoded piece by piece; rows are
-independent, so repeated rows, ties and extra columns need no rule; columns are kept.
+tokens, as the library does by default. Texts of any length are encoded chunk by chunk; rows are
+independent, so repeated rows, ties and extra columns need no rule; columns are kept, but for those
+that bear a new column's name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +39,9 @@ from .common import prepare, read
 GEAR_BYTES = 16
 #: Bits of the rolling hash that are zero at a cut: chunks of about 1 KB.
 CUT_BITS = 10
-CACHE_BYTES = 48 << 20
+#: Bytes on both sides of a place that what is cut off beyond them cannot reach: longer than any special token.
+GUARD, SPAN = 24, 96
+CACHE_BYTES = 64 << 20
 _GEAR = np.random.default_rng(20240501).integers(0, 2**32, 256, dtype=np.uint32)
 _STATE: dict = {}
 
@@ -56,30 +64,29 @@ def cuts(b: np.ndarray) -> np.ndarray:
     return np.flatnonzero((h & np.uint32(((1 << CUT_BITS) - 1) << 4)) == 0) + GEAR_BYTES
 
 
-def agreeing(b: np.ndarray) -> np.ndarray:
-    """Positions of spaces between two ASCII letters: a token ends before and one begins at each."""
-    letter = ((b | 0x20) >= 0x61) & ((b | 0x20) <= 0x7A)
-    return np.flatnonzero(letter[:-2] & (b[1:-1] == 0x20) & letter[2:]) + 1 if len(b) > 2 else np.empty(0, np.int64)
-
-
-def pieces(data: bytes) -> list[bytes]:
-    """Chunk interiors and the re-encoded spans around their joins, in order; they concatenate to data."""
-    if len(data) < 2 << CUT_BITS:
+def chunks(data: bytes) -> list[bytes]:
+    """The content-defined chunks of a text, cut before a character; they concatenate to data."""
+    if len(data) < GEAR_BYTES:
         return [data] if data else []
     b = np.frombuffer(data, np.uint8)
-    at, safe = cuts(b), agreeing(b)
-    if not len(at) or not len(safe):
-        return [data]
-    left = np.searchsorted(safe, at, "right") - 1
-    right = left + 1
-    ok = (left >= 0) & (right < len(safe))
-    ends = np.unique(np.concatenate([safe[left[ok]], safe[right[ok]]]))
-    marks = [0, *ends.tolist(), len(data)]
-    return [data[i:j] for i, j in zip(marks, marks[1:]) if j > i]
+    at = cuts(b)
+    at = at[at < len(b)]
+    at = at[(b[at] & 0xC0) != 0x80]
+    marks = [0, *at.tolist(), len(data)]
+    return [data[i:j] for i, j in zip(marks, marks[1:])]
+
+
+class Encoded:
+    """Ids of a chunk, and where its pre-tokens begin: in bytes (``at``) and in ids (``of``)."""
+
+    __slots__ = ("ids", "at", "of")
+
+    def __init__(self, ids: np.ndarray, at: np.ndarray, of: np.ndarray):
+        self.ids, self.at, self.of = ids, at, of
 
 
 class Coder:
-    """Encodes and decodes texts with reuse of pieces; keeps ids as little-endian uint32 bytes."""
+    """Encodes and decodes texts with reuse of chunks; keeps ids as little-endian uint32."""
 
     def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
@@ -87,43 +94,143 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: OrderedDict[bytes, tuple[bytes, bytes]] = OrderedDict()
+        self.encode_batch = self.tokenizer.encode_batch
+        self.bytes = token_bytes(self.tokenizer)
+        self.sizes = np.array([len(b) for b in self.bytes], np.int64)
+        self.guard = max([GUARD, *(len(t.content.encode()) + 1 for t in self.tokenizer.get_added_tokens_decoder().values())])
+        self.cache: OrderedDict[bytes, Encoded] = OrderedDict()
         self.room = self.cache_bytes = cache_bytes
-        self.reused = self.encoded = 0
+        self.reused = self.encoded = self.reused_bytes = self.encoded_bytes = 0
+
+    def fresh(self, texts: list[bytes]) -> list[Encoded | None]:
+        """Encodings of texts by themselves; None where the tokens' bytes are not those of the text."""
+        out: list[Encoded | None] = []
+        for data, e in zip(texts, self.encode_batch([x.decode() for x in texts], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.cumsum(self.sizes[ids])
+            if (ends[-1] if len(ends) else 0) != len(data):
+                out.append(None)
+                continue
+            words = np.array(e.word_ids, np.int64)
+            of = np.append(0, np.flatnonzero(words[1:] != words[:-1]) + 1)[: len(ids)]
+            out.append(Encoded(ids, (ends - self.sizes[ids])[of], of))
+        return out
 
-    def learn(self, wanted: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
-        out, fresh = {}, []
+    def learn(self, wanted: list[bytes]) -> dict[bytes, Encoded | None]:
+        """The encoding of each distinct chunk, from the cache or fresh."""
+        out: dict[bytes, Encoded | None] = {}
+        new: list[bytes] = []
         for p in wanted:
             if p in out:
                 self.reused += 1
+                self.reused_bytes += len(p)
             elif (hit := self.cache.get(p)) is not None:
                 self.cache.move_to_end(p)
                 self.reused += 1
+                self.reused_bytes += len(p)
                 out[p] = hit
             else:
-                out[p] = (b"", b"")
-                fresh.append(p)
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for i in range(0, len(fresh), 512):
-            group = fresh[i : i + 512]
-            for p, e in zip(group, encode([x.decode() for x in group], add_special_tokens=False)):
-                ids = e.ids
-                text = self.tokenizer.decode(ids, skip_special_tokens=False).encode()
-                value = out[p] = (np.array(ids, "<u4").tobytes(), p if text == p else text)
-                self.cache[p] = value
-                self.room -= 2 * len(p) + len(value[0]) + 200
-        self.encoded += len(fresh)
+                out[p] = None
+                new.append(p)
+        for i in range(0, len(new), 512):
+            for p, e in zip(new[i : i + 512], self.fresh(new[i : i + 512])):
+                out[p] = e
+                if e is not None:
+                    self.cache[p] = e
+                    self.room -= self.weight(p, e)
+        self.encoded += len(new)
+        self.encoded_bytes += sum(map(len, new))
         while self.room < 0 and self.cache:
-            p, (ids, _) = self.cache.popitem(last=False)
-            self.room += 2 * len(p) + len(ids) + 200
+            self.room += self.weight(*self.cache.popitem(last=False))
+        return out
+
+    @staticmethod
+    def weight(chunk: bytes, e: Encoded) -> int:
+        return len(chunk) + e.ids.nbytes + e.at.nbytes + e.of.nbytes + 500
+
+    def joined(self, texts: list[list[bytes]], known: dict[bytes, Encoded | None]) -> list[np.ndarray | None]:
+        """The ids of each text from those of its chunks. Spans of all texts are encoded together, a join of each a turn."""
+        out: list = [None] * len(texts)
+        jobs = {}
+        for i, parts in enumerate(texts):
+            own = [known[p] for p in parts]
+            if len(own) < 2:
+                out[i] = np.zeros(0, "<u4") if not own else own[0] and own[0].ids
+            elif None not in own:
+                jobs[i] = self.repair(b"".join(parts), own, np.cumsum([0, *map(len, parts)]))
+        asked = {i: next(job) for i, job in jobs.items()}
+        while asked:
+            again = {}
+            for i, e in zip(asked, self.fresh(list(asked.values()))):
+                try:
+                    again[i] = jobs[i].send(e)
+                except StopIteration as done:
+                    out[i] = done.value
+            asked = again
         return out
 
+    def repair(self, data: bytes, own: list[Encoded], starts: np.ndarray):
+        """A generator that asks for the encodings of spans and returns the ids of the whole text (None: encode it whole).
+
+        ``true`` is a byte up to which ids are settled, a place where a pre-token begins."""
+        ids: list[np.ndarray] = []
+        true, k, n = 0, 0, len(data)  # chunk k's own ids hold from ``true`` on
+        while k + 1 < len(own):
+            cut, e = int(starts[k + 1]), own[k]
+            # the span begins at the last pre-token of the left chunk that lies GUARD bytes before the cut
+            j = np.searchsorted(e.at, cut - self.guard - starts[k], "right") - 1
+            begin = int(starts[k] + e.at[j]) if j >= 0 else true
+            if begin > true:
+                lo = np.searchsorted(e.at, true - starts[k])
+                ids.append(e.ids[e.of[lo] : e.of[j]])
+                true = begin
+            wide, k = SPAN, k + 1
+            while True:
+                while k + 1 < len(own) and cut + wide >= starts[k + 1]:
+                    k += 1  # the span reaches over the chunk: agree within a later one
+                end = min(n, cut + wide)
+                while end < n and data[end] & 0xC0 == 0x80:
+                    end += 1
+                span = yield data[true:end]
+                if span is None:
+                    return None
+                if end == n:
+                    ids.append(span.ids)
+                    return np.concatenate(ids)
+                place = self.agreed(span, true, end, own[k], int(starts[k]))
+                if place is not None:
+                    ids.append(span.ids[: span.of[place[0]]])
+                    true = place[1]
+                    break
+                wide *= 2
+        lo = np.searchsorted(own[k].at, true - starts[k])
+        ids.append(own[k].ids[own[k].of[lo] :] if lo < len(own[k].of) else np.zeros(0, "<u4"))
+        return np.concatenate(ids)
+
+    def agreed(self, span: Encoded, begin: int, end: int, own: Encoded, start: int) -> tuple[int, int] | None:
+        """The first byte at which both encodings begin a pre-token and from which their ids are the same."""
+        a = span.at + begin
+        last = end - self.guard
+        both, i, j = np.intersect1d(a, own.at + start, assume_unique=True, return_indices=True)
+        for at, x, y in zip(both.tolist(), i.tolist(), j.tolist()):
+            if at > last:
+                break
+            x_end = span.of[min(len(span.of) - 1, np.searchsorted(a, last))]
+            m = x_end - span.of[x]
+            mine = own.ids[own.of[y] : own.of[y] + m]
+            if len(mine) == m and (mine == span.ids[span.of[x] : x_end]).all():
+                return x, at
+        return None
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace").encode()
+
     def texts(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """(ids, decoded text) of each text."""
         group: list[list[bytes]] = []
         size = 0
         for t in texts:
-            group.append(pieces((t or "").encode()))
+            group.append(chunks((t or "").encode()))
             size += len(t or "")
             if size > 1 << 20:
                 yield from self._flush(group)
@@ -132,9 +239,24 @@ class Coder:
 
     def _flush(self, group: list[list[bytes]]) -> Iterator[tuple[bytes, bytes]]:
         known = self.learn([p for g in group for p in g])
-        for g in group:
-            found = [known[p] for p in g]
-            yield b"".join(f[0] for f in found), b"".join(f[1] for f in found)
+        for parts, ids in zip(group, self.joined(group, known)):
+            if ids is None:
+                e = self.tokenizer.encode(b"".join(parts).decode(), add_special_tokens=False)
+                yield np.array(e.ids, "<u4").tobytes(), self.tokenizer.decode(e.ids, skip_special_tokens=False).encode()
+            else:
+                yield ids.astype("<u4").tobytes(), self.decode(ids)
+
+
+def token_bytes(tokenizer) -> list[bytes]:
+    """The bytes of each id of a byte-level tokenizer."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+    special = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
+    out = [b""] * tokenizer.get_vocab_size(with_added_tokens=True)
+    for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
+        out[i] = special[i].encode() if i in special else bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+    return out
 
 
 def coder(path: str) -> Coder:
