@@ -19,9 +19,10 @@ No group is gathered beyond a tile, no list of pairs within a class is emitted,
 between different texts of a bucket is lost; a pair at 0.8 shares none of the 24 bands of 6
 coordinates with probability 0.0007.
 
-Defined cases: texts without words are alone in their class; a null id is replaced by a negative
-number made from the text, shown as null; rows that repeat id and text are one document each with
-the same class; an empty table gives an empty result.
+Defined cases: texts without words are alone in their class; rows that repeat id and text are one
+document; a null id, and an id that rows repeat with *different* texts, is replaced by a negative
+number made from id and text, so each such text is a document of its own (shown with its real id);
+a class is named by its smallest real id (null if it has none); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from .common import prepare, read, save, scratch
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 6
-TILE = 1024
+TILE, TILE_UNITS = 1024, 4_000_000
 #: Documents sketched together, and about how many of their shingles.
 GROUP_DOCS, GROUP_SHINGLES = 128, 50_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -149,6 +150,7 @@ def bands(signatures: np.ndarray) -> np.ndarray:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bags = [shingles(text) for text in batch.column(1).to_pylist()]
+        sizes = [int(c.sum()) for _, c in bags]
         keys = [bag_key(e, c) if len(e) else None for e, c in bags]
         found: list = [[] for _ in bags]
         real = [i for i, (e, _) in enumerate(bags) if len(e)]
@@ -160,7 +162,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for j, b in zip(part, bands(dart_minhash([bags[j] for j in part]))):
                     found[j] = b
                 part, size = [], 0
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["id", "key", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "real", "key", "n", "bands"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,19 +247,22 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, rep, class) for each row: rep the smallest id of the same bag, class that of the whole class."""
+    """(id, real, rep, class, name) for each row: id as ``node_ids`` makes it and the real one, rep the smallest id of the same
+    bag, class that of the whole class, and the class's name."""
     spark = docs.sparkSession
     prepare(spark)
     folder = scratch(spark, "near")
-    own = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_BASE) - F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 3))
-    texts = docs.select(own.alias("id"), F.col(text_col).alias("text"))
-    sketches = save(texts.mapInArrow(_sketch, "id long, key binary, bands array<long>"), f"{folder}/sketches")
+    keyed = node_ids(docs, folder, id_col, text_col)
+    texts = keyed.select(F.col("__id").alias("id"), F.col(text_col).alias("text"))
+    sketches = save(keyed.select("__id", text_col, F.col("__real").alias("real")).mapInArrow(_sketch, "id long, real long, key binary, n long, bands array<long>"), f"{folder}/sketches")
     # only bags that occur more than once are joined, from a written table: a hot bag's partition can be split
-    reps = sketches.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "rep")
+    reps = sketches.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "rep")
     reps = save(reps, f"{folder}/reps")
-    member = save(sketches.join(reps, "key", "left").select("id", F.coalesce("rep", "id").alias("rep"), "bands"), f"{folder}/members")
-    rows = save(member.where("id = rep").select("id", F.explode("bands").alias("band")).distinct(), f"{folder}/bands")
-    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("centre")).where("n > 1")
+    member = save(sketches.join(reps, "key", "left").select("id", "real", "n", F.coalesce("rep", "id").alias("rep"), "bands"), f"{folder}/members")
+    rows = save(member.where("id = rep").select("id", F.col("n").alias("units"), F.explode("bands").alias("band")).distinct(), f"{folder}/bands")
+    # written before they are joined, so that a hot bucket's partition can be split
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("units").alias("total"), F.min("id").alias("centre")).where("n > 1")
+    shared = save(shared, f"{folder}/shared")
     buckets = save(rows.join(shared, "band"), f"{folder}/buckets")
     wanted = save(texts_of(texts, buckets.select("id").distinct(), f"{folder}/wanted"), f"{folder}/texts")
     votes = buckets.where("id <> centre").groupBy("id", "centre").agg(F.count(F.lit(1)).alias("v"))
@@ -267,22 +272,37 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     links = save(pairs.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long"), f"{folder}/links-1")
     found = components(links, f"{folder}/cc-1")
 
-    labelled = buckets.select("band", "id").join(found, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
+    labelled = buckets.select("band", "id", "total").join(found, "id", "left").select("band", "id", "total", F.coalesce("label", "id").alias("label"))
     mixed = labelled.groupBy("band").agg(
         F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.expr("bit_xor(xxhash64(id))").alias("s")
     ).where("x <> y")
     # one bucket for each set of members, and no bucket of two that were compared before
     mixed = mixed.groupBy("n", "a", "b", "s").agg(F.min("band").alias("band"))
     mixed = mixed.join(best.withColumn("n", F.lit(2).cast("long")), ["n", "a", "b"], "left_anti").select("band", "n")
-    open_ = save(labelled.join(mixed, "band"), f"{folder}/open")
-    blocks = F.ceil(F.col("n") / (TILE // 2)).cast("int")
-    tiles = open_.withColumn("g", F.when(F.col("n") <= TILE, 1).otherwise(blocks)).withColumn("me", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
+    open_ = save(labelled.join(save(mixed, f"{folder}/mixed"), "band"), f"{folder}/open")
+    # a tile holds two parts of a bucket, bounded in members and in shingles
+    blocks = F.greatest(F.ceil(F.col("n") / (TILE // 2)), F.ceil(F.col("total") / (TILE_UNITS // 2))).cast("int")
+    tiles = open_.withColumn("g", F.when((F.col("n") <= TILE) & (F.col("total") <= TILE_UNITS), 1).otherwise(F.least(blocks, F.col("n").cast("int")))).withColumn("me", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
     tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     tiles = tiles.select("band", F.least("me", "other").alias("i"), F.greatest("me", "other").alias("j"), "id", "label")
     more = tiles.join(wanted, "id").groupBy("band", "i", "j").applyInPandas(_tiles, "a long, b long")
     more = save(more.distinct(), f"{folder}/links-2")
     final = components(links.union(more), f"{folder}/cc-2")
-    return member.select("id", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("id", "rep", F.coalesce("label", "rep").alias("class"))
+    out = member.select("id", "real", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("id", "real", "rep", F.coalesce("label", "rep").alias("class"))
+    # a class that a made-up id names is renamed by its smallest real one; only such classes are gathered, counts merged first
+    out = save(out, f"{folder}/classes")
+    named = out.where(F.col("class") <= _NULL_BASE).groupBy("class").agg(F.min("real").alias("name"))
+    return out.join(save(named, f"{folder}/names"), "class", "left").select("id", "real", "rep", "class", F.when(F.col("class") <= _NULL_BASE, F.col("name")).otherwise(F.col("class")).alias("name"))
+
+
+def node_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with __real, the id, and __id, which differs between different texts: the id itself unless it is null or rows
+    repeat it with other texts."""
+    keyed = docs.withColumns({"__real": F.col(id_col).cast("long"), "__hash": F.xxhash64(F.col(text_col))})
+    twice = keyed.where(F.col("__real").isNotNull()).groupBy("__real").agg(F.min("__hash").alias("a"), F.max("__hash").alias("b")).where("a <> b")
+    twice = save(twice.select("__real", F.lit(True).alias("__twice")), f"{folder}/twice")
+    made = F.lit(_NULL_BASE) - F.shiftrightunsigned(F.xxhash64("__real", "__hash"), 3)
+    return keyed.join(twice, "__real", "left").withColumn("__id", F.when(F.col("__real").isNull() | F.col("__twice").isNotNull(), made).otherwise(F.col("__real"))).drop("__hash", "__twice")
 
 
 def texts_of(texts: DataFrame, ids: DataFrame, path: str) -> DataFrame:
@@ -311,12 +331,11 @@ def texts_of(texts: DataFrame, ids: DataFrame, path: str) -> DataFrame:
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), representative (the document is that one)."""
     found = classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    shown = lambda c: F.when(F.col(c) > _NULL_BASE, F.col(c))
-    return found.select(shown("id").alias("doc_id"), shown("class").alias("class_id"), (F.col("id") == F.col("class")).alias("representative"))
+    return found.select(F.col("real").alias("doc_id"), F.col("name").alias("class_id"), (F.col("id") == F.col("class")).alias("representative"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: one document of each class stays (the smallest id, once)."""
+    """The pipeline's stage: one document of each class stays (the one with the smallest id, once)."""
     found = classes(docs.select("doc_id", "text")).where(F.col("id") == F.col("class")).select(F.col("id").alias("__id")).distinct()
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_BASE) - F.shiftrightunsigned(F.xxhash64("text"), 3))
-    return docs.withColumn("__id", own).join(found, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+    own = node_ids(docs, scratch(docs.sparkSession, "near"))
+    return own.join(found, "__id", "left_semi").dropDuplicates(["__id"]).select(*docs.columns)
