@@ -1,6 +1,6 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-N-grams (1 to 4 UTF-8 bytes of the letters, ASCII lower-cased, all else a space) are hashed to
+N-grams (1 to 4 characters of the lower-cased text, all that is no letter a space) are hashed to
 ``DIM`` columns. Document frequencies are counted over all documents that may be learnt from.
 The regression is trained by follow-the-regularised-leader (FTRL-proximal) with an elastic-net
 penalty on ``SAMPLE`` labelled rows, the ones whose hashed id is smallest; a held-back fifth of
@@ -13,8 +13,8 @@ Defined cases: a text that is null or has no letter is ``und`` with score 0; row
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,33 +30,39 @@ SAMPLE = 2000
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 0.02, 0.5, 4
 #: Below this calibrated probability the pipeline rejects a document.
 MIN_SCORE = 0.5
-_LETTER = re.compile(r"[^\W\d_]")
-_MAP = np.full(256, 0x20, np.uint8)
-_MAP[0x80:] = np.arange(0x80, 0x100)
-_MAP[0x61:0x7B] = np.arange(0x61, 0x7B)
-_MAP[0x41:0x5B] = np.arange(0x61, 0x7B)
+_MULTIPLIERS = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
+
+
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Which code points are letters (Unicode categories L*)."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Columns (ascending) and counts of a text's n-grams."""
-    b = _MAP[np.frombuffer(f" {text} ".encode(), np.uint8)]
-    keep = np.ones(len(b), bool)
-    keep[1:] = (b[1:] != 0x20) | (b[:-1] != 0x20)
-    b = b[keep].astype(np.uint32)
-    if len(b) < 3:
+    """Columns (ascending) and counts of a text's n-grams of 1 to 4 characters."""
+    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    c = np.where(letters()[c], c, 0x20)
+    keep = np.ones(len(c), bool)
+    keep[1:] = (c[1:] != 0x20) | (c[:-1] != 0x20)
+    c = c[keep].astype(np.uint64)
+    if len(c) < 3:
         return np.empty(0, np.int64), np.empty(0)
-    two = b[:-1] << np.uint32(8) | b[1:]
-    three = two[:-1] << np.uint32(8) | b[2:]
-    parts = [two * np.uint32(0x9E3779B1), three * np.uint32(0x85EBCA6B)]
-    if len(b) > 3:
-        parts.append((three[:-1] << np.uint32(8) | b[3:]) * np.uint32(0xC2B2AE35))
-    at = np.concatenate([p ^ p >> np.uint32(15) for p in parts]) & np.uint32(DIM - 1)
+    parts, h = [], np.zeros(len(c), np.uint64)
+    for n, m in enumerate(_MULTIPLIERS[: len(c)]):
+        h = (h[: len(c) - n] * np.uint64(0x100000001B3)) ^ c[n:]
+        parts.append((h * m) >> np.uint64(48))
+    at = np.concatenate(parts).astype(np.int64)  # 16 bits: DIM columns
     if len(at) > 4096:
         count = np.bincount(at, minlength=DIM)
         cols = np.flatnonzero(count)
         return cols, count[cols].astype(np.float64)
     cols, count = np.unique(at, return_counts=True)
-    return cols.astype(np.int64), count.astype(np.float64)
+    return cols, count.astype(np.float64)
 
 
 def vector(cols: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -173,7 +179,7 @@ def train(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
 
 
 def predict_one(model: dict | None, text: str | None) -> tuple[str, float]:
-    if model is None or not text or not _LETTER.search(text):
+    if model is None or not has_letter(text):
         return "und", 0.0
     cols, count = grams(text)
     if not len(cols):
@@ -183,20 +189,20 @@ def predict_one(model: dict | None, text: str | None) -> tuple[str, float]:
     return model["names"][best], float(min(1.0, max(0.0, p[best])))
 
 
-def predict(docs: DataFrame, model: dict | None, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs with lang_pred and score (columns so named are replaced)."""
+def predict(docs: DataFrame, model: dict | None, text_col: str = "text", keep_text: bool = True, new: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and its score, named by ``new`` (columns so named are replaced)."""
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
-    carried = [f for f in docs.schema if f.name not in ("lang_pred", "score") and (keep_text or f.name != text_col)]
+    carried = [f for f in docs.schema if f.name.lower() not in new and (keep_text or f.name != text_col)]
     names = [f.name for f in carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [predict_one(shared.value, t) for t in batch.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in names], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in names], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*names, *new])
 
-    return docs.mapInArrow(run, T.StructType([*carried, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*carried, T.StructField(new[0], T.StringType()), T.StructField(new[1], T.DoubleType())]))
 
 
 def held_out(doc_id) -> F.Column:
@@ -216,9 +222,9 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_language(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The pipeline's filter: rows whose language is recognised with enough certainty."""
+    """The pipeline's filter: rows whose language is recognised with enough certainty. All columns stay as they are,
+    whatever their names; a null or letterless text goes; rows with a null id are judged, but not learnt from."""
     prepare(docs.sparkSession)
-    names = docs.columns
     model = train(docs, learnable(F.col("doc_id")))
-    found = predict(docs.withColumns({"__lp": F.lit(None).cast("string")}), model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*names)
+    found = predict(docs, model, new=("__lang_pred", "__lang_score"))
+    return found.where((F.col("__lang_pred") != "und") & (F.col("__lang_score") >= min_score)).select(*docs.columns)
