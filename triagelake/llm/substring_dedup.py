@@ -1,7 +1,8 @@
 """Substring dedup of 20-word windows behind a count-min prefilter.
 
 A window's anchor is the smallest hash among its 16 five-word grams. Equal windows have equal
-anchors at different places, so a window occurs at most as often as its anchor's places.
+anchors at different places, so a window occurs at most as often as its anchor's places: counting
+anchors overestimates the counts of windows with an eighth of the entries in the sketch.
 
 1. Each partition sketches the anchors of its documents: (row, cell) counts of a count-min
    sketch, kept sparse. The partial sketches are merged by adding cells, distributed by cell;
@@ -242,6 +243,20 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
 
 
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(generate_series(1, len(ws) - 19)) AS s, ws FROM w WHERE len(ws) >= 20),
+k AS (SELECT doc_id, s, md5(array_to_string(ws[s:s + 19], ' ')) AS k FROM p),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM k),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(s, s + 19)) AS i FROM r WHERE n > 1),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+t AS (SELECT x.doc_id, count(g.i) AS gone, string_agg(x.word, ' ' ORDER BY x.i) FILTER (g.i IS NULL) AS kept
+      FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.i = g.i GROUP BY x.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN t ON w.doc_id = t.doc_id
+"""
+
+
 def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, str]]:
     """doc_id -> (n_words, n_removed, kept_sha256); for tests."""
     first: dict[tuple, tuple[int, int]] = {}
