@@ -10,8 +10,8 @@ page_id is a response; the others are revisits that refer to it. Archives are ro
 name and the archive's bytes, about ``ARCHIVE_BYTES`` of payload each), so they are written and
 read through Spark in any store; ``export`` is that column's bytes as they are.
 
-The dictionary is trained on a bounded sample of payloads (``SAMPLE`` rows, smallest hashed ids);
-if there are too few to train on it is raw content.
+The dictionary is trained on a bounded sample of whole payloads (``SAMPLE`` rows, ``SAMPLE_BYTES`` bytes, smallest
+hashes); if there are too few to train on it is raw content. It shapes the stored form, no result.
 
 Defined cases: null html is the empty payload; null url is written as an empty target; a null
 page_id counts as smaller than all; rows that repeat the largest page_id of a payload are all
@@ -28,13 +28,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, prepare, read, save, scratch
 
 #: Magic of the skippable frame that holds a dictionary (fixed value of the format).
 SKIPPABLE = 0x184D2A5D
-ARCHIVE_BYTES, SAMPLE, DICT_BYTES = 4 << 20, 400, 64 << 10
+ARCHIVE_BYTES, SAMPLE, SAMPLE_BYTES, DICT_BYTES = 4 << 20, 400, 6 << 20, 64 << 10
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -142,9 +143,12 @@ def parse(data: bytes) -> dict:
 
 
 def train_dictionary(pages: DataFrame) -> tuple[bytes, bool]:
-    """(dictionary, whether it is raw content) from a bounded sample."""
-    some = pages.select(F.xxhash64("__id", "__html").alias("k"), F.substring("__html", 1, 16384).alias("h"))
-    samples = [r["h"].encode() for r in some.orderBy("k").limit(SAMPLE).collect() if r["h"]]
+    """(dictionary, whether it is raw content) from whole payloads, in order of a hash, of up to SAMPLE_BYTES together."""
+    some = pages.select(F.xxhash64("__id", "__html").alias("k"), F.octet_length("__html").alias("n"), "__id").where(f"n BETWEEN 1 AND {SAMPLE_BYTES}").orderBy("k").limit(SAMPLE)
+    some = some.withColumn("run", F.sum("n").over(W.orderBy("k").rowsBetween(W.unboundedPreceding, 0))).where(f"run <= {SAMPLE_BYTES}")  # at most SAMPLE rows
+    picked = [r["k"] for r in some.collect()]
+    rows = pages.where(F.xxhash64("__id", "__html").isin(picked)).select("__html").distinct().collect() if picked else []
+    samples = sorted(r["__html"].encode() for r in rows)
     try:
         return zstd.train_dictionary(DICT_BYTES, samples).as_bytes(), False
     except (zstd.ZstdError, ValueError):
@@ -158,8 +162,11 @@ def write(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col
     folder = scratch(spark, "warc")
     base = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"), F.coalesce(url_col, F.lit("")).alias("__url"), F.coalesce(html_col, F.lit("")).alias("__html"))
     slim = save(base.select("__id", F.unhex(F.sha1("__html")).alias("__sha"), F.octet_length("__html").alias("__n")), f"{folder}/digests")
+    # written first, so that the joins' sides are plain exchanges and a common payload's partition can be split
     tops = slim.where(F.col("__n") >= min_bytes).groupBy("__sha", "__n").agg(F.max("__id").alias("__top"), F.min("__id").alias("__low")).where("__top <> __low")
-    refers = slim.join(tops, ["__sha", "__n"]).where("__id <> __top").select("__id", "__sha", "__top").distinct()
+    tops = save(tops.select("__sha", "__n", "__top"), f"{folder}/tops")
+    refers = slim.join(tops.hint("merge"), ["__sha", "__n"]).where("__id <> __top").select("__id", "__sha", "__top").distinct()
+    refers = save(refers, f"{folder}/refers").hint("merge")
     rows = base.withColumn("__sha", F.unhex(F.sha1("__html"))).join(refers, ["__id", "__sha"], "left")
     dictionary, raw = train_dictionary(base)
 
@@ -204,3 +211,14 @@ def read_archives(archives: DataFrame, archive_col: str = "archive", payloads: b
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write(read(spark, sf_dir, "pages").select("page_id", "url", "html")), payloads=False)
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages),
+h AS (SELECT *, sha1(html) AS x FROM p)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+       array_to_string(list_transform(generate_series(0, 31), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+         (((('0x' || substr(x, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT]), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM h
+"""
