@@ -85,6 +85,21 @@ def test_line_dedup_compacts_and_takes_null_and_repeated_ids(spark):
     assert {r["doc_id"] for r in got if r["__n_dropped"] == 0} == {39}
 
 
+def test_line_runs_hold_each_key_once(spark, tmp_path):
+    """Only the anti-join keeps a key out of later runs, with the smaller documents of later batches."""
+    runs = line_dedup.LineRuns(spark, str(tmp_path))
+    for batch in range(7):  # descending documents
+        data = [(1, 1, 100 - batch), (2, batch % 2, 90 - batch), (3, batch, 80 - batch)]
+        runs.add(spark.createDataFrame(data, "__h1 long, __h2 long, __d long"))
+        held = [tuple(r) for run in runs.runs() for r in spark.table(run).collect()]
+        assert len({r[:2] for r in held}) == len(held) and (1, 1, 100) in held
+    assert len(runs.levels) > 1 and runs.levels[1]
+    assert sorted(map(tuple, runs.frequent(4).collect())) == [(1, 1, 100), (2, 0, 90)]
+    plan = spark.table(runs.runs()[0]).join(spark.table(runs.counts[-1]).hint("merge"), line_dedup.KEY, "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    runs.drop()
+
+
 def test_mixing(spark, odd):
     for docs in (odd, spark.read.parquet(str(DATA / "sf0.01/documents.parquet"))):
         got = mixing.mix(docs).collect()
@@ -117,20 +132,45 @@ def test_mixing(spark, odd):
         assert again == {(r["doc_id"], r["__times"]) for r in got}
 
 
-def test_mixing_empty(none):
+def test_mixing_takes_by_unequal_probabilities(spark):
+    """Documents of 64 words are included about 4 times as often as those of 4; a plain random order takes both alike."""
+    data = [(i, "a", "w " * (64 if i % 2 else 4)) for i in range(4000)] + [(9000 + i, "b", "w " * 40) for i in range(20)]
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, source string, text string"), weights=(1, 9)).collect()
+    taken = Counter((r["__size"], r["__times"]) for r in got if r["source"] == "a")
+    times = sum(r["__target"] for r in got if r["doc_id"] == 0) / (4000 * 34)
+    whole = int(times)
+    share = {n: taken[n, whole + 1] / 2000 for n in (4, 64)}
+    assert times < 3 and 0 < share[4] < 1 and (share[64] == 1 or 3 < share[64] / share[4] < 5.5)
+    assert abs(sum(r["__size"] * r["__times"] for r in got if r["source"] == "a") - times * 4000 * 34) <= 33
+
+
+def test_mixing_without_broadcast(spark, odd, monkeypatch):
+    want = {(r["doc_id"], r["__times"], r["__target"]) for r in mixing.mix(odd).collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    assert {(r["doc_id"], r["__times"], r["__target"]) for r in mixing.mix(odd).collect()} == want
+
+
+def test_mixing_empty_and_repeated(spark, none):
     assert mixing.mix(none).collect() == []
+    twice = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (None, "c d e", None), (None, None, None), (2, " ", "t")], "doc_id long, text string, source string")
+    got = mixing.mix(twice).collect()
+    assert len(got) == 5 and len({r["__times"] for r in got if r["doc_id"] == 1}) == 1
+    assert all(r["__times"] == 0 for r in got if r["__size"] == 0)
 
 
 def test_topk_edges(spark):
     rnd = random.Random(2)
     data = [(i, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(900)]
     data += [(1000 + i, [0.5] * 8) for i in range(400)]
-    odd = [(None, [0.1] * 8), (2000, None), (2100, [0.1, None] * 4), (2200, [float("nan")] * 8), (2300, [float("inf")] * 8), (2400, []), (2500, [0.2] * 3)]
+    odd = [(None, [0.1] * 8), (2000, None), (2100, [0.1, None] * 4), (2200, [float("nan")] * 8), (2300, [float("inf")] * 8), (2500, [0.2] * 3)]
     df = spark.createDataFrame(data + odd, "vec_id long, embedding array<double>")
     rows = topk.integers(df)
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(rows.where("id % 100 = 0"), rows, tree_rows=300).collect())
     assert got == sorted(topk.brute_force((i, [math.floor(1024 * x) for x in v]) for i, v in data))
     assert topk.top_k(rows.where("id < 0"), rows.where("id < 0")).collect() == []
+    empty = topk.integers(spark.createDataFrame([(100, []), (101, []), (101, []), (102, [1.0])], "vec_id long, embedding array<double>"))
+    got = topk.top_k(empty.where("id = 100"), empty).collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(1, 101, 0), (2, 101, 0)]
 
 
 def test_mtree_skips_distances():
@@ -159,17 +199,32 @@ def test_bpe(spark, odd, none):
     assert bpe.encode(none).collect() == []
 
 
-def test_bpe_pieces_and_reuse():
+@pytest.mark.parametrize("bits", [4, 7, 10])
+def test_bpe_joins_are_repaired(bits, monkeypatch):
+    monkeypatch.setattr(bpe, "CUT_BITS", bits)
     rnd = random.Random(3)
     alphabet = ["the", "a", " ", "  ", "\n", "é", "1", "'s", "don't", "…", "日本", "word", "x", "<|endoftext|>", "\t", "A", "🙂"]
     tok = bpe.Coder(bpe.default_tokenizer())
     shared = " ".join(rnd.choice(alphabet) for _ in range(4000))
-    for n in (10, 2000, 6000):
-        text = "".join(rnd.choice(alphabet) for _ in range(n)) + shared
-        assert b"".join(bpe.pieces(text.encode())) == text.encode()
-        ids, back = next(tok.texts([text]))
-        assert np.frombuffer(ids, "<u4").tolist() == tok.tokenizer.encode(text, add_special_tokens=False).ids and back.decode() == text
-    assert tok.reused > 5
+    texts = ["".join(rnd.choice(alphabet) for _ in range(n)) + shared for n in (10, 2000, 6000)]
+    texts += ["日本語のテキスト" * 400, "a" * 5000, " " * 3000 + "x", "ab'" * 900, "<|endoftext|>" * 300, "1234567890" * 300, "", None, "é"]
+    for text, (ids, back) in zip(texts, tok.texts(texts)):
+        assert b"".join(bpe.chunks((text or "").encode())) == (text or "").encode()
+        want = tok.tokenizer.encode(text or "", add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want and back.decode() == tok.tokenizer.decode(want, skip_special_tokens=False)
+    assert tok.reused > 5 and tok.reused_bytes > len(shared)
+
+
+@given(st.lists(st.sampled_from(["the", " ", "  ", "\n\n", "é", "12", "'s", "'", "n't", "日", "word", "<|endoftext|>", "<|endo", "ftext|>", "\u00a0", "🙂", "!?", "\r"]), max_size=300))
+@settings(max_examples=150, deadline=None)
+def test_bpe_equals_the_library(parts):
+    import unittest.mock
+
+    tok = bpe.coder(bpe.default_tokenizer())
+    text = "".join(parts)
+    with unittest.mock.patch.object(bpe, "CUT_BITS", 4):
+        ids, _ = next(tok.texts([text]))
+    assert np.frombuffer(ids, "<u4").tolist() == tok.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def brute_classes(rows):
@@ -215,6 +270,15 @@ def test_near_dedup_on_table(spark):
     assert len(near_dedup.classes(repeated).collect()) == 4
 
 
+def test_near_dedup_of_ids_with_other_texts(spark):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven", "other words stand in this text")
+    df = spark.createDataFrame([(1, a), (1, b), (2, c), (3, b), (4, a), (None, a), (None, None), (4, a)], "doc_id long, text string")
+    kept = near_dedup.keep_one(df).collect()
+    assert Counter(r["text"] for r in kept) == Counter([a, b, c, None])
+    got = {(r["real"], r["name"], (r["id"] == r["class"])) for r in near_dedup.classes(df).collect()}
+    assert {x[:2] for x in got} == {(1, 1), (2, 2), (3, 1), (4, 1), (None, 1), (None, None)}
+
+
 def test_near_dedup_tiles():
     rng = random.Random(4)
     base = [rng.randrange(10**9) for _ in range(300)]
@@ -264,6 +328,21 @@ def test_language(spark, odd, none):
     out = {r["doc_id"]: r["lang_pred"] for r in language.predict(odd, model).collect()}
     assert out[3] == out[4] == out[5] == out[16] == "und" and out[0] in ("en", "de")
     assert language.keep_language(none).collect() == []
+    kept = language.keep_language(odd).collect()
+    assert kept and all(r["score"] == "kept" for r in kept)  # a column of the same name stays what it was
+    assert [language.predict_one(model, t)[0] for t in ("½ ²", "Ⅷ ①", "12 _", None)] == ["und"] * 4
+    again = spark.createDataFrame([(None, "w1 w2", "en"), (3, "w1 w2", "en"), (3, "w1 w2", "en")], "doc_id long, text string, lang string")
+    assert len({(r["lang_pred"], r["score"]) for r in language.predict(again, model).collect()}) == 1
+
+
+def test_language_grams_are_of_characters():
+    def brute(text):
+        t = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in f" {text.lower()} "))
+        return sum(max(0, len(t) - n + 1) for n in (1, 2, 3, 4))
+
+    for text in ("日本語 text", "Привет, мир 12", "a", "né!!x"):
+        assert language.grams(text)[1].sum() == brute(text)
+    assert not len(language.grams("12 ?")[0])
 
 
 def brute_lm(rows):
@@ -506,6 +585,37 @@ def test_warc(spark):
     assert warc.read_archives(warc.write(df.where("page_id < 0"))).collect() == []
 
 
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op2_mixing", "op3_topk", "op8_substring_dedup", "op10_warc"])
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    from triagelake.llm.queries import QUERIES, SQL
+
+    got = QUERIES[name](spark, str(DATA / "sf0.001"))
+    con = duckdb.connect()
+    for p in (DATA / "sf0.001").glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    want = con.sql(SQL[name])
+    assert sorted(want.columns) == sorted(got.columns)
+    order = [want.columns.index(c) for c in got.columns]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, got.collect())) == sorted(key(tuple(r[i] for i in order)) for r in want.fetchall())
+
+
+def test_media_fingerprints_by_direct_transform():
+    rng = np.random.default_rng(3)
+    data = (np.sin(np.arange(2048) / 5) * 40 + np.sin(np.arange(2048) / 3) * 30 + 128 + rng.normal(0, 2, 2048)).astype(np.uint8).tobytes()
+    x = np.frombuffer(data, np.uint8).astype(float) - 128
+    tops = []
+    for start in range(0, len(x) - media.FRAME + 1, media.HOP):
+        frame = x[start : start + media.FRAME] * np.hanning(media.FRAME)
+        mag = np.array([abs(sum(frame * np.exp(-2j * np.pi * k * np.arange(media.FRAME) / media.FRAME))) for k in range(media.FRAME // 2 + 1)])
+        peaks = sorted((k for k in range(1, len(mag) - 1) if mag[k - 1] < mag[k] >= mag[k + 1]), key=lambda k: -mag[k])
+        tops.append(peaks[: media.PEAKS])
+    want = sorted((t << 24) | (a << 14) | (b << 4) | gap for t in range(len(tops)) for gap in range(1, media.REACH + 1) if t + gap < len(tops) for a in tops[t] for b in tops[t + gap])
+    assert media.fingerprints(data).tolist() == want
+
+
 def test_warc_reader_rejects_damage():
     w = warc.Writer(b"some raw content of a dictionary", True)
     good = w.start() + w.add(warc.record(1, "u", b"hello", None))
@@ -537,3 +647,14 @@ def test_pipeline(spark):
     times = Counter(r["doc_id"] for r in frames[4].collect())
     assert times == Counter({r["doc_id"]: r["__times"] for r in mixing.mix(frames[3]).collect() if r["__times"]})
     assert corpus_pipeline.run(spark, str(DATA / "sf0.001")).count() == counts[5]
+
+
+def test_pipeline_stages_take_awkward_and_empty_tables(spark, odd, none):
+    import corpus_pipeline
+
+    for docs in (odd, none):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, "")
+            rows = out.collect()
+            assert name == "tokens" or out.columns == docs.columns
+            assert docs is odd or rows == []

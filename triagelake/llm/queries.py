@@ -7,11 +7,11 @@ from .language import op6_language
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .lm_score import op7_lm_score
 from .media import op9_media
-from .mixing import op2_mixing
+from .mixing import OP2_SQL, op2_mixing
 from .near_dedup import op5_near_dedup
-from .substring_dedup import op8_substring_dedup
+from .substring_dedup import OP8_SQL, op8_substring_dedup
 from .topk import OP3_SQL, op3_topk
-from .warc import op10_warc
+from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_media": op9_media,
     "op10_warc": op10_warc,
 }
-SQL = {"op1_line_dedup": OP1_SQL, "op3_topk": OP3_SQL}
+SQL = {"op1_line_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op3_topk": OP3_SQL, "op8_substring_dedup": OP8_SQL, "op10_warc": OP10_SQL}
