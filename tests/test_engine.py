@@ -2,6 +2,7 @@
 
 import base64
 import json
+import math
 import os
 import random
 
@@ -49,6 +50,9 @@ def hits(name, text):
         ("URL", "http://[2001:db8::1]:8080/a", [("http://[2001:db8::1]:8080/a", "validated")]),
         ("URL", "http://ocsp.example.com0A", [("http://ocsp.example.com0A", "candidate")]),
         ("URL", "http://ca.example.com/x.crt0E", [("http://ca.example.com/x.crt0E", "candidate")]),
+        ("URL", "http://1_0.0.0.1/a", [("http://1_0.0.0.1/a", "invalid")]),
+        ("URL", "http://0x7f.1/a", [("http://0x7f.1/a", "validated")]),
+        ("URL", "http://08.0.0.1/a", [("http://08.0.0.1/a", "invalid")]),
         ("URL", "http://.css", [("http://.css", "candidate")]),
         ("URL", "http://localhost/x", [("http://localhost/x", "candidate")]),
         ("litecoin", "LKDxGDJq5fF4FohAB8zJH24mDDNHDNtqsE", [("LKDxGDJq5fF4FohAB8zJH24mDDNHDNtqsE", "validated")]),
@@ -75,6 +79,40 @@ def test_rules_are_ordered_and_custom_rules_stay_candidates():
         patterns.load(categories=["url"])
 
 
+@pytest.mark.parametrize(("name", "yes", "no"), [(n, *pair) for n, pair in catalogue._SHAPES.items()])
+def test_shapes_of_rules(name, yes, no):
+    assert [t for t, _ in hits(name, yes)] == [yes] and hits(name, no) == []
+
+
+def test_prefilter_never_loses_a_match():
+    rnd = random.Random(8)
+    texts = [x for pair in catalogue._SHAPES.values() for x in pair] + [v for _, v, _ in catalogue._SAMPLES] + ["card 4111 1111 1111 1111", "https://a.bc/d", "10.0.0.1", "api_key=" + "a1" * 16, "/etc/app.conf"]
+    for _ in range(400):
+        text = rnd.choice(["", "x ", "="]) + rnd.choice(texts)[rnd.randrange(3) :] + rnd.choice(["", " ", " y"])
+        for rule in RULES:
+            assert rule.possible(text) or rule.regex.search(text) is None
+
+
+def test_one_scan_in_a_plan(spark):
+    df = spark.createDataFrame([(1, bytearray(b"https://example.com/a"))], "input_id long, content binary")
+    plan = scan.observations(scan.findings(df))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_entropy_of_windows(spark):
+    rnd = random.Random(4)
+    data = [rnd.randbytes(n) for n in (0, 1, 4096, 4097, 10000)]
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(data)], "input_id long, content binary")
+    got = {(r["input_id"], r["offset"]): (r["length"], r["entropy"], r["high"]) for r in scan.entropy_regions(df, base=7).collect()}
+    for i, x in enumerate(data):
+        for at in range(0, len(x), 4096):
+            part = x[at : at + 4096]
+            want = -sum(part.count(b) / len(part) * math.log2(part.count(b) / len(part)) for b in set(part))
+            n, e, high = got.pop((i, at + 7))
+            assert n == len(part) and e == pytest.approx(want, abs=1e-9) and high == (e >= 7)
+    assert not got
+
+
 def test_text_runs():
     data = b"\xffabc\xc3\xa9\x00def\xe2\x82ghij\x00\xe2"
     got = [(r.offset, r.value, r.encoding) for r in kernel.text_runs(data, "utf8", 99)]
@@ -234,7 +272,7 @@ def test_evidence_of_every_match(spark, tmp_path):
     texts = ["a@b.example.com, c@d.example.com; again a@b.example.com", "x" * 60 + " e@f.example.org " + "y" * 60 + " g@h.example.org", "none here", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     want = [(i, n, m[0], t[: m.start()][-48:], t[m.end() :][:48]) for i, t in enumerate(texts) for n, m in enumerate(re.finditer(patterns.BUNDLED["Email"], t or ""))]
-    got = [tuple(r) for r in catalogue.QUERIES["evidence_windows_all"](spark, str(tmp_path)).drop("seq").collect()]
+    got = [tuple(r) for r in catalogue.QUERIES["evidence_windows"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and len(want) == 5
 
 

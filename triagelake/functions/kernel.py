@@ -135,7 +135,7 @@ def _units(text: str, encoding: str) -> int:
 def find_matches(value: str, offset: int, encoding: str, rules: list[Pattern], max_details: int = MAX_DETAILS, max_bytes: int = MAX_DETAIL_BYTES) -> dict:
     """Matches of a text with fair retention: the r-th match of every rule before any (r+1)-th."""
     names, details, omitted, actionable, used = set(), [], {}, False, 0
-    turn = deque((rule, rule.regex.finditer(value)) for rule in rules)
+    turn = deque((rule, rule.regex.finditer(value)) for rule in rules if rule.possible(value))
     while turn:
         rule, found = turn.popleft()
         for m in found:

@@ -165,21 +165,26 @@ def comparison_entries(found: DataFrame) -> DataFrame:
 
 def framed_key(kind: F.Column, text: F.Column) -> F.Column:
     """SHA-256 of the kind's length (64-bit little-endian), the kind and the text."""
-    size = F.octet_length(kind)
-    little = F.unhex(F.rpad(F.concat(F.lpad(F.hex(size % 256), 2, "0"), F.lpad(F.hex(F.floor(size / 256)), 2, "0")), 16, "0"))
+    size = F.octet_length(kind).cast("long")
+    byte = lambda i: F.lpad(F.hex(F.shiftright(size, 8 * i).bitwiseAND(F.lit(255).cast("long"))), 2, "0")
+    little = F.unhex(F.concat(*[byte(i) for i in range(8)]))
     return F.sha2(F.concat(little, kind.cast("binary"), text.cast("binary")), 256)
 
 
 def comparison_index(entries: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Per list and key: kind, preview, count, first offsets."""
+    """Per list and key: kind, preview, count, first offsets. ``entries`` is read twice: write it first if it is dear."""
     order = order or ["seq", "layer", "n"]
     keyed = entries.withColumn("key", framed_key(F.col("kind"), F.col("text")))
-    return keyed.groupBy("list", "key").agg(
+    counts = keyed.groupBy("list", "key").agg(
         F.first("kind").alias("kind"), F.substring(F.first("text"), 1, 256).alias("preview"), (F.char_length(F.first("text")) > 256).alias("preview_truncated"),
-        F.count(F.lit(1)).alias("count"),
-        F.transform(F.slice(F.sort_array(F.collect_list(F.struct(*order, "offset"))), 1, MAX_POSITIONS), lambda x: x["offset"]).alias("offsets"),
-        (F.count(F.lit(1)) > MAX_POSITIONS).alias("offsets_truncated"), F.min(F.struct(*order)).alias("first"),
+        F.count(F.lit(1)).alias("count"), (F.count(F.lit(1)) > MAX_POSITIONS).alias("offsets_truncated"), F.min(F.struct(*order)).alias("first"),
     )
+    # the first places within hashed slices of a key, then over what is left: no list grows with the input
+    slim = keyed.select("list", "key", *order, "offset").withColumn("s", F.pmod(F.xxhash64(*order), F.lit(64)))
+    part = slim.withColumn("r", F.row_number().over(W.partitionBy("list", "key", "s").orderBy(*order))).where(F.col("r") <= MAX_POSITIONS)
+    part = part.withColumn("r", F.row_number().over(W.partitionBy("list", "key").orderBy(*order))).where(F.col("r") <= MAX_POSITIONS)
+    places = part.groupBy("list", "key").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "offset"))), lambda x: x["offset"]).alias("offsets"))
+    return counts.join(places, ["list", "key"])
 
 
 def bounded(index: DataFrame, most: int = MAX_ENTRIES) -> DataFrame:

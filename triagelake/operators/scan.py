@@ -70,21 +70,14 @@ def findings(inputs: DataFrame, cfg: kernel.Config | None = None, rules: list[Pa
 
 
 def observations(found: DataFrame) -> DataFrame:
-    """Match details of findings and decoded layers, each with its place in the order of observation."""
-    base = ["input_id", "seq", F.col("encoding").alias("source_encoding"), "extraction"]
-    raw = found.select(*base, F.posexplode("match_details").alias("n", "d")).select(
-        "input_id", "seq", "source_encoding", "extraction", F.lit(-1).alias("layer"), "n", "d", F.col("d.offset").alias("source_offset"), F.col("d.end_offset").alias("source_end_offset"),
-        F.lit(0).cast("long").alias("decode_depth"), F.lit(None).cast("string").alias("decode_encoding"), F.lit(None).cast("long").alias("decoded_offset"), F.lit(None).cast("long").alias("decoded_end_offset"),
-    )
-    layers = found.select(*base, F.posexplode("decoded_layers").alias("layer", "l")).select("input_id", "seq", "source_encoding", "extraction", "layer", "l", F.posexplode("l.match_details").alias("n", "d"))
-    deep = layers.select(
-        "input_id", "seq", "source_encoding", "extraction", "layer", "n", "d", F.col("l.source_offset"), F.col("l.source_end_offset"),
-        F.col("l.depth").alias("decode_depth"), F.col("l.encoding").alias("decode_encoding"), F.col("d.offset").alias("decoded_offset"), F.col("d.end_offset").alias("decoded_end_offset"),
-    )
-    both = raw.unionByName(deep)
+    """Match details of findings and decoded layers, each with its place in the order of observation. One pass over ``found``."""
+    null = lambda t: F.lit(None).cast(t)
+    own = F.transform("match_details", lambda d, i: F.struct(F.lit(-1).alias("layer"), i.alias("n"), d.alias("d"), d["offset"].alias("source_offset"), d["end_offset"].alias("source_end_offset"), F.lit(0).cast("long").alias("decode_depth"), null("string").alias("decode_encoding"), null("long").alias("decoded_offset"), null("long").alias("decoded_end_offset")))
+    deep = F.flatten(F.transform("decoded_layers", lambda x, k: F.transform(x["match_details"], lambda d, i: F.struct(k.alias("layer"), i.alias("n"), d.alias("d"), x["source_offset"].alias("source_offset"), x["source_end_offset"].alias("source_end_offset"), x["depth"].alias("decode_depth"), x["encoding"].alias("decode_encoding"), d["offset"].alias("decoded_offset"), d["end_offset"].alias("decoded_end_offset")))))
+    both = found.select("input_id", "seq", F.col("encoding").alias("source_encoding"), "extraction", F.explode(F.concat(own, deep)).alias("o"))
     return both.select(
-        "input_id", "seq", "layer", "n", F.col("d.pattern").alias("category"), F.col("d.text").alias("value"), F.col("d.validation.status").alias("validation_status"), F.col("d.validation.reason").alias("validation_reason"),
-        "source_offset", "source_end_offset", "source_encoding", "extraction", "decode_depth", "decode_encoding", "decoded_offset", "decoded_end_offset", F.col("d.evidence").alias("evidence"),
+        "input_id", "seq", "o.layer", "o.n", F.col("o.d.pattern").alias("category"), F.col("o.d.text").alias("value"), F.col("o.d.validation.status").alias("validation_status"), F.col("o.d.validation.reason").alias("validation_reason"),
+        "o.source_offset", "o.source_end_offset", "source_encoding", "extraction", "o.decode_depth", "o.decode_encoding", "o.decoded_offset", "o.decoded_end_offset", F.col("o.d.evidence").alias("evidence"),
     )
 
 
@@ -108,19 +101,13 @@ def coverage(found: DataFrame) -> DataFrame:
     )
 
 
-def byte_counts(inputs: DataFrame, window: int | None = None) -> DataFrame:
-    """(input_id[, w], b, n): how often each byte stands in each input or window; counted in the JVM."""
-    pairs = F.regexp_extract_all(F.hex("content"), F.lit("(..)"), F.lit(1))
-    cells = inputs.select("input_id", F.posexplode(pairs).alias("i", "b"))
-    keys = ["input_id"] + (["w"] if window else [])
-    if window:
-        cells = cells.withColumn("w", F.floor(F.col("i") / window))
-    return cells.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("n"))
-
+def entropy_of(counts):
+    """Shannon entropy in bits of each row of byte counts; 0 for no bytes. Terms are added in order of byte values."""
+    import numpy as np
 
-def _entropy(n: str, total: str) -> F.Column:
-    p = F.col(n) / F.col(total)
-    return F.sum(-p * F.log2(p)) + 0.0
+    counts = np.atleast_2d(counts).astype(float)
+    p = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+    return -(p * np.log2(np.where(p > 0, p, 1))).sum(1) + 0.0
 
 
 def summaries(inputs: DataFrame) -> DataFrame:
@@ -132,9 +119,7 @@ def summaries(inputs: DataFrame) -> DataFrame:
         for batch in batches:
             values = []
             for content in batch.column("content").to_pylist():
-                n = np.bincount(np.frombuffer(content, np.uint8), minlength=256).astype(float)
-                p = n[n > 0] / max(1, len(content))
-                values.append(float(-(p * np.log2(p)).sum()) + 0.0)
+                values.append(float(entropy_of(np.bincount(np.frombuffer(content, np.uint8), minlength=256))[0]))
             rest = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "content"]
             names = [x for x in batch.schema.names if x != "content"]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(values, pa.float64())], names=[*names, "entropy"])
@@ -146,12 +131,27 @@ def summaries(inputs: DataFrame) -> DataFrame:
 
 
 def entropy_regions(inputs: DataFrame, window: int = 4096, threshold: float = 7.0, base: int = 0) -> DataFrame:
-    """Entropy of consecutive windows: offset, length, entropy, high."""
-    n = byte_counts(inputs, window)
-    total = n.groupBy("input_id", "w").agg(F.collect_list(F.struct("n")).alias("c"), F.sum("n").alias("length"))
-    cells = total.select("input_id", "w", "length", F.explode("c.n").alias("n"))
-    out = cells.groupBy("input_id", "w", "length").agg(_entropy("n", "length").alias("entropy"))
-    return out.select("input_id", (F.col("w") * window + base).alias("offset"), "length", "entropy", (F.col("entropy") >= threshold).alias("high"))
+    """Entropy of consecutive windows: offset, length, entropy, high. One pass over each input, without a shuffle."""
+    schema = T.StructType([inputs.schema["input_id"], *[T.StructField(n, t) for n, t in (("offset", _L), ("length", _L), ("entropy", T.DoubleType()), ("high", _B))]])
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            for i, content in enumerate(batch.column("content")):
+                data = np.frombuffer(content.as_py() or b"", np.uint8)
+                for start in range(0, len(data), 1024 * window):  # blocks of windows, so that counts stay small
+                    part = data[start : start + 1024 * window]
+                    w = np.arange(len(part)) // window
+                    rows = int(w[-1]) + 1
+                    counts = np.bincount(w * 256 + part, minlength=rows * 256).reshape(rows, 256)
+                    e = entropy_of(counts)
+                    key = pa.concat_arrays([batch.column("input_id").slice(i, 1)] * rows)
+                    values = (start + np.arange(rows) * window + base, counts.sum(1), e, e >= threshold)
+                    yield pa.RecordBatch.from_arrays([key, *[pa.array(v, t) for v, t in zip(values, kinds)]], names=schema.names)
+
+    return inputs.select("input_id", "content").mapInArrow(run, schema)
 
 
 def hex_dump(inputs: DataFrame, base: int = 0) -> DataFrame:
