@@ -333,6 +333,48 @@ def test_folder_run_and_export(spark, tmp_path):
         folder.read_batch(spark, str(out))
 
 
+def test_folder_reports_are_complete_and_failures_stay_single(spark, tmp_path, monkeypatch):
+    root = tmp_path / "in"
+    (root / "deep/deeper").mkdir(parents=True)
+    (root / "closed").mkdir()
+    (root / "a.txt").write_bytes(b"mail a@example.com " * 300)
+    (root / "wide").write_bytes("text".encode("utf-16"))
+    (root / "deep/deeper/x").write_bytes(b"x")
+    real = os.scandir
+    monkeypatch.setattr(os, "scandir", lambda p: (_ for _ in ()).throw(PermissionError(p)) if str(p).endswith("closed") else real(p))
+    m = folder.run(spark, str(root), str(tmp_path / "out"), kernel.Config(encoding="utf16be", entropy=True), selection.Policy(max_depth=1))
+    c = m["counters"]
+    assert (c["complete"], c["failed"], c["discovery_errors"], c["policy_skipped"]) == (1, 1, 1, 1)
+    lines = [json.loads(x) for x in (tmp_path / "out/files.jsonl").read_text().splitlines()]
+    assert {x["outcome"]["reason"] for x in lines if "reason" in x.get("outcome", {})} == {"string_analysis", "selection_depth"}
+    done = next(x for x in lines if x.get("outcome", {}).get("status") == "complete")
+    report = json.loads((tmp_path / "out" / done["outcome"]["report"]["location"]).read_text())
+    assert [r["length"] for r in report["entropy_regions"]] == [4096, 1604] and report["analysis_coverage"]["limited"] is False
+    assert report["file_summary"]["mime_type"] == "Unknown" and 0 < report["file_summary"]["entropy"] < 8 and report["metadata"]["configuration"]["entropy"]
+    codes = {(e["scope"], e["code"]) for e in map(json.loads, (tmp_path / "out/errors.jsonl").read_text().splitlines())}
+    assert codes == {("file", "string_analysis"), ("discovery", "directory_read")}
+    assert folder.export(spark, str(tmp_path / "out"), str(tmp_path / "b")) == 1
+
+
+def test_full_scan_by_brute_force(spark):
+    docs = spark.read.parquet(str(DATA / "sf0.001/documents.parquet")).select("doc_id", "text").collect()
+    want = []
+    for i, t in docs:
+        for f in kernel.findings((t or "").encode(), RULES, kernel.Config().validated()):
+            want += [(i, d["pattern"], d["text"], d["validation"]["status"], d["offset"], d["end_offset"], 0) for d in f["match_details"]]
+            want += [(i, d["pattern"], d["text"], d["validation"]["status"], x["source_offset"], x["source_end_offset"], x["depth"]) for x in f["decoded_layers"] for d in x["match_details"]]
+    got = [tuple(r) for r in catalogue.QUERIES["full_scan_observations"](spark, str(DATA / "sf0.001")).collect()]
+    assert sorted(got) == sorted(want) and want
+
+
+def test_fingerprint_is_framed(spark):
+    import hashlib
+    import struct
+
+    body = b"triagelake:patterns:v1\0" + b"".join(struct.pack("<Q", len(x.encode())) + x.encode() for r in RULES for x in (r.name, r.expression))
+    assert catalogue.QUERIES["pattern_fingerprint"](spark, "").first()[0] == hashlib.sha256(body).hexdigest()
+
+
 def test_folder_range_failure(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/short").write_bytes(b"abc")

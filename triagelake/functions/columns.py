@@ -23,6 +23,11 @@ def mime_type(content: Column) -> Column:
     return out.otherwise("Unknown")
 
 
+def mime_of(data: bytes) -> str:
+    """The same for bytes at hand."""
+    return next((kind for sign, kind in MAGIC if data.startswith(bytes.fromhex(sign))), "Unknown")
+
+
 def human_size(n: Column) -> Column:
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
     for i, unit in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB", "EiB"), 1):

@@ -89,6 +89,13 @@ class Policy:
         return not hit(self.excludes, True) and (self.max_depth is None or path.count("/") <= self.max_depth) and (not self.includes or hit(self.includes, False))
 
 
+def pruned(policy: Policy, path: str) -> bool:
+    """Whether a folder is not entered: it is excluded, or so deep that nothing below it can be taken."""
+    at = "/" + path.encode("utf-8", "surrogateescape").decode("latin-1")
+    deep = policy.max_depth is not None and path.count("/") + 1 > policy.max_depth
+    return deep or any(re.fullmatch(compile_rule(r, True), at, re.S) for r in policy.excludes)
+
+
 def decision(policy: Policy, path: Column, size: Column) -> Column:
     """The skip reason of a file, null if it is taken: exclude, then depth, include, size."""
     policy.checked()
@@ -121,5 +128,6 @@ def skip_reasons(entries: DataFrame, policy: Policy, recursive: bool = True) ->
         reason = reason.when((kind == "directory") | below, "subdirectory")
     reason = reason.when(kind == "special", "special_file")
     excluded = decision(Policy(excludes=policy.excludes), path, F.col("size"))
-    reason = reason.when(kind == "directory", F.coalesce(excluded, F.when(F.lit(not recursive), "subdirectory")))
+    deep = F.lit(False) if policy.max_depth is None else F.size(F.split(path, "/")) > policy.max_depth
+    reason = reason.when(kind == "directory", F.coalesce(excluded, F.when(deep, "selection_depth"), F.when(F.lit(not recursive), "subdirectory")))
     return entries.withColumn("reason", reason.otherwise(decision(policy, path, F.col("size"))))

@@ -10,13 +10,14 @@ import time
 import uuid
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import kernel, patterns
+from ..functions import columns, kernel, patterns
 from ..operators import indicators, journal, scan
-from ..operators.selection import Policy, skip_reasons
+from ..operators.selection import Policy, pruned, skip_reasons
 from ..sources import files
 from . import reports
 
@@ -40,7 +41,8 @@ def run(spark: SparkSession, root: str, output: str, cfg: kernel.Config | None =
     rules = patterns.load(pattern_source, list(cfg.categories))
     os.makedirs(output, exist_ok=False)
     started = int(time.time() * 1000)
-    found = skip_reasons(files.entries(spark, root, output=output, recursive=recursive or policy != Policy()), policy, recursive)
+    unread: list[tuple[str, str]] = []
+    found = skip_reasons(files.entries(spark, root, output=output, recursive=recursive, prune=lambda p: pruned(policy, p), errors=unread), policy, recursive)
     rows = found.where((F.col("kind") != "directory") | F.col("reason").isNotNull()).orderBy(F.col("path").cast("binary")).collect()
     batch = uuid.uuid4().hex
     taken = [(i, r["path"]) for i, r in enumerate(rows, 1) if r["reason"] is None]
@@ -81,11 +83,13 @@ def run(spark: SparkSession, root: str, output: str, cfg: kernel.Config | None =
         lines.append(record | {"sequence": seq, "record_type": "terminal", "outcome": outcome})
         if status == "failed":
             errors.append({"schema_version": 1, "batch_id": batch, "entry_id": i, "scope": "file", "display_path": record["display_path"], "stage": "scan", "code": reason, "message": reason})
+    for path, code in unread:
+        errors.append({"schema_version": 1, "batch_id": batch, "entry_id": None, "scope": "discovery", "display_path": path.encode("utf-8", "replace").decode(), "stage": "discovery", "code": code, "message": code})
     for name, body in (("files.jsonl", lines), ("errors.jsonl", errors)):
         Path(output, name).write_text("".join(json.dumps(x) + "\n" for x in body))
     rows_ = files.journal_rows(lines)
     counts = journal.counters(spark.createDataFrame(rows_, files.JOURNAL)).first().asDict()
-    counts |= {"discovery_errors": 0, "queued": 0, "active": 0}
+    counts |= {"discovery_errors": len(unread), "queued": 0, "active": 0}
     manifest = {
         "schema_version": 1, "batch_id": batch, "status": "complete", "discovery_complete": True, "stop_reasons": [], "started_unix_ms": started, "finished_unix_ms": int(time.time() * 1000),
         "configuration": {"recursive": recursive, "analysis": cfg.as_dict(), "patterns_sha256": patterns.fingerprint(rules, b"triagelake:patterns:v1\0")}, "counters": counts, "artifacts": {"files": "files.jsonl", "errors": "errors.jsonl", "reports": "results"},
@@ -110,11 +114,27 @@ def _outcome(path: str, rules: list, cfg: kernel.Config) -> tuple:
         body = kernel.selected(data, cfg.offset, cfg.length)
     except ValueError:
         return "failed", "input_range", None, None, None
-    strings = list(kernel.findings(data, rules, cfg)) if cfg.strings else None
+    try:
+        strings = list(kernel.findings(data, rules, cfg)) if cfg.strings else None
+    except ValueError:  # a byte order mark against the configured encoding
+        return "failed", "string_analysis", None, None, None
     cut = any(map(kernel.limited, strings or []))
     acts = None if strings is None else any(f["has_actionable_match"] or any(x["has_actionable_match"] for x in f["decoded_layers"]) for f in strings)
-    summary = {"size_bytes": len(body), "md5": hashlib.md5(body).hexdigest(), "sha256": hashlib.sha256(body).hexdigest()}
-    report = {"schema_version": 1, "file_summary": summary, "scan_range": {"offset": cfg.offset, "length": len(body), "requested_length": cfg.length}, "strings": strings, "complete": True, "processing_complete": True}
+    bins = np.bincount(np.frombuffer(body, np.uint8), minlength=256)
+    layers = [x for f in strings or [] for x in f["decoded_layers"]]
+    limits = {
+        "truncated_strings": sum(f["truncated"] for f in strings or []), "strings_with_omitted_details": sum(f["match_details_truncated"] for f in strings or []),
+        "decoded_layers_with_omitted_details": sum(x["match_details_truncated"] for x in layers),
+        "decode_limited_strings": sum(f["decode_status"] == "limit" or any(x["next_decode"] in ("byte_limit", "depth_limit") for x in f["decoded_layers"]) for f in strings or []),
+    }
+    summary = {"size_bytes": len(body), "mime_type": columns.mime_of(body), "entropy": float(scan.entropy_of(bins)[0]), "md5": hashlib.md5(body).hexdigest(), "sha256": hashlib.sha256(body).hexdigest()}
+    report = {"schema_version": 1, "file_summary": summary, "scan_range": {"offset": cfg.offset, "length": len(body), "requested_length": cfg.length}, "strings": strings, "analysis_coverage": None if strings is None else limits | {"limited": cut}, "complete": not cut, "processing_complete": True}
+    if cfg.entropy:
+        w = cfg.entropy_window
+        parts = [np.bincount(np.frombuffer(body[at : at + w], np.uint8), minlength=256) for at in range(0, len(body), w)]
+        values = scan.entropy_of(np.array(parts)).tolist() if parts else []
+        report["entropy_regions"] = [{"offset": cfg.offset + i * w, "length": int(p.sum()), "entropy": e, "high": e >= cfg.entropy_threshold} for i, (p, e) in enumerate(zip(parts, values))]
+    report["metadata"] = {"configuration": cfg.as_dict(), "patterns_sha256": patterns.fingerprint(rules, b"triagelake:patterns:v1\0")}
     return "limited" if cut else "complete", None, len(body), acts, json.dumps(report, ensure_ascii=False)
 
 

@@ -39,8 +39,11 @@ def bytes_input(spark: SparkSession, name: str, data: bytes) -> DataFrame:
     return spark.createDataFrame([(name, bytearray(data))], "input_id string, content binary")
 
 
-def discover(root: str, output: str | None = None, recursive: bool = True, prune=None) -> Iterator[tuple]:
-    """Breadth-first entries of a local folder: path, size, kind, in_output. Links are never followed; hidden files count."""
+def discover(root: str, output: str | None = None, recursive: bool = True, prune=None, errors: list | None = None) -> Iterator[tuple]:
+    """Breadth-first entries of a local folder: path, size, kind, in_output. Links are never followed; hidden files count.
+
+    ``prune(path)`` says which folders are not entered. Folders and entries that cannot be read are noted in ``errors``
+    (path, code) and passed over; without such a list they raise."""
     base = os.path.realpath(root)
     if os.path.islink(root) or not os.path.isdir(base):
         raise ValueError("the input is no folder, or a link")
@@ -50,15 +53,28 @@ def discover(root: str, output: str | None = None, recursive: bool = True, prune
     queue = deque([""])
     while queue:
         here = queue.popleft()
-        with os.scandir(os.path.join(base, here)) as found:
-            for e in found:
-                path = f"{here}/{e.name}" if here else e.name
+        try:
+            with os.scandir(os.path.join(base, here)) as listing:
+                found = sorted(listing, key=lambda e: os.fsencode(e.name))
+        except OSError:
+            if errors is None:
+                raise
+            errors.append((here, "directory_read"))
+            continue
+        for e in found:
+            path = f"{here}/{e.name}" if here else e.name
+            try:
                 info = e.stat(follow_symlinks=False)
-                kind = "link" if stat.S_ISLNK(info.st_mode) else "directory" if stat.S_ISDIR(info.st_mode) else "file" if stat.S_ISREG(info.st_mode) else "special"
-                inside = bool(out) and (e.path == out or e.path.startswith(out + os.sep))
-                yield path, info.st_size, kind, inside
-                if kind == "directory" and recursive and not inside and not (prune and prune(path)):
-                    queue.append(path)
+            except OSError:
+                if errors is None:
+                    raise
+                errors.append((path, "entry_metadata"))
+                continue
+            kind = "link" if stat.S_ISLNK(info.st_mode) else "directory" if stat.S_ISDIR(info.st_mode) else "file" if stat.S_ISREG(info.st_mode) else "special"
+            inside = bool(out) and (e.path == out or e.path.startswith(out + os.sep))
+            yield path, info.st_size, kind, inside
+            if kind == "directory" and recursive and not inside and not (prune and prune(path)):
+                queue.append(path)
 
 
 def entries(spark: SparkSession, root: str, **options) -> DataFrame:
