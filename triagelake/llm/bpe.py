@@ -59,11 +59,10 @@ def cuts(b: np.ndarray) -> np.ndarray:
     """Positions of content-defined cuts of a byte array."""
     if len(b) <= GEAR_BYTES:
         return np.empty(0, np.int64)
-    g = _GEAR[b]
-    n = len(b) - GEAR_BYTES + 1
-    h = np.zeros(n, np.uint32)
-    for j in range(GEAR_BYTES):
-        h += g[j : j + n] << np.uint32(GEAR_BYTES - 1 - j)
+    h, width = _GEAR[b], 1
+    while width < GEAR_BYTES:  # the hash of 2w bytes from those of w bytes
+        h = (h[:-width] << np.uint32(width)) + h[width:]
+        width *= 2
     return np.flatnonzero((h & np.uint32(((1 << CUT_BITS) - 1) << 4)) == 0) + GEAR_BYTES
 
 
@@ -103,6 +102,7 @@ class Coder:
         self.plain = kind["normalizer"] is None and (split.get("type"), split.get("use_regex"), split.get("add_prefix_space")) == ("ByteLevel", True, False) and not any(t[x] for t in kind["added_tokens"] for x in ("lstrip", "rstrip", "single_word", "normalized"))
         self.bytes = token_bytes(self.tokenizer)
         self.sizes = np.array([len(b) for b in self.bytes], np.int64)
+        self.flat, self.begins = np.frombuffer(b"".join(self.bytes), np.uint8), np.cumsum(self.sizes) - self.sizes
         self.guard = max([GUARD, *(len(t.content.encode()) + 1 for t in self.tokenizer.get_added_tokens_decoder().values())])
         self.cache: OrderedDict[bytes, Encoded] = OrderedDict()
         self.room = self.cache_bytes = cache_bytes
@@ -233,7 +233,10 @@ class Coder:
         return None
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace").encode()
+        size = self.sizes[ids]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begins[ids] - ends + size, size)
+        return self.flat[at].tobytes().decode("utf-8", "replace").encode()
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """(ids, decoded text) of each text."""
