@@ -415,3 +415,27 @@ def test_query_equals_sql(spark, name):
     order = [want.columns.index(c) for c in sorted(got.columns)]
     key = lambda r: tuple(str(round(x, 8)) if isinstance(x, float) else str(x) for x in r)
     assert sorted(map(key, rows)) == sorted(key(tuple(r[i] for i in order)) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["batch_index"])
+def test_every_match_of_long_strings(spark, tmp_path, name):
+    """Strings with more matches than a report keeps, and of more bytes than it scans, against the SQL."""
+    import duckdb
+
+    many = ", ".join(f"10.{i // 250}.{i % 250}.7" for i in range(1500))
+    texts = [(1, many), (2, "x" * (1 << 20) + " 10.0.0.9"), (3, "ä 10.0.0.9: ß\n10.0.0.9"), (4, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, many)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(1, 0, "10.0.0.9")], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = catalogue.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(catalogue.SQL[name])
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_places_in_strings_with_many_matches():
+    text = "é 10.0.0.1 ß 10.0.0.2 10.0.0.3"
+    rows = kernel.find_matches(text, 5, "UTF-8", only("ip_address"))["match_details"]
+    assert [text.encode()[d["offset"] - 5 : d["end_offset"] - 5].decode() for d in rows] == ["10.0.0.1", "10.0.0.2", "10.0.0.3"]
