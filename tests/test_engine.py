@@ -417,7 +417,7 @@ def test_query_equals_sql(spark, name):
     assert sorted(map(key, rows)) == sorted(key(tuple(r[i] for i in order)) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["batch_index", "match_ip"])
+@pytest.mark.parametrize("name", ["batch_index", "match_ip", "validate_ip_neighbors"])
 def test_every_match_of_long_strings(spark, tmp_path, name):
     """Strings with more matches than a report keeps, and of more bytes than it scans, against the SQL."""
     import duckdb
