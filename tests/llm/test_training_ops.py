@@ -658,3 +658,24 @@ def test_pipeline_stages_take_awkward_and_empty_tables(spark, odd, none):
             rows = out.collect()
             assert name == "tokens" or out.columns == docs.columns
             assert docs is odd or rows == []
+
+
+def test_components_of_few_links_take_few_jobs(spark, tmp_path):
+    """One task unites them, with the labels of the shuffled way and of a plain union."""
+    rnd = np.random.default_rng(2)
+    pairs = [(int(a), int(b)) for a, b in rnd.integers(-(2**62), 2**62, 400)[rnd.integers(0, 400, (300, 2))]] + [(i, i + 1) for i in range(50)] + [(7, 7)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    edges.write.parquet(str(tmp_path / "edges"))
+    edges = spark.read.parquet(str(tmp_path / "edges"))
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    got = {tuple(r) for r in near_dedup.components(edges, str(tmp_path / "one")).collect()}
+    assert len(set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before) <= 5
+    root = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in root:
+        for a, b in pairs:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert got == set(root.items())
+    assert got == {tuple(r) for r in near_dedup.components(edges, str(tmp_path / "many"), one_task=0).collect()}
+    none = spark.createDataFrame([], "a long, b long")
+    assert near_dedup.components(none, str(tmp_path / "none")).count() == 0

@@ -13,7 +13,9 @@ their similarity. Bands of coordinates then join.
    centre (smallest id) it shares most bands with; the links found are united into classes.
 3. In buckets that still hold more than one class, members of different classes are compared
    exactly, in tiles of at most ``TILE`` members; only links that unite classes are emitted.
-4. Classes are the connected components, found by min-label propagation with pointer jumping.
+4. Classes are the connected components. Up to ``ONE_TASK`` links (16 bytes each) are united by one task, as each
+   shuffle of many small steps costs the driver a thread and memory; more are united by min-label propagation with
+   pointer jumping, shuffled.
 
 No group is gathered beyond a tile, no list of pairs within a class is emitted, and no link
 between different texts of a bucket is lost; a pair at 0.8 shares none of the 24 bands of 6
@@ -41,6 +43,8 @@ from .common import prepare, read, save, scratch
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 6
 TILE, TILE_UNITS = 1024, 4_000_000
+#: Most links that one task unites; more are shuffled.
+ONE_TASK = 2_000_000
 #: Documents sketched together, and about how many of their shingles.
 GROUP_DOCS, GROUP_SHINGLES = 128, 50_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -227,9 +231,35 @@ def _tiles(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
-def components(edges: DataFrame, folder: str) -> DataFrame:
-    """(id, label) of every node of edges (a, b); label is the smallest id of its component."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct()
+def united(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links (ascending) and the smallest node of each one's component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(i):
+        x, y = root[i], root[j]
+        apart = x != y
+        i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    return nodes, nodes[root]
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+    a, b = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)]) for k in (0, 1))
+    nodes, labels = united(a, b)
+    for k in range(0, len(nodes), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[k : k + (1 << 16)]), pa.array(labels[k : k + (1 << 16)])], names=["id", "label"])
+
+
+def components(edges: DataFrame, folder: str, one_task: int = ONE_TASK) -> DataFrame:
+    """(id, label) of every node of edges (a, b), a written table; label is the smallest id of its component."""
+    edges = edges.where(F.col("a") != F.col("b"))
+    if edges.count() <= one_task:
+        return save(edges.select("a", "b").coalesce(1).mapInArrow(_united, "id long, label long"), f"{folder}/labels")
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = save(both, f"{folder}/edges")
     labels = save(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("label")), f"{folder}/labels-0")
     turn = 0
