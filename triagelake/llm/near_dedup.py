@@ -13,9 +13,8 @@ their similarity. Bands of coordinates then join.
    centre (smallest id) it shares most bands with; the links found are united into classes.
 3. In buckets that still hold more than one class, members of different classes are compared
    exactly, in tiles of at most ``TILE`` members; only links that unite classes are emitted.
-4. Classes are the connected components. Up to ``ONE_TASK`` links (16 bytes each) are united by one task, as each
-   shuffle of many small steps costs the driver a thread and memory; more are united by min-label propagation with
-   pointer jumping, shuffled.
+4. Classes are the connected components. Up to ``ONE_TASK`` links (16 bytes each) are united by one task,
+   which takes the driver fewer jobs and threads; more are united by min-label propagation with pointer jumping.
 
 No group is gathered beyond a tile, no list of pairs within a class is emitted, and no link
 between different texts of a bucket is lost; a pair at 0.8 shares none of the 24 bands of 6
