@@ -509,6 +509,26 @@ def test_lm_gradients():
             assert (up - down) / 2e-4 == pytest.approx(own, abs=2e-5), name
 
 
+def test_lm_counts_words_where_it_cuts_pieces():
+    texts = [t for _, t in awkward()] + ["\u00c9 \u00c0B\x1cc\x1d d\x85e \x0b\x0cA\x00B", " \r\n", "\u0130 I K \u3000 i"]
+    batch = pa.RecordBatch.from_pydict({"k": list(range(len(texts))), "t": texts})
+    want = Counter(w for t in texts for w in [*lm_score.words_of(t), lm_score.END])
+    sub = lm_score.subwords(lm_score.default_ranks())
+    for most, step in ((10**6, 100), (100, 7)):  # one vocabulary, or a new one whenever it is full
+        run = lm_score._pieces(lm_score.default_ranks(), True, most)
+        rows = [r for b in run(iter([batch.slice(i, step) for i in range(0, len(texts), step)])) for r in b.to_pylist()]
+        got = Counter()
+        for r in rows:
+            if r["turn"] < 0:
+                got[r["ids"]] += r["n"]
+        assert got == want
+        for k, t in enumerate(texts):
+            own = sorted((r["turn"], r["ids"]) for r in rows if r["turn"] >= 0 and r["key"] == k)
+            ids = np.concatenate([np.frombuffer(x, "<u2")[lm_score.OVERLAP + 1 :] for _, x in own])
+            assert ids.tolist() == [*sub.encode(lm_score.words_of(t))[0].tolist(), lm_score.END_ID]
+    assert [len(b) for b in lm_score._pieces(lm_score.default_ranks(), True)(iter([]))] == []
+
+
 def test_lm_fits_on_every_window(spark, odd, tmp_path):
     sub = lm_score.subwords(lm_score.default_ranks())
     texts = [np.append(sub.encode(lm_score.words_of(t))[0], lm_score.END_ID) for _, t in awkward()]

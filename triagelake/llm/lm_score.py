@@ -30,17 +30,18 @@ from __future__ import annotations
 
 import base64
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, prepare, read, save, scratch
+from .common import WHITE, crc_of_id, prepare, read, save, scratch
 
 WINDOW, OVERLAP, WIDTH = 16, 4, 16
 GROUPS, SIZE = 16, 16
@@ -122,19 +123,31 @@ def by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return group, np.append(0, np.cumsum(np.bincount(group, minlength=GROUPS))).tolist(), order
 
 
+def steady(z: np.ndarray) -> np.ndarray:
+    """Takes its largest entry off each row, if any entry of z is too large or too small for the exponential."""
+    if z.size and not (z.max() < 60 and z.min() > -60):
+        z -= z.max(1, keepdims=True)
+    return z
+
+
+def shares(s: np.ndarray) -> np.ndarray:
+    """Makes the shares of attention, up to a factor, of their logs."""
+    if s.size and not s.max() < 60:
+        np.minimum(s, 60.0, out=s)
+    return np.exp(s, out=s)
+
+
 def log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The log softmax of z (overwritten) at one column of each row."""
-    z -= z.max(1, keepdims=True)
-    hit = z[np.arange(len(z)), at]
+    hit = np.take(steady(z), np.arange(0, z.size, z.shape[1]) + at)
     return hit - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
 
 
 def _loss(z: np.ndarray, at: np.ndarray, weight: np.ndarray) -> None:
     """Turns logits into the gradient of the weighted log loss by them."""
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
+    np.exp(steady(z), out=z)
     z *= (weight / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
-    z[np.arange(len(z)), at] -= weight
+    z.reshape(-1)[np.arange(0, z.size, z.shape[1]) + at] -= weight
 
 
 class Model:
@@ -224,11 +237,23 @@ class Model:
         self.ready, self.meet, self.place, self.out = w["E"], w["m"], w["P"], w["g"][d:]
         self.by_place = self.place[OVERLAP:] @ w["g"][:d] + w["b"]
         self.by_id = self.after_group + self.ready @ w["g"][:d]
-        self.inner, self.shift = w["y"], w["c"]
+        self.inner, self.by_turn = np.ascontiguousarray(w["y"][:, d:]), (np.einsum("sd,gdk->sgk", self.place[OVERLAP:], w["y"][:, :d]) + w["c"]).reshape(-1, SIZE)
+        self.late, self.by_last = w["y"][:, :d], None
         self.w = self.after_group = None
         self.numbers: Numbers | None = None
         return self
 
+    def widen(self) -> np.ndarray:
+        """What the logits within groups owe to the last id alone, a row for each id and group; made where it is read, as it
+        is twice as large as what is sent."""
+        if self.by_last is None:
+            self.by_last = self.after.astype(np.float32).reshape(-1, SIZE)
+            flat = np.ascontiguousarray(self.late.transpose(1, 0, 2)).reshape(WIDTH, CLASSES)
+            for at in range(0, IDS, 4096):
+                self.by_last[at * GROUPS : (at + 4096) * GROUPS] += (self.ready[at : at + 4096] @ flat).reshape(-1, SIZE)
+            self.after = None
+        return self.by_last
+
     def know(self, sub: Subwords, words: list[bytes], counts: np.ndarray, n_ends: int, n_all: int) -> None:
         """A worker's tables of the frequent words, by number: base logs, shares, ids and log probability within classes."""
         self.numbers = Numbers(zip(words, range(len(words))))
@@ -292,32 +317,33 @@ class Model:
         ok = (turn * step)[:, None] + np.arange(step) < lengths[whose][:, None]
         return flat[at], flat[at[:, OVERLAP:] + 1], ok, whose
 
-    def score(self, docs: list[np.ndarray], block: int = 128) -> np.ndarray:
+    def score(self, docs: list[np.ndarray], block: int = 384) -> np.ndarray:
         """Natural log probability of the class of every id of the sequences (each ends with END), in a row."""
         ins, outs, ok, _ = self.windows(docs)
         step, d = WINDOW - OVERLAP, WIDTH
-        ones, mask = np.ones(WINDOW, np.float32), self.mask[OVERLAP:]
+        ones, mask, by_last = np.ones(WINDOW, np.float32), self.mask[OVERLAP:], self.widen()
         got = np.empty((len(ins), step), np.float32)
+        turns = np.tile(np.arange(step) * GROUPS, min(block, len(ins)))
         for i in range(0, len(ins), block):
             ids = ins[i : i + block]
             x = np.take(self.ready, ids, 0)
             x += self.place
-            late = x[:, OVERLAP:].reshape(-1, d)
-            s = (late @ self.meet).reshape(len(ids), step, d) @ x.transpose(0, 2, 1)
+            s = (x[:, OVERLAP:].reshape(-1, d) @ self.meet).reshape(len(ids), step, d) @ x.transpose(0, 2, 1)
             s += mask
-            np.exp(np.minimum(s, 60.0, out=s), out=s)
-            h = s @ x
-            h /= (s @ ones)[:, :, None]
-            h = h.reshape(-1, d)
+            shares(s)
+            h = (s @ x).reshape(-1, d)
+            h /= (s.reshape(-1, WINDOW) @ ones)[:, None]
             last, target = ids[:, OVERLAP:].ravel(), np.take(self.of, outs[i : i + block].ravel())
             u = h @ self.out
             u.reshape(-1, step, GROUPS)[:] += self.by_place
             u += np.take(self.by_id, last, 0)
             group, edge, order = by_group(target)
-            state = np.concatenate([np.take(late, order, 0), np.take(h, order, 0)], 1)
-            z = np.take(self.after.reshape(-1, SIZE), np.take(last * GROUPS + group, order), 0).astype(np.float32)
+            z = np.take(by_last, np.take(last * GROUPS + group, order), 0)
+            z += np.take(self.by_turn, np.take(turns[: len(group)] + group, order), 0)
+            state, inner = np.take(h, order, 0), np.empty_like(z)
             for k in range(GROUPS):
-                z[edge[k] : edge[k + 1]] += state[edge[k] : edge[k + 1]] @ self.inner[k] + self.shift[k]
+                np.matmul(state[edge[k] : edge[k + 1]], self.inner[k], out=inner[edge[k] : edge[k + 1]])
+            z += inner
             hit = log_share(u, group)
             hit[order] += log_share(z, np.take(target, order) % SIZE)
             got[i : i + block] = hit.reshape(-1, step)
@@ -338,62 +364,74 @@ class Model:
                 rows = moved.pop("rows")
                 for n, g in moved.items():
                     at = rows if n == "E" else ...
-                    m[n][at] += 0.1 * (g - m[n][at])
-                    v[n][at] += 0.01 * (g * g - v[n][at])
-                    self.w[n][at] -= rate * (m[n][at] / (1 - 0.9**t)) / (np.sqrt(v[n][at] / (1 - 0.99**t)) + 1e-8)
+                    a, b = m[n][at], v[n][at]  # of "E" these are copies
+                    a += 0.1 * (g - a)
+                    b += 0.01 * (g * g - b)
+                    if n == "E":
+                        m[n][at], v[n][at] = a, b
+                    self.w[n][at] -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)
 
     def gradients(self, ids: np.ndarray, targets: np.ndarray, ok: np.ndarray | None = None) -> dict[str, np.ndarray]:
         """Of the mean loss of the targets (those that are ok) of the last places of each window; "E" only for the ids in ``rows``."""
-        w, d, step = self.w, WIDTH, targets.shape[1]
-        wide, late = (len(ids), WINDOW, d), (len(ids), step, d)
+        w, d, step, kind = self.w, WIDTH, targets.shape[1], self.w["E"].dtype
+        weight = np.ones(targets.size, kind) if ok is None else ok.ravel().astype(kind)
+        weight /= max(1.0, weight.sum())
+        if self.after.dtype != kind:  # what is sent has half the width
+            self.after = self.after.astype(kind)
+        # biases stand below the weights, as those of a last entry of the state that is 1
+        out, inner = np.vstack([w["g"], w["b"]]), np.concatenate([w["y"], w["c"][:, None]], 1)
+        turned = np.ascontiguousarray(w["y"].transpose(0, 2, 1))
         x = np.take(w["E"], ids, 0)
         x += w["P"]
-        last = x[:, WINDOW - step :].reshape(-1, d)
-        q = (last @ w["m"]).reshape(late)
+        late = x[:, WINDOW - step :]
+        state = np.empty((len(ids), step, 2 * d + 1), kind)
+        state[:, :, :d], state[:, :, 2 * d] = late, 1
+        # shares and queries each stand beside what meets them on the way back: [s, ds] and [dh, q]; shares are not divided by
+        # their sums, H and dh are
+        both, met = np.empty((len(ids), 2 * step, WINDOW), kind), np.empty((len(ids), 2 * step, d), kind)
+        ds, dh, q = both[:, step:], met[:, :step], met[:, step:]
+        q[:] = (late.reshape(-1, d) @ w["m"]).reshape(q.shape)
         s = q @ x.transpose(0, 2, 1)
         s += self.mask[WINDOW - step :]
-        np.exp(np.minimum(s, 60.0, out=s), out=s)
-        s /= (s @ np.ones(WINDOW, s.dtype))[:, :, None]
-        state = np.concatenate([last, (s @ x).reshape(-1, d)], 1)
+        both[:, :step] = shares(s)
+        sums = (s.reshape(-1, WINDOW) @ np.ones(WINDOW, kind)).reshape(len(ids), step, 1)
+        h = s @ x
+        h /= sums
+        state[:, :, d : 2 * d] = h
+        state = state.reshape(-1, 2 * d + 1)
         before, target = ids[:, WINDOW - step :].ravel(), np.take(self.of, targets.ravel())
         group, edge, order = by_group(target)
-        weight = np.ones(len(target), state.dtype) if ok is None else ok.ravel().astype(state.dtype)
-        weight /= max(1.0, weight.sum())
-        p = state @ w["g"]
-        p += w["b"]
+        p = state @ out
         p += np.take(self.after_group, before, 0)
         _loss(p, group, weight)
-        back = p @ w["g"].T
-        g = {"g": state.T @ p, "b": p.sum(0), "y": np.zeros_like(w["y"]), "c": np.zeros_like(w["c"])}
+        back = p @ out[:-1].T
+        g_out, g_inner = state.T @ p, np.zeros_like(inner)
         sorted_ = np.take(state, order, 0)
-        z = np.take(self.after.reshape(-1, SIZE), np.take(before * GROUPS + group, order), 0).astype(state.dtype)
+        z = np.empty((len(order), SIZE), kind)
         parts = [(n, slice(edge[n], edge[n + 1])) for n in range(GROUPS) if edge[n + 1] > edge[n]]
         for n, part in parts:
-            z[part] += sorted_[part] @ w["y"][n] + w["c"][n]
+            np.matmul(sorted_[part], inner[n], out=z[part])
+        z += np.take(self.after.reshape(-1, SIZE), np.take(before * GROUPS + group, order), 0)
         _loss(z, np.take(target, order) % SIZE, np.take(weight, order))
-        turned, inner = np.ascontiguousarray(w["y"].transpose(0, 2, 1)), np.empty_like(sorted_)
+        within = np.empty((len(order), 2 * d), kind)
         for n, part in parts:
-            g["y"][n], g["c"][n] = sorted_[part].T @ z[part], z[part].sum(0)
-            np.matmul(z[part], turned[n], out=inner[part])
+            np.matmul(sorted_[part].T, z[part], out=g_inner[n])
+            np.matmul(z[part], turned[n], out=within[part])
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        back += np.take(inner, place, 0)
-        dh = back[:, d:].reshape(late)
-        ds = dh @ x.transpose(0, 2, 1)
-        ds -= np.einsum("bsw,bsw->bs", ds, s)[:, :, None]
+        back += np.take(within, place, 0)
+        np.divide(back[:, d:].reshape(dh.shape), sums, out=dh)
+        np.matmul(dh, x.transpose(0, 2, 1), out=ds)
+        ds -= np.einsum("bsd,bsd->bs", dh, h)[:, :, None]
         ds *= s
-        dx = s.transpose(0, 2, 1) @ dh
-        dx += ds.transpose(0, 2, 1) @ q
-        dq = (ds @ x).reshape(-1, d)
-        g["m"] = last.T @ dq
-        dx[:, WINDOW - step :] += (back[:, :d] + dq @ w["m"].T).reshape(late)
-        g["P"] = dx.sum(0)
+        dx, dq = both.transpose(0, 2, 1) @ met, (ds @ x).reshape(-1, d)
+        dx[:, WINDOW - step :] += (back[:, :d] + dq @ w["m"].T).reshape(q.shape)
         key = ids.ravel().astype(np.uint16)
         by = np.argsort(key, kind="stable")  # a radix sort
         key = np.take(key, by)
         edge = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
-        g["rows"], g["E"] = key[edge].astype(np.int64), np.add.reduceat(np.take(dx.reshape(-1, d), by, 0), edge)
-        return g
+        g = {"P": dx.sum(0), "m": state[:, :d].T @ dq, "g": g_out[:-1], "b": g_out[-1], "y": g_inner[:, :-1], "c": g_inner[:, -1]}
+        return g | {"rows": key[edge].astype(np.int64), "E": np.add.reduceat(np.take(dx.reshape(-1, d), by, 0), edge)}
 
     def flat(self) -> np.ndarray:
         return np.concatenate([a.ravel() for a in self.w.values()]).astype(np.float32)
@@ -424,22 +462,6 @@ def _least(counts: DataFrame, most: int, cells: int = 4096) -> int:
     return high
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(words_of(text))
-            counts[END] += 1
-            if len(counts) > 400_000:
-                yield out()
-                counts = Counter()
-    yield out()
-
-
 def _count_pairs(path: str):
     """Counts of (id, next id) within the words of a vocabulary; -1 stands before a word and -2 after it."""
 
@@ -466,39 +488,73 @@ def _count_pairs(path: str):
     return run
 
 
-def sequences(sub: Subwords, texts: list[list[bytes]]) -> list[np.ndarray]:
-    """The ids of each text, closed by END_ID; each distinct word is encoded once."""
-    numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
-    sizes = np.array(list(map(len, texts)), np.int64)
-    at = np.fromiter(map(numbers.__getitem__, chain.from_iterable(texts)), np.int64, sizes.sum())
-    ids, begin = sub.encode(list(numbers))
-    begin = np.append(begin, len(ids)) if numbers else np.zeros(1, np.int64)
-    long = begin[at + 1] - begin[at]
-    ends = np.append(0, np.cumsum(long))
-    flat = np.take(ids, np.repeat(begin[at] - ends[:-1], long) + np.arange(ends[-1]))
-    edge = ends[np.append(0, np.cumsum(sizes))]
-    return [np.append(flat[a:b], np.uint16(END_ID)) for a, b in zip(edge, edge[1:])]
+class Vocabulary:
+    """The words of some texts with their ids, each encoded once, and their counts."""
+
+    def __init__(self, sub: Subwords):
+        self.sub, self.numbers = sub, defaultdict(count().__next__)
+        self.ids, self.begin, self.counts, self.texts = np.zeros(0, np.uint16), np.zeros(1, np.int64), np.zeros(0, np.int64), 0
+
+    def sequences(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, closed by END_ID."""
+        texts, old = pc.ascii_trim(pc.ascii_lower(pc.fill_null(texts, "")), WHITE), len(self.numbers)
+        split = pc.ascii_split_whitespace(texts)
+        words, some = split.flatten().cast(pa.binary()), pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.list_value_length(split).to_numpy().astype(np.int64) * some
+        words = (words if some.all() else words.filter(pc.greater(pc.binary_length(words), 0))).dictionary_encode()
+        own = words.dictionary.to_numpy(zero_copy_only=False)
+        at = np.take(np.fromiter(map(self.numbers.__getitem__, own), np.int64, len(own)), words.indices.to_numpy())
+        ids, begin = self.sub.encode(list(islice(self.numbers, old, None)))
+        self.begin = np.concatenate([self.begin[:-1], begin[: len(self.numbers) - old] + len(self.ids), [len(self.ids) + len(ids)]])
+        self.ids = np.append(self.ids, ids)
+        more = np.bincount(at, minlength=len(self.numbers))
+        more[:old] += self.counts
+        self.counts, self.texts = more, self.texts + len(texts)
+        first = np.take(self.begin, at)
+        long = np.take(self.begin, at + 1) - first
+        ends = np.append(0, np.cumsum(long))
+        flat = np.take(self.ids, np.repeat(first - ends[:-1], long) + np.arange(ends[-1]))
+        edge = ends[np.append(0, np.cumsum(sizes))]
+        return [np.append(flat[a:b], np.uint16(END_ID)) for a, b in zip(edge, edge[1:])]
 
 
-def _pieces(path: str):
-    """Pieces of texts: the ids of up to PIECE targets, after the OVERLAP + 1 ids before them, with their number in the text."""
+def _pieces(path: str, counted: bool = False, most: int = 400_000):
+    """Pieces of texts: the ids of up to PIECE targets, after the OVERLAP + 1 ids before them, with their number in the text.
+    Counted: also rows of a word in place of ids and its count, with the turn -1; a word has several, one for each ``most`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sub, before = subwords(path), np.full(OVERLAP + 1, END_ID, "<u2")
+        before, known = np.full(OVERLAP + 1, END_ID, "<u2"), Vocabulary(subwords(path))
+        batch_of = lambda *parts: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(parts, (pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names=["key", "turn", "ids", "n"])
+        words = lambda: batch_of(np.zeros(len(known.numbers) + 1, np.int64), np.full(len(known.numbers) + 1, -1), [*known.numbers, END], np.append(known.counts, known.texts))
         for batch in batches:
             rows, sizes, keys, turns = [], [], [], []
-            for key, ids in zip(batch.column(0).to_pylist(), sequences(sub, [words_of(t) for t in batch.column(1).to_pylist()])):
-                ids = np.append(before, ids).astype("<u2")
-                for i in range(0, len(ids) - OVERLAP - 1, PIECE):
-                    rows.append(ids[i : i + OVERLAP + 1 + PIECE].tobytes())
+            for key, ids in zip(batch.column(0).to_pylist(), known.sequences(batch.column(1))):
+                ids = np.append(before, ids).astype("<u2", copy=False).tobytes()
+                for i in range(0, len(ids) // 2 - OVERLAP - 1, PIECE):
+                    rows.append(ids[2 * i : 2 * (i + OVERLAP + 1 + PIECE)])
                     sizes.append(len(rows[-1]) // 2 - OVERLAP - 1)
                     keys.append(key)
                     turns.append(i)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (keys, turns)), pa.array(rows, pa.binary()), pa.array(sizes, pa.int64())], names=["key", "turn", "ids", "n"])
+            yield batch_of(keys, turns, rows, sizes)
+            if len(known.numbers) > most:
+                if counted:
+                    yield words()
+                known = Vocabulary(subwords(path))
+        if counted and known.texts:
+            yield words()
 
     return run
 
 
+def _deal(train: DataFrame, path: str, folder: str, counted: bool = False) -> DataFrame:
+    """Writes the pieces of all texts (rows of an id and a text), by their rounds; what is counted has the round -1."""
+    keyed = train.select(F.xxhash64(F.lit("lm-deal"), F.col(train.columns[0])), train.columns[1])
+    table = keyed.mapInArrow(_pieces(path, counted), "key long, turn long, ids binary, n long").select(F.when(F.col("turn") < 0, 0).otherwise(F.xxhash64("key", "turn", "ids")).alias("hash"), "ids", "n", "turn")
+    table = table.withColumn("round", F.when(F.col("turn") < 0, -1).otherwise(F.pmod("hash", F.lit(len(ROUNDS)))).cast("int")).drop("turn")
+    table.write.partitionBy("round").parquet(f"{folder}/pieces")
+    return train.sparkSession.read.schema(table.schema).parquet(f"{folder}/pieces")
+
+
 def piece_windows(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, targets of the places from OVERLAP on, and which of these are ids of the text: every target of the pieces once."""
     step, before = WINDOW - OVERLAP, OVERLAP + 1
@@ -513,13 +569,11 @@ def piece_windows(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return flat[at], flat[at[:, OVERLAP:] + 1], turn[:, None] + np.arange(step) < sizes[whose][:, None]
 
 
-def fit_all(train: DataFrame, model: Model, path: str, folder: str) -> int:
-    """Fits the weights on every window of all texts (rows of an id and a text); the number of targets."""
+def fit_all(train: DataFrame, model: Model, path: str, folder: str, table: DataFrame | None = None) -> int:
+    """Fits the weights on every window of all texts (rows of an id and a text; table: their pieces, if written); the number
+    of targets."""
     spark = train.sparkSession
-    keyed = train.select(F.xxhash64(F.lit("lm-deal"), F.col(train.columns[0])), train.columns[1])
-    table = keyed.mapInArrow(_pieces(path), "key long, turn long, ids binary, n long").select(F.xxhash64("key", "turn", "ids").alias("hash"), "ids", "n").withColumn("round", F.pmod("hash", F.lit(len(ROUNDS))).cast("int"))
-    table.write.partitionBy("round").parquet(f"{folder}/pieces")
-    table = spark.read.schema(table.schema).parquet(f"{folder}/pieces")
+    table = (_deal(train, path, folder) if table is None else table).where("round >= 0")
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, round(total / len(ROUNDS) / SHARD))
     begun = spark.sparkContext.broadcast(model)
@@ -561,8 +615,9 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     prepare(spark)
     path, folder = ranks or default_ranks(), scratch(spark, "lm")
-    train = docs.where(learn)
-    counted = train.select(text_col).mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    train = docs.where(learn).select(id_col, text_col)
+    pieces = _deal(train, path, folder, counted=True)
+    counted = pieces.where("round = -1").groupBy(F.col("ids").alias("word")).agg(F.sum("n").alias("n"))
     vocabulary = save(counted, f"{folder}/words")
     short, is_end = F.octet_length("word") < 64, F.col("word") == F.lit(END)
     totals = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(is_end, F.col("n"))), F.lit(0))).first()
@@ -587,7 +642,7 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     from_n = _least(inner, most_pairs)
     model.within(columns(inner.where(F.col("n") >= from_n), "ijn"), found[found[:, 1] >= 0], from_n > 1)
     del found
-    fit_all(train.select(id_col, text_col), model, path, folder)
+    fit_all(train, model, path, folder, pieces)
     shared = spark.sparkContext.broadcast((frequent, model.freeze()))
     end_log = float(np.log10(n_ends + 1))
     others = [f for f in docs.schema if f.name != text_col and f.name.lower() not in NEW]
@@ -605,7 +660,7 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
                 texts.append(words_of(text))
                 tokens.append(len(texts[-1]) + 1)
                 held += tokens[-1]
-                if held > 1 << 15:
+                if held > 1 << 16:
                     done.append((len(tokens) - len(texts), *lm.block(sub, texts)))
                     texts, held = [], 0
             if texts:
