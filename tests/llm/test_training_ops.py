@@ -509,6 +509,15 @@ def test_lm_gradients():
             assert (up - down) / 2e-4 == pytest.approx(own, abs=2e-5), name
 
 
+def test_lm_gradients_of_16_bit_ids():
+    rng = np.random.default_rng(1)
+    m = trained(rng)
+    ids, out = rng.integers(0, lm_score.IDS, (40, lm_score.WINDOW)), rng.integers(0, lm_score.IDS, (40, lm_score.WINDOW - lm_score.OVERLAP))
+    want, got = m.gradients(ids, out), m.gradients(ids.astype(np.uint16), out.astype(np.uint16))  # as piece_windows has them
+    for n in want:
+        assert got[n] == pytest.approx(want[n], abs=1e-6), n
+
+
 def test_lm_counts_words_where_it_cuts_pieces():
     texts = [t for _, t in awkward()] + ["\u00c9 \u00c0B\x1cc\x1d d\x85e \x0b\x0cA\x00B", " \r\n", "\u0130 I K \u3000 i"]
     batch = pa.RecordBatch.from_pydict({"k": list(range(len(texts))), "t": texts})

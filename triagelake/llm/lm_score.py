@@ -123,6 +123,13 @@ def by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return group, np.append(0, np.cumsum(np.bincount(group, minlength=GROUPS))).tolist(), order
 
 
+def pairs_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a and b by turns."""
+    out = np.empty(2 * len(a), np.int64)
+    out[::2], out[1::2] = a, b
+    return out
+
+
 def steady(z: np.ndarray) -> np.ndarray:
     """Takes its largest entry off each row, if any entry of z is too large or too small for the exponential."""
     if z.size and not (z.max() < 60 and z.min() > -60):
@@ -175,6 +182,7 @@ class Model:
         self.w["m"] = self.w["m"].astype(np.float32)
         self.follow(np.zeros((0, 3), np.int64), np.zeros(CLASSES))
         self.within(np.zeros((0, 3), np.int64), np.zeros((0, 3), np.int64))
+        self.both: np.ndarray | None = None
         self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
     def follow(self, pairs: np.ndarray, starts: np.ndarray, strength: float = 20.0) -> None:
@@ -191,6 +199,7 @@ class Model:
         self.after_group = np.log(groups / groups.sum(1, keepdims=True))
         for at in range(0, IDS, 4096):
             table[at : at + 4096] /= np.repeat(groups[at : at + 4096], SIZE, 1)
+        self.both = None
         self.after = np.log(table, out=table).astype(np.float16).reshape(IDS, GROUPS, SIZE)
 
     def within(self, pairs: np.ndarray, totals: np.ndarray, rest: bool = False) -> None:
@@ -234,24 +243,25 @@ class Model:
         """Makes the tables that scoring reads in place of the weights: what the logits of groups owe to an id or a place
         alone is added up beforehand."""
         w, d = self.w, WIDTH
-        self.ready, self.meet, self.place, self.out = w["E"], w["m"], w["P"], w["g"][d:]
-        self.by_place = self.place[OVERLAP:] @ w["g"][:d] + w["b"]
+        self.ready, self.meet, self.place = w["E"], w["m"], w["P"]
+        # rows for groups, then rows for classes in each group
         self.by_id = self.after_group + self.ready @ w["g"][:d]
-        self.inner, self.by_turn = np.ascontiguousarray(w["y"][:, d:]), (np.einsum("sd,gdk->sgk", self.place[OVERLAP:], w["y"][:, :d]) + w["c"]).reshape(-1, SIZE)
+        self.by_turn = np.concatenate([self.place[OVERLAP:] @ w["g"][:d] + w["b"], (np.einsum("sd,gdk->sgk", self.place[OVERLAP:], w["y"][:, :d]) + w["c"]).reshape(-1, SIZE)])
+        self.out = np.concatenate([np.broadcast_to(w["g"][d:], (GROUPS, d, GROUPS)), w["y"][:, d:]], 2)
         self.late, self.by_last = w["y"][:, :d], None
-        self.w = self.after_group = None
+        self.w = self.after_group = self.both = None
         self.numbers: Numbers | None = None
         return self
 
     def widen(self) -> np.ndarray:
-        """What the logits within groups owe to the last id alone, a row for each id and group; made where it is read, as it
-        is twice as large as what is sent."""
+        """What logits owe to the last id alone: a row for the groups after each id, then a row for each id and group; made
+        where it is read, as it is twice as large as what is sent."""
         if self.by_last is None:
-            self.by_last = self.after.astype(np.float32).reshape(-1, SIZE)
-            flat = np.ascontiguousarray(self.late.transpose(1, 0, 2)).reshape(WIDTH, CLASSES)
+            self.by_last = np.concatenate([self.by_id, self.after.reshape(-1, SIZE)], dtype=np.float32)
+            flat, within = np.ascontiguousarray(self.late.transpose(1, 0, 2)).reshape(WIDTH, CLASSES), self.by_last[IDS:]
             for at in range(0, IDS, 4096):
-                self.by_last[at * GROUPS : (at + 4096) * GROUPS] += (self.ready[at : at + 4096] @ flat).reshape(-1, SIZE)
-            self.after = None
+                within[at * GROUPS : (at + 4096) * GROUPS] += (self.ready[at : at + 4096] @ flat).reshape(-1, SIZE)
+            self.after = self.by_id = None
         return self.by_last
 
     def know(self, sub: Subwords, words: list[bytes], counts: np.ndarray, n_ends: int, n_all: int) -> None:
@@ -323,7 +333,7 @@ class Model:
         step, d = WINDOW - OVERLAP, WIDTH
         ones, mask, by_last = np.ones(WINDOW, np.float32), self.mask[OVERLAP:], self.widen()
         got = np.empty((len(ins), step), np.float32)
-        turns = np.tile(np.arange(step) * GROUPS, min(block, len(ins)))
+        turns = np.tile(np.arange(step), min(block, len(ins)))
         for i in range(0, len(ins), block):
             ids = ins[i : i + block]
             x = np.take(self.ready, ids, 0)
@@ -334,18 +344,17 @@ class Model:
             h = (s @ x).reshape(-1, d)
             h /= (s.reshape(-1, WINDOW) @ ones)[:, None]
             last, target = ids[:, OVERLAP:].ravel(), np.take(self.of, outs[i : i + block].ravel())
-            u = h @ self.out
-            u.reshape(-1, step, GROUPS)[:] += self.by_place
-            u += np.take(self.by_id, last, 0)
             group, edge, order = by_group(target)
-            z = np.take(by_last, np.take(last * GROUPS + group, order), 0)
-            z += np.take(self.by_turn, np.take(turns[: len(group)] + group, order), 0)
-            state, inner = np.take(h, order, 0), np.empty_like(z)
+            target, group, last, turn = (np.take(a, order) for a in (target, group, last, turns[: len(order)]))
+            # the logits of groups, then of the classes in the target's group
+            z, state = np.empty((len(order), GROUPS + SIZE), np.float32), np.take(h, order, 0)
             for k in range(GROUPS):
-                np.matmul(state[edge[k] : edge[k + 1]], self.inner[k], out=inner[edge[k] : edge[k + 1]])
-            z += inner
-            hit = log_share(u, group)
-            hit[order] += log_share(z, np.take(target, order) % SIZE)
+                np.matmul(state[edge[k] : edge[k + 1]], self.out[k], out=z[edge[k] : edge[k + 1]])
+            z = z.reshape(-1, SIZE)
+            z += np.take(by_last, pairs_of(last, IDS + last * GROUPS + group), 0)
+            z += np.take(self.by_turn, pairs_of(turn, step + turn * GROUPS + group), 0)
+            hit = np.empty(len(order), np.float32)
+            hit[order] = log_share(z, pairs_of(group, target % SIZE)).reshape(-1, 2) @ np.ones(2, np.float32)
             got[i : i + block] = hit.reshape(-1, step)
         return got[ok].astype(np.float64)
 
@@ -366,21 +375,27 @@ class Model:
                     at = rows if n == "E" else ...
                     a, b = m[n][at], v[n][at]  # of "E" these are copies
                     a += 0.1 * (g - a)
-                    b += 0.01 * (g * g - b)
+                    g *= g
+                    g -= b
+                    g *= 0.01
+                    b += g
                     if n == "E":
                         m[n][at], v[n][at] = a, b
-                    self.w[n][at] -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)
+                    by = np.sqrt(b / (1 - 0.99**t))
+                    by += 1e-8
+                    self.w[n][at] -= rate * (a / (1 - 0.9**t)) / by
 
     def gradients(self, ids: np.ndarray, targets: np.ndarray, ok: np.ndarray | None = None) -> dict[str, np.ndarray]:
         """Of the mean loss of the targets (those that are ok) of the last places of each window; "E" only for the ids in ``rows``."""
         w, d, step, kind = self.w, WIDTH, targets.shape[1], self.w["E"].dtype
         weight = np.ones(targets.size, kind) if ok is None else ok.ravel().astype(kind)
         weight /= max(1.0, weight.sum())
-        if self.after.dtype != kind:  # what is sent has half the width
-            self.after = self.after.astype(kind)
-        # biases stand below the weights, as those of a last entry of the state that is 1
-        out, inner = np.vstack([w["g"], w["b"]]), np.concatenate([w["y"], w["c"][:, None]], 1)
-        turned = np.ascontiguousarray(w["y"].transpose(0, 2, 1))
+        if self.both is None or self.both.dtype != kind:  # made here, as what is sent has half the width
+            self.both = np.concatenate([self.after_group, self.after.reshape(-1, SIZE)], dtype=kind)
+        # for each group the weights of groups, then those of the classes in it; biases stand below, as those of a last entry
+        # of the state that is 1
+        out = np.concatenate([np.broadcast_to(np.vstack([w["g"], w["b"]]), (GROUPS, 2 * d + 1, GROUPS)), np.concatenate([w["y"], w["c"][:, None]], 1)], 2)
+        turned = np.ascontiguousarray(out[:, :-1].transpose(0, 2, 1))
         x = np.take(w["E"], ids, 0)
         x += w["P"]
         late = x[:, WINDOW - step :]
@@ -399,27 +414,23 @@ class Model:
         h /= sums
         state[:, :, d : 2 * d] = h
         state = state.reshape(-1, 2 * d + 1)
-        before, target = ids[:, WINDOW - step :].ravel(), np.take(self.of, targets.ravel())
+        before, target = ids[:, WINDOW - step :].ravel().astype(np.int64), np.take(self.of, targets.ravel())  # windows of 16-bit ids would overflow below
         group, edge, order = by_group(target)
-        p = state @ out
-        p += np.take(self.after_group, before, 0)
-        _loss(p, group, weight)
-        back = p @ out[:-1].T
-        g_out, g_inner = state.T @ p, np.zeros_like(inner)
+        group, target, before = np.take(group, order), np.take(target, order), np.take(before, order)
         sorted_ = np.take(state, order, 0)
-        z = np.empty((len(order), SIZE), kind)
+        z, g_out, within = np.empty((len(order), GROUPS + SIZE), kind), np.zeros_like(out), np.empty((len(order), 2 * d), kind)
         parts = [(n, slice(edge[n], edge[n + 1])) for n in range(GROUPS) if edge[n + 1] > edge[n]]
         for n, part in parts:
-            np.matmul(sorted_[part], inner[n], out=z[part])
-        z += np.take(self.after.reshape(-1, SIZE), np.take(before * GROUPS + group, order), 0)
-        _loss(z, np.take(target, order) % SIZE, np.take(weight, order))
-        within = np.empty((len(order), 2 * d), kind)
+            np.matmul(sorted_[part], out[n], out=z[part])
+        rows = z.reshape(-1, SIZE)
+        rows += np.take(self.both, pairs_of(before, IDS + before * GROUPS + group), 0)
+        _loss(rows, pairs_of(group, target % SIZE), np.repeat(np.take(weight, order), 2))
         for n, part in parts:
-            np.matmul(sorted_[part].T, z[part], out=g_inner[n])
+            np.matmul(sorted_[part].T, z[part], out=g_out[n])
             np.matmul(z[part], turned[n], out=within[part])
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        back += np.take(within, place, 0)
+        back = np.take(within, place, 0)
         np.divide(back[:, d:].reshape(dh.shape), sums, out=dh)
         np.matmul(dh, x.transpose(0, 2, 1), out=ds)
         ds -= np.einsum("bsd,bsd->bs", dh, h)[:, :, None]
@@ -430,7 +441,8 @@ class Model:
         by = np.argsort(key, kind="stable")  # a radix sort
         key = np.take(key, by)
         edge = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
-        g = {"P": dx.sum(0), "m": state[:, :d].T @ dq, "g": g_out[:-1], "b": g_out[-1], "y": g_inner[:, :-1], "c": g_inner[:, -1]}
+        of_groups = g_out[:, :, :GROUPS].sum(0)
+        g = {"P": dx.sum(0), "m": state[:, :d].T @ dq, "g": of_groups[:-1], "b": of_groups[-1], "y": g_out[:, :-1, GROUPS:], "c": g_out[:, -1, GROUPS:]}
         return g | {"rows": key[edge].astype(np.int64), "E": np.add.reduceat(np.take(dx.reshape(-1, d), by, 0), edge)}
 
     def flat(self) -> np.ndarray:
